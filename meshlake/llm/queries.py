@@ -9,15 +9,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(spark, _table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.topk_search import top_k
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(spark, vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+#: On check_l-sized tables this is a join of every query with every row; DuckDB evaluates it at sf0.01.
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_inner_product(q.e, c.e) AS BIGINT)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlake.llm.jaccard_join import jaccard_components
 
     return jaccard_components(spark, _table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from meshlake.llm.packing import pack
+
+    return pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 def queries() -> dict:
-    return {"op10_jaccard_join": op10_jaccard_join}
+    return {f.__name__: f for f in (op2_best_fit_packing, op8_embedding_dedup, op9_exact_topk, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_exact_topk": OP9_SQL}
