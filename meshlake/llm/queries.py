@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.toxicity import toxicity
+
+    return toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlake.llm.embedding_dedup import near_duplicates
 
@@ -51,7 +57,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op8_embedding_dedup, op9_exact_topk, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op8_embedding_dedup, op9_exact_topk, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict:

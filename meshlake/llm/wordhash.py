@@ -15,6 +15,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything in ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER_BYTE = _BYTE[_LOWER]
 _CHUNK_BYTES = 1 << 20
 
@@ -64,16 +66,16 @@ def chunks(off: np.ndarray, limit: int = _CHUNK_BYTES):
         row = min(end, n)
 
 
-def words(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, off: np.ndarray, lower: bool = True, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(hash, start, end, first)``: a hash and byte range per word, and where each row's words begin.
 
-    A word is a run of bytes outside ``\\x20 \\x09-\\x0D``; A-Z count as a-z when ``lower``.
+    A word is a run of bytes outside ``gaps`` (``\\x20 \\x09-\\x0D`` unless given); A-Z count as a-z when ``lower``.
     """
     n = len(raw)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(U64), none, none, np.zeros(len(off), dtype=np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~gaps[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[off] = True
     begin = inside.copy()
