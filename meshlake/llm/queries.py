@@ -15,6 +15,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.pii import find
+
+    return find(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlake.llm.embedding_dedup import near_duplicates
 
@@ -57,7 +63,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op8_embedding_dedup, op9_exact_topk, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_pii, op8_embedding_dedup, op9_exact_topk, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict:
