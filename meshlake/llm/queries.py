@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,78 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.mixing import mix
+
+    out = mix(_table(spark, sf_dir, "documents"), entropy=0.97, max_repeats=4.0, budget_share=1.0)
+    return out.withColumn("weight", F.round("weight", 9))
+
+
+_MASS = "list_sum(list_transform(p, lambda x: pow(x, {a})))"
+_ENOUGH = f"ln({_MASS}) - {{a}} * list_sum(list_transform(p, lambda x: pow(x, {{a}}) * ln(x))) / {_MASS} >= CAST(0.97 AS DOUBLE) * ln(n)"
+_TOO_OFTEN = f"list_max(list_transform(p, lambda x: pow(x, {{a}}) / x)) / {_MASS} > CAST(4 AS DOUBLE)"
+OP5_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(CASE WHEN sq = '' THEN 0 ELSE length(sq) - length(replace(sq, ' ', '')) + 1 END AS BIGINT) AS tokens
+  FROM (SELECT doc_id, source, trim(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS sq FROM documents)
+), s AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY source),
+o AS (
+  SELECT total, n, list_transform(ts, lambda x: x / total) AS p FROM (
+    SELECT CAST(sum(tokens) AS BIGINT) AS total, count(*) FILTER (tokens > 0) AS n, list(tokens ORDER BY tokens, source) FILTER (tokens > 0) AS ts FROM s)
+), b AS (
+  SELECT 0 AS k, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, CAST(0 AS DOUBLE) AS lo2, CAST(1 AS DOUBLE) AS hi2
+  UNION ALL
+  SELECT k + 1, if(e, m, lo), if(e, hi, m), if(t, m2, lo2), if(t, hi2, m2) FROM (
+    SELECT b.*, (lo + hi) / 2 AS m, (lo2 + hi2) / 2 AS m2, {_ENOUGH.format(a="((lo + hi) / 2)")} AS e, {_TOO_OFTEN.format(a="((lo2 + hi2) / 2)")} AS t FROM b, o WHERE k < 50)
+), a AS (
+  SELECT o.*, greatest(if({_ENOUGH.format(a="1")}, CAST(1 AS DOUBLE), lo), if({_TOO_OFTEN.format(a="1")}, CAST(1 AS DOUBLE), if({_TOO_OFTEN.format(a="0")}, lo2, CAST(0 AS DOUBLE)))) AS alpha
+  FROM o, b WHERE k = 50
+), w AS (
+  SELECT source, tokens, if(tokens > 0, pow(tokens / total, alpha) / z, 0) AS weight,
+    if(tokens > 0, CAST(floor(pow(tokens / total, alpha) / z * total) AS BIGINT), 0) AS budget
+  FROM s, (SELECT *, {_MASS.format(a="alpha")} AS z FROM a)
+), plan AS (SELECT *, if(tokens > 0, budget // tokens, 0) AS passes, if(tokens > 0, budget % tokens, 0) AS rest FROM w),
+t AS (
+  SELECT doc_id, source, tokens, weight, passes, rest, block, CAST('0x' || substr(md5(block || ':' || doc_id), 1, 15) AS BIGINT) AS place
+  FROM (SELECT d.*, weight, passes, rest, unnest(range(0, passes + 1)) AS block FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source)
+), c AS (SELECT *, sum(tokens) OVER (PARTITION BY source, block ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM t)
+SELECT doc_id, source, block, place, tokens, round(weight, 9) AS weight FROM c
+WHERE block < passes OR (block = passes AND rest > 0 AND upto <= rest)
+"""
+
+
+#: What a call of ``reply`` takes.
+REPLY = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.chat_tools import dialogue_calls, link
+
+    out = link(*dialogue_calls(_table(spark, sf_dir, "conversations")), REPLY)
+    return out.select("conv_id", "position", "kind", "turn", "call_id", "name", "status", F.array_join("errors", ";").alias("errors"), F.md5("json").alias("json_md5"))
+
+
+OP6_SQL = """
+WITH c AS (
+  SELECT conv_id, conv_id || ':' || turn AS call_id, min(turn) AS turn, arg_min(coalesce(text, ''), (turn, coalesce(text, ''))) AS prompt
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
+), r AS (
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, min(turn) AS turn, arg_min(text, (turn, text)) AS content
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
+), j AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS ct, r.turn AS rt, prompt, content
+  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+)
+SELECT conv_id, ct * 1048576 AS position, 'call' AS kind, ct AS turn, call_id, 'reply' AS name, if(rt IS NULL, 'unanswered', 'linked') AS status, '' AS errors,
+  md5('{"arguments":{"prompt":' || CAST(to_json(prompt) AS VARCHAR) || ',"turn":' || ct || '},"call_id":' || CAST(to_json(call_id) AS VARCHAR) || ',"name":"reply","type":"call"}') AS json_md5
+FROM j WHERE ct IS NOT NULL
+UNION ALL
+SELECT conv_id, rt * 1048576, 'result', rt, call_id, if(ct IS NULL, NULL, 'reply'), if(ct IS NULL, 'orphan', 'linked'), '',
+  md5('{"call_id":' || CAST(to_json(call_id) AS VARCHAR) || ',"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"type":"result"}')
+FROM j WHERE rt IS NOT NULL
+"""
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlake.llm.embedding_dedup import near_duplicates
 
@@ -63,8 +136,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_pii, op8_embedding_dedup, op9_exact_topk, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_pii, op5_mixing, op6_tool_calls, op8_embedding_dedup, op9_exact_topk, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict:
-    return {"op9_exact_topk": OP9_SQL}
+    return {"op5_mixing": OP5_SQL, "op6_tool_calls": OP6_SQL, "op9_exact_topk": OP9_SQL}
