@@ -94,6 +94,14 @@ FROM j WHERE rt IS NOT NULL
 """
 
 
+def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from meshlake.llm.token_shards import token_matrices
+
+    return token_matrices(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), width=1024, end_id=50256, pad_id=50256)
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlake.llm.embedding_dedup import near_duplicates
 
@@ -127,6 +135,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, _table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.licenses import scan
+
+    return scan(spark, _table(spark, sf_dir, "documents"))
+
+
+def _op1_sql() -> str:
+    from meshlake.llm.licenses import KNOWN, SPELLINGS
+
+    def canonical(text: str) -> str:
+        out = rf"regexp_replace(lower(coalesce({text}, '')), '(^|\n)[\x20\x09*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*', '\1', 'g')"
+        out = rf"' ' || trim(regexp_replace({out}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) || ' '"
+        for old, new in SPELLINGS:
+            out = f"replace({out}, ' {old} ', ' {new} ')"
+        return f"sha256(trim({out}))"
+
+    known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(KNOWN.items()))
+    return f"""
+    WITH k AS (SELECT {canonical("text")} AS digest, min(license) AS license FROM (VALUES {known}) AS t(license, text) GROUP BY 1)
+    SELECT doc_id, d.digest, license FROM (SELECT doc_id, {canonical("text")} AS digest FROM documents) d LEFT JOIN k ON d.digest = k.digest
+    """
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -136,8 +167,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_pii, op5_mixing, op6_tool_calls, op8_embedding_dedup, op9_exact_topk, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_toxicity, op4_pii, op5_mixing, op6_tool_calls, op7_token_matrices, op8_embedding_dedup, op9_exact_topk, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict:
-    return {"op5_mixing": OP5_SQL, "op6_tool_calls": OP6_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op1_license_scan": _op1_sql(), "op5_mixing": OP5_SQL, "op6_tool_calls": OP6_SQL, "op9_exact_topk": OP9_SQL}
