@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,26 +42,55 @@ class Scratch:
                 hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 50) -> DataFrame:
+#: Edges that one task may resolve by itself.
+ONE_TASK = 1_000_000
+
+
+def _local_stars(batches):
+    """Edges of a partition as stars around the smallest node that they reach within it."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent[x]) != x:
+            parent[x] = up = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            parent.setdefault(u, u), parent.setdefault(v, v)
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 50, one_task: int = ONE_TASK) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node.
 
-    Alternating large-star and small-star steps: each step only takes a minimum per node (combined before the shuffle) and
-    one equi-join, so a hub with any number of neighbours is never gathered in one task. Null or looping edges are ignored.
+    Partitions of about ``one_task`` edges are first reduced to stars. If there is more than one, large-star and small-star
+    steps alternate: each only takes a minimum per node (combined before the shuffle) and one equi-join, so a hub with any
+    number of neighbours is never gathered in one task. Null or looping edges are ignored.
     """
     edges = (
         edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        .select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
         .distinct()
     )
-    edges = scratch.keep(edges)
+    first = edges = scratch.keep(edges)
+    parts = -(-edges.count() // one_task)
+    if parts:
+        edges = scratch.keep(edges.repartition(parts, F.xxhash64("v")).mapInArrow(_local_stars, "u long, v long"))
+        scratch.drop(first)
 
     def total(df: DataFrame) -> tuple:
         # two sums that change whenever the set of edges changes, for all practical purposes
         r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.hash("u", "v").cast("long"))).first()
         return tuple(r)
 
-    before = total(edges)
-    for _ in range(max_rounds):
+    before = total(edges) if parts > 1 else None
+    for _ in range(max_rounds if parts > 1 else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -79,6 +109,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 5
             break
         before = after
     else:
-        raise RuntimeError("connected components did not settle")
+        if parts > 1:
+            raise RuntimeError("connected components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -8,7 +8,8 @@ Method
        same prefix and size form one group, which is emitted once per window of a task. Buckets of a shingle with two
        groups or more are kept; buckets of frequent shingles are dealt out by a salt.
     3. Group pairs are filtered by size and by the position of their first common prefix shingle, expanded to their
-       members (one per distinct set of shingles) and verified on the whole sets.
+       members (one per distinct set of shingles), filtered by an upper bound of the overlap that fixed-size histograms of
+       the sets give, and verified on the whole sets.
     4. Stars come first: a pivot per bucket is compared with the bucket's other groups, which is linear in the bucket. What
        is then in one component needs no further comparison; pairs that still lie in different components are verified
        in full, so the components are those of all links.
@@ -30,11 +31,13 @@ from meshlake.llm.common import Scratch, connected_components
 from meshlake.llm.wordhash import U64, mix, shingle_sets
 
 #: Most frequent shingles that are sent to the tasks (16 bytes each).
-FREQUENT = 1 << 21
+FREQUENT = 1 << 22
 #: Shingles held by a task before it hands on its counts or forgets which groups it has emitted.
-WINDOW = 1 << 22
+WINDOW = 1 << 23
 #: A shingle is handed on when so many documents of one window have it.
-REPEATS = 4
+REPEATS = 3
+#: Cells of a set's histogram, by which an upper bound of the overlap of two sets is known without their members.
+CELLS = 256
 #: Groups of a frequent shingle that one salt takes.
 SALT_ROWS = 4096
 
@@ -151,6 +154,31 @@ def _prefix_rows(shared, size: int, percent: int):
     return run
 
 
+def _histograms(size: int):
+    def run(batches):
+        for batch in batches:
+            hist = [np.bincount((x & U64(CELLS - 1)).astype(np.int64), minlength=CELLS) for x in shingle_sets(batch.column("text"), size)]
+            n = [int(h.sum()) for h in hist]
+            raw = [np.minimum(h, 65535).astype(np.uint16).tobytes() for h in hist]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], ["node", "n", "hist"])
+
+    return run
+
+
+def _may_link(percent: int):
+    """Drop pairs whose histograms already show too small an overlap; a full cell (65535) bounds nothing."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, CELLS) for c in ("hist_a", "hist_b"))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            keep = (most * (100 + percent) >= percent * both) | (x == 65535).any(axis=1) | (y == 65535).any(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
 def _verify(size: int, percent: int):
     def run(batches):
         for batch in batches:
@@ -185,6 +213,8 @@ class _Graph:
 
     def __init__(self, links: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int):
         self.texts, self.scratch, self.size, self.percent = texts, scratch, size, percent
+        sketched = texts.mapInArrow(_histograms(size), "node long, n long, hist binary")
+        self.sketches = scratch.keep(sketched)
         self.links = scratch.keep(links)
         self.components = connected_components(self.links, scratch)
         self.tested: DataFrame | None = None
@@ -195,7 +225,9 @@ class _Graph:
 
     def add(self, pairs: DataFrame) -> None:
         pairs = self.scratch.keep(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"))
-        found = _linked(pairs, self.texts, self.size, self.percent)
+        x, y = (self.sketches.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("hist").alias(f"hist_{s}")) for s in "ab")
+        likely = self.scratch.keep(pairs.join(x, "a").join(y, "b").mapInArrow(_may_link(self.percent), "a long, b long"))
+        found = _linked(likely, self.texts, self.size, self.percent)
         old, self.links = self.links, self.scratch.keep(self.links.unionByName(found).distinct())
         self.scratch.drop(old)
         self.components = connected_components(self.links, self.scratch)
@@ -216,7 +248,7 @@ def _star_pairs(graph: _Graph, buckets: DataFrame, turn: int, fits) -> DataFrame
         .where("low < high")
         .select("token", F.col("p.rep").alias("pivot"), F.col("p.c").alias("pc"), F.col("p.n").alias("pn"))
     )
-    return named.join(pivots, "token").where((F.col("c") != F.col("pc")) & fits).select("rep", "pivot")
+    return named.join(pivots, "token").where((F.col("c") != F.col("pc")) & fits).select("rep", "pivot").distinct()
 
 
 def _open_pairs(graph: _Graph, buckets: DataFrame, nodes: DataFrame, mixed: DataFrame, fits, percent: int) -> DataFrame:
