@@ -4,15 +4,17 @@ Method
     A document's ids, then an end id, form its stream. Streams over ``capacity`` are cut into pieces of ``capacity`` ids, the
     first of which may be shorter. Full pieces are sequences of their own. The others are packed in rounds:
 
-    1. documents that nothing of their size can join (over half of the capacity) open a sequence each;
-    2. documents and gaps are range-sorted together by size and dealt to range partitions. Each partition is swept from
-       small to large: a gap takes the largest waiting documents that fit it (its best fit), so a document goes to the
-       nearest gap above it. What a sweep leaves over meets its match in a later round, whose ranges differ;
-    3. conflicts do not arise inside a sweep, since it hands out each gap and each document once, by rank in the order
-       ``(size, id)``; gaps are updated and the rounds repeat;
-    4. when a round places few documents, the largest waiting ones open as many sequences as their total needs.
-
-    Every round moves only ``(id, size)`` rows; texts are read once, for the ids.
+    1. documents over half of the capacity, no two of which fit together, open a sequence each;
+    2. documents and gaps are dealt to partitions by a hash that differs from round to round, and sorted by size there.
+       (Partitions by ranges of size would part documents from the gaps above them: with many partitions one size fills
+       whole partitions. Dealt by hash, each partition spans all sizes, so the number of rounds does not depend on the number
+       of partitions.) A partition is swept from small to large: a gap takes the largest waiting documents that fit it, so
+       a document goes to the nearest gap above it. Sweeps repeat on the updated gaps until nothing fits;
+    3. conflicts do not arise: a sweep hands out each gap and each document once, by rank in the order ``(size, id)``;
+    4. what is left is dealt anew. When a round places few documents, the largest waiting ones open as many sequences as the
+       total of those waiting needs.
+
+    A round moves only ``(id, size)`` rows, in one shuffle; the driver sees counts per size. Texts are read once, for the ids.
 
 Defined results
     Null texts count as empty: one piece that holds the end id. Repeated rows are packed like any other document, each
@@ -32,10 +34,10 @@ from pyspark.sql import functions as F
 from meshlake.llm.common import Scratch
 from meshlake.llm.tokens import token_encoder
 
-#: Rows of one range partition of a round; a sweep holds no more than its waiting documents.
+#: Rows of one partition of a round.
 SWEEP_ROWS = 100_000
 #: A round that places less than this share of the waiting documents lets new sequences open.
-FEW = 0.02
+FEW = 0.1
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -68,25 +70,49 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, end_id: int, capacity: int
     return rows.mapInArrow(_pieces(vocabulary, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(size, kind, id)`` in ascending order, documents (kind 0) before gaps of the same size."""
-    waiting_size: list[int] = []
-    waiting_id: list[int] = []
-    for batch in batches:
-        doc, seq, offset = [], [], []
-        for size, kind, key in zip(*(batch.column(c).to_pylist() for c in ("size", "kind", "id")), strict=True):
-            if kind == 0:
-                waiting_size.append(size)
-                waiting_id.append(key)
-                continue
-            left = size
-            while waiting_size and waiting_size[-1] <= left:
-                doc.append(waiting_id.pop())
-                seq.append(key)
-                offset.append(size - left)
-                left -= waiting_size.pop()
-        if doc:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, seq, offset)], ["item", "sequence_id", "inside"])
+def settle(docs: list[tuple[int, int]], gaps: list[tuple[int, int]]) -> tuple[list, list, list]:
+    """Sweep ``(size, id)`` lists until nothing fits: ``(placed, waiting, gaps)``, placed as (doc, gap, room left before)."""
+    placed: list[tuple[int, int, int]] = []
+    docs.sort()
+    while gaps:
+        gaps.sort()
+        waiting, left, at, before = [], [], 0, len(placed)
+        for size, key in gaps:
+            while at < len(docs) and docs[at][0] <= size:
+                waiting.append(docs[at])
+                at += 1
+            while waiting and waiting[-1][0] <= size:
+                placed.append((waiting[-1][1], key, size))
+                size -= waiting.pop()[0]
+            if size:
+                left.append((size, key))
+        docs, gaps = waiting + docs[at:], left
+        if len(placed) == before:
+            break
+    return placed, docs, gaps
+
+
+_STATE = "kind int, size long, id long, sequence_id long, offset long"
+
+
+def _sweeps(capacity: int):
+    names = ["kind", "size", "id", "sequence_id", "offset"]
+
+    def run(batches):
+        docs, gaps, rows = [], [], []
+        for batch in batches:
+            for kind, size, key, opened in zip(*(batch.column(c).to_pylist() for c in ("kind", "size", "id", "opened")), strict=True):
+                (gaps if kind else docs).append((size, key))
+                if opened:
+                    rows.append((2, 0, key, key, 0))
+        placed, docs, gaps = settle(docs, gaps)
+        rows += [(2, 0, doc, key, capacity - room) for doc, key, room in placed]
+        rows += [(0, size, key, None, None) for size, key in docs] + [(1, size, key, None, None) for size, key in gaps]
+        for a in range(0, len(rows), 50_000):
+            columns = zip(*rows[a : a + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "kind" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+
+    return run
 
 
 def best_fit(spark: SparkSession, items: DataFrame, capacity: int, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
@@ -94,57 +120,38 @@ def best_fit(spark: SparkSession, items: DataFrame, capacity: int, scratch: Scra
 
     ``item`` is a distinct number; a sequence has the number of the item that opened it.
     """
-    opening = F.col("length") * 2 > capacity
-    first = items.where(opening)
-    placed = [scratch.keep(first.select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))]
-    gaps = scratch.keep(first.where(F.col("length") < capacity).select(F.col("item").alias("sequence_id"), (F.lit(capacity) - F.col("length")).alias("gap")))
-    waiting = scratch.keep(items.where(~opening))
-    n_gaps = gaps.count()
-    n, size, least = waiting.agg(F.count("*"), F.sum("length"), F.min("length")).first()
-    for _ in range(max_rounds):
-        if not n:
+    state = items.select(F.lit(0).alias("kind"), F.col("length").alias("size"), F.col("item").alias("id"))
+    opens = F.col("size") * 2 > capacity
+    n, n_rows, least, placed = None, items.count(), 1, []
+    for turn in range(max_rounds):
+        # a document that opens a sequence becomes its gap
+        opened = (F.col("kind") == 0) & opens
+        rows = state.select(
+            F.when(opened, 1).otherwise(F.col("kind")).alias("kind"), F.when(opened, capacity - F.col("size")).otherwise(F.col("size")).alias("size"), "id", opened.alias("opened")
+        ).where(F.col("opened") | (F.col("kind") == 0) | (F.col("size") >= least))
+        dealt = rows.repartition(max(1, -(-n_rows // SWEEP_ROWS)), F.xxhash64("id", F.lit(turn)))
+        done = scratch.keep(dealt.mapInArrow(_sweeps(capacity), _STATE))
+        placed.append(done.where("kind = 2").select(F.col("id").alias("item"), "sequence_id", "offset"))
+        sizes = done.where("kind < 2").groupBy("kind", "size").agg(F.count("*").alias("k")).toArrow().to_pylist()  # at most two rows per size
+        waiting = sorted(((r["size"], r["k"]) for r in sizes if r["kind"] == 0), reverse=True)
+        now = sum(k for _, k in waiting)
+        if not now:
             break
-        matched = 0
-        if n_gaps:
-            rows = waiting.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("item").alias("id")).unionByName(
-                gaps.select(F.col("gap").alias("size"), F.lit(1).alias("kind"), F.col("sequence_id").alias("id"))
-            )
-            parts = max(1, -(-(n + n_gaps) // SWEEP_ROWS))
-            dealt = rows.repartitionByRange(parts, "size", "kind", "id").sortWithinPartitions("size", "kind", "id")
-            found = dealt.mapInArrow(_sweep, "item long, sequence_id long, inside long")
-            # offset in the sequence: what was used before, plus what this round put before it
-            now = scratch.keep(
-                found.join(gaps, "sequence_id").select("item", "sequence_id", (F.lit(capacity) - F.col("gap") + F.col("inside")).alias("offset"))
-            )
-            matched = now.count()
-        if matched:
-            placed.append(now.select("item", "sequence_id", "offset"))
-            done = now.join(waiting, "item").groupBy("sequence_id").agg(F.sum("length").alias("filled"))
-            left = gaps.join(done, "sequence_id", "left").withColumn("gap", F.col("gap") - F.coalesce("filled", F.lit(0)))
-            more = waiting.join(now.select("item"), "item", "left_anti")
-        else:
-            left, more = gaps, waiting
-        old = [gaps, waiting]
-        left = left.select("sequence_id", "gap")
-        if matched < FEW * n:
-            # too few fits are left: the largest waiting documents open the sequences that their total needs
-            more = scratch.keep(more)
-            old.append(more)
-            waits, size = more.agg(F.count("*"), F.sum("length")).first()
-            if waits:
-                need = -(-size // capacity)
-                bound = _nth_largest(more, need)
-                opens = F.expr(f"length > {bound[0]} or (length = {bound[0]} and item <= {bound[1]})")
-                fresh = more.where(opens)
-                placed.append(scratch.keep(fresh.select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))))
-                left = left.unionByName(fresh.select(F.col("item").alias("sequence_id"), (F.lit(capacity) - F.col("length")).alias("gap")))
-                more = more.where(~opens)
-        waiting = scratch.keep(more)
-        n, size, least = waiting.agg(F.count("*"), F.sum("length"), F.min("length")).first()
-        # gaps below the smallest waiting document can take nothing any more
-        gaps = scratch.keep(left.where(F.col("gap") >= F.lit(least if n else capacity + 1)))
-        n_gaps = gaps.count()
-        scratch.drop(*old)
+        least = waiting[-1][0]
+        fits = sum(r["k"] for r in sizes if r["kind"] == 1 and r["size"] >= least)
+        n_rows = now + fits
+        opens = F.lit(False)
+        if not fits or (n is not None and now > (1 - FEW) * n) or n_rows <= SWEEP_ROWS:
+            need = -(-sum(size * k for size, k in waiting) // capacity)
+            for size, k in waiting:
+                if k >= need:
+                    # part of the documents of one size, picked by a hash
+                    share = -(-need * (1 << 20) // k)
+                    opens = (F.col("size") > size) | ((F.col("size") == size) & (F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(1 << 20)) < share))
+                    break
+                need -= k
+        n = now
+        state = done.where("kind < 2").select("kind", "size", "id")
     else:
         raise RuntimeError("packing did not settle")
     out = placed[0]
@@ -153,26 +160,6 @@ def best_fit(spark: SparkSession, items: DataFrame, capacity: int, scratch: Scra
     return out
 
 
-def _nth_largest(items: DataFrame, n: int) -> tuple[int, int]:
-    """Length and number of the n-th item in the order (length descending, item ascending), found by counts per length."""
-    counts = items.groupBy("length").agg(F.count("*").alias("k")).orderBy(F.desc("length")).toArrow()  # one row per length, at most the capacity
-    before = 0
-    for length, k in zip(counts.column("length").to_pylist(), counts.column("k").to_pylist(), strict=True):
-        if before + k >= n:
-            break
-        before += k
-    # of that length, the item numbers are halved until the wanted rank is met
-    same = items.where(F.col("length") == length)
-    low, high = same.agg(F.min("item"), F.max("item")).first()
-    while low < high:
-        steps = sorted({low + (high - low) * j // 64 for j in range(64)})
-        got = same.agg(*[F.sum((F.col("item") <= s).cast("long")) for s in steps]).first()
-        below = [s for s, g in zip(steps, got, strict=True) if g < n - before]
-        above = [s for s, g in zip(steps, got, strict=True) if g >= n - before]
-        low, high = (max(below) + 1 if below else low), (min(above) if above else high)
-    return length, high
-
-
 def pack(
     spark: SparkSession,
     docs: DataFrame,
