@@ -16,7 +16,7 @@ Method
 Defined results
     Repeated rows collapse to one. Calls without a result are ``unanswered``, results without a call ``orphan``. Calls in a
     cycle keep their turn as position and are marked ``cyclic``. Rows with a null conversation, turn or identifier are left
-    out. Null contents are null in the JSON; null or malformed arguments fail validation and appear as null.
+    out. What depends on a cycle is marked like it. Null contents are null in the JSON; null or malformed arguments fail validation and appear as null.
 """
 
 from __future__ import annotations
@@ -60,19 +60,22 @@ def _positions(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_rounds:
         before = current.select("conv_id", F.col("node").alias("earlier"), F.col("position").alias("p"))
         return edges.join(before, ["conv_id", "earlier"]).join(current, key).where("position <= p").groupBy(*key).agg((F.max("p") + 1).alias("least"))
 
-    start = nodes
-    for _ in range(max_rounds):
+    start, late = nodes, None
+    for turn in range(max_rounds):
         moved = scratch.keep(broken(nodes))
         if moved.isEmpty():
             return nodes
+        if 2 * turn >= max_rounds:
+            # a cycle of up to half of the rounds passes over all its members in this time
+            late = moved.select(*key) if late is None else late.unionByName(moved.select(*key))
         nodes = scratch.keep(nodes.join(moved, key, "left").withColumn("position", F.coalesce("least", "position")).drop("least"))
-    late = moved.select(*key, F.lit(True).alias("late"))
+    late = late.distinct().withColumn("late", F.lit(True))
     own = start.select(*key, F.col("position").alias("own"))
     nodes = nodes.join(late, key, "left").join(own, key)
     return nodes.select(*key, F.when(F.col("late"), F.col("own")).otherwise(F.col("position")).alias("position"), F.coalesce("late", F.lit(False)).alias("cyclic"))
 
 
-def link(calls: DataFrame, results: DataFrame, tools: dict, *, max_rounds: int = 20) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, tools: dict, *, max_rounds: int = 64) -> DataFrame:
     """``conv_id, position, kind, turn, call_id, name, status, errors, json``, one row per call and per result.
 
     ``calls(conv_id, turn, call_id, name, arguments, after)``: ``arguments`` is JSON text, ``after`` an array of identifiers
