@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlake.functions import expr
 from meshlake.operators.mesh import Mesh, elem_area, elem_node, mid_levels
 
 STATISTICS = {
@@ -129,7 +130,7 @@ def zonal_mean(field: DataFrame, value: str, dlat: float, by: list[str]) -> Data
 def lat_bin_sum(field: DataFrame, value: Column, dlat: float, by: list[str], name: str = "value") -> DataFrame:
     """Sum per ``by`` and latitude bin on the dense axis from the lowest to the highest bin; empty bins are 0."""
     sums = field.withColumn("i", F.rint(F.col("lat") / dlat).cast("int")).groupBy(*by, "i").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(name))
-    ends = field.agg(F.min(F.rint(F.col("lat") / dlat).cast("int")).alias("lo"), F.max(F.rint(F.col("lat") / dlat).cast("int")).alias("hi"))
+    ends = sums.agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
     # the axis is made once per group key of the aggregate, which is small next to the field
     grid = sums.select(*by).distinct().join(F.broadcast(ends)).select(*by, F.explode(F.sequence("lo", "hi")).alias("i"))
     return grid.join(sums, [*by, "i"], "left").select(*by, (F.col("i") * dlat).alias("lat"), F.coalesce(name, F.lit(0.0)).alias(name))
@@ -204,6 +205,26 @@ def bottom_envelope(nodes: DataFrame, levels: DataFrame, dlat: float, share: flo
     return out.select("lat", "botmax", smooth.alias("botnice"))
 
 
+def derive(field: DataFrame, kind: str, inputs: list[str], name: str = "value", keep: str | None = None, abg=None) -> DataFrame:
+    """A derived field from input columns side by side.
+
+    ``norm``: length of a vector. ``vec``: a vector turned to geographic axes by the angles ``abg`` at ``lon, lat``, both
+    components or only ``keep``. ``sigma<reference in km of water>``: potential density minus 1000. ``product``, ``total``.
+    """
+    a, b = (F.col(c) for c in inputs)
+    if kind == "norm":
+        return field.withColumn(name, expr.norm(a, b))
+    if kind == "vec":
+        turned = dict(zip(inputs, expr.rotate_vector(abg, F.col("lon"), F.col("lat"), a, b), strict=True))
+        out = field.withColumns(turned)
+        return out if keep is None else out.drop(*(c for c in inputs if c != keep))
+    if kind.startswith("sigma"):
+        return field.withColumn(name, expr.sigma(a, b, 1000.0 * float(kind[5:] or 0)))
+    if kind in ("product", "total"):
+        return field.withColumn(name, a * b if kind == "product" else a + b)
+    raise ValueError(f"unknown kind {kind!r}")
+
+
 def volume_weights(field: DataFrame, levels: DataFrame) -> DataFrame:
     """``field`` with the depth of its middle level."""
     return field.join(F.broadcast(mid_levels(levels)), "k")

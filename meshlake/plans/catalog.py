@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshlake.plans import field_queries, iterative_queries, mesh_queries, transport_queries  # noqa: F401
+from meshlake.plans import field_queries, iterative_queries, mesh_queries, more_queries, transport_queries  # noqa: F401
 from meshlake.plans.registry import QUERIES, SQL
 
 
