@@ -170,11 +170,12 @@ def a13h(spark, d):
     return rounded(R.region_index(f, hits, "node", "temp", ["time", "k"], F.col("w_A") * 1e-10), "temp")
 
 
-@query("a14_zonal_mean", sql("node_area thick field_n", f"SELECT k, round_even(lat / 4, 0) * 4 + 0.0 AS lat, {_WMEAN.format(w='w_A')} FROM wf GROUP BY 1, 2", _WEIGHTED))
+@query("a14_zonal_mean", sql("node_area thick field_n", f"SELECT k, round_even(lat / 4, 0) * 4 + 0.0 AS lat, {_WMEAN.format(w='w_A').replace(', 6)', ' / 7, 6)')} FROM wf GROUP BY 1, 2", _WEIGHTED))
 def a14(spark, d):
     f, m = _weighted(spark, d)
     out = R.zonal_mean(f.withColumn("w_A", F.col("w_A") * 1e-10).join(m.nodes.select("node", "lat"), "node"), "temp", 4.0, ["k"])
-    return rounded(out.withColumn("lat", F.col("lat") + 0.0), "temp")
+    # a seventh: the means of one latitude are often exact halves of the last decimal
+    return rounded(out.withColumn("lat", F.col("lat") + 0.0), "temp", scale=1 / 7)
 
 
 @query("a16_bottom_envelope", sql("nodes levels", """SELECT lat + 0.0 AS lat, botmax, round((coalesce(lag(q) OVER w, q) + 2 * q + coalesce(lead(q) OVER w, q)) / 4, 6) + 0.0 AS botnice
@@ -192,11 +193,11 @@ def a20(spark, d):
     return rounded(R.coarse_grain(f, "temp", 20.0, 20.0, [], expr.DEGREE), "temp")
 
 
-@query("a21_signed_totals", sql("field_n", """SELECT node, round(avg(net), 3) + 0.0 AS net, round(avg(plus), 3) + 0.0 AS plus, round(avg(minus), 3) + 0.0 AS minus FROM (
-  SELECT node, time, sum(w * 1e9 / 7) AS net, coalesce(sum(if(w > 0, w * 1e9 / 7, NULL)), 0) AS plus, coalesce(sum(if(w < 0, w * 1e9 / 7, NULL)), 0) AS minus FROM field_n GROUP BY node, time) GROUP BY node"""))
+@query("a21_signed_totals", sql("field_n", """SELECT node, round(avg(net), 5) + 0.0 AS net, round(avg(plus), 5) + 0.0 AS plus, round(avg(minus), 5) + 0.0 AS minus FROM (
+  SELECT node, time, sum(w * 1e9 * 0.7310585786) AS net, coalesce(sum(if(w > 0, w * 1e9 * 0.7310585786, NULL)), 0) AS plus, coalesce(sum(if(w < 0, w * 1e9 * 0.7310585786, NULL)), 0) AS minus FROM field_n GROUP BY node, time) GROUP BY node"""))
 def a21(spark, d):
-    f = X.field_n(spark, d).withColumn("w", F.col("w") * 1e9 / 7)
-    return R.signed_totals(f, "w", ["node"]).select("node", *((F.round(c, 3) + 0.0).alias(c) for c in ("net", "plus", "minus")))
+    f = X.field_n(spark, d).withColumn("w", F.col("w") * 1e9 * 0.7310585786)
+    return R.signed_totals(f, "w", ["node"]).select("node", *((F.round(c, 5) + 0.0).alias(c) for c in ("net", "plus", "minus")))
 
 
 @query("a22_value_range", """WITH e AS (SELECT min(l_extendedprice::DOUBLE) AS lo, max(l_extendedprice::DOUBLE) AS hi FROM lineitem),
@@ -299,9 +300,9 @@ def i09(spark, d):
     return rounded(I.triangles_to_grid(G.corners(m), top, "v", x0=-175.0, y0=-75.0, dx=13.0, dy=11.0), "v")
 
 
-@query("w08_smooth_2d", sql("clim", "SELECT c.ix, c.iy, round(avg(n.temp), 6) + 0.0 AS temp FROM clim c JOIN clim n ON n.iy BETWEEN c.iy - 1 AND c.iy + 1 AND n.ix BETWEEN c.ix - 4 AND c.ix + 4 GROUP BY c.ix, c.iy"))
+@query("w08_smooth_2d", sql("clim", "SELECT c.ix, c.iy, round(avg(n.temp) * 0.7310585786, 6) + 0.0 AS temp FROM clim c JOIN clim n ON n.iy BETWEEN c.iy - 1 AND c.iy + 1 AND n.ix BETWEEN c.ix - 4 AND c.ix + 4 GROUP BY c.ix, c.iy"))
 def w08(spark, d):
-    return rounded(W.smooth_2d(X.climatology(spark, d), "iy", "ix", "temp", []), "temp")
+    return rounded(W.smooth_2d(X.climatology(spark, d), "iy", "ix", "temp", []), "temp", scale=0.7310585786)
 
 
 @query("w12_concat_cycles", sql("field_n", "SELECT cycle, CAST(y + cycle * n AS INTEGER) AS year, round(t, 6) + 0.0 AS temp FROM (SELECT year(time) AS y, avg(temp) AS t FROM field_n GROUP BY 1), (SELECT max(year(time)) - min(year(time)) + 1 AS n FROM field_n), (SELECT unnest([0, 1, 2]) AS cycle)"))
