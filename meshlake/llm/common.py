@@ -22,7 +22,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return the stored table."""
@@ -30,7 +29,6 @@ class Scratch:
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 
@@ -81,7 +79,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 5
     first = edges = scratch.keep(edges)
     parts = -(-edges.count() // one_task)
     if parts:
-        edges = scratch.keep(edges.repartition(parts, F.xxhash64("v")).mapInArrow(_local_stars, "u long, v long"))
+        edges = scratch.keep(edges.repartition(parts, F.xxhash64("u", "v")).mapInArrow(_local_stars, "u long, v long"))
         scratch.drop(first)
 
     def total(df: DataFrame) -> tuple:

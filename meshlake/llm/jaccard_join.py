@@ -240,18 +240,23 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _star_pairs(graph: _Graph, buckets: DataFrame, turn: int, fits) -> DataFrame:
-    """In each bucket that spans several components, the pivot of this turn with every group outside its component."""
+    """In each bucket that spans several components, the pivot of this turn with every group outside its component.
+
+    The first pivot is the group with the smallest share of rarer shingles before the bucket's own: of a text and its edited
+    copies that is the text itself, which the copies resemble more than they do one another. Later pivots are picked by hash.
+    """
     named = graph.label(buckets, "rep", "c")
+    order = F.col("pos") / F.col("n") if turn == 0 else F.xxhash64("rep", F.lit(turn))
     pivots = (
         named.groupBy("token")
-        .agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "c", "n")).alias("p"), F.min("c").alias("low"), F.max("c").alias("high"))
+        .agg(F.min(F.struct(order, "rep", "c", "n", "pos")).alias("p"), F.min("c").alias("low"), F.max("c").alias("high"))
         .where("low < high")
-        .select("token", F.col("p.rep").alias("pivot"), F.col("p.c").alias("pc"), F.col("p.n").alias("pn"))
+        .select("token", F.col("p.rep").alias("pivot"), F.col("p.c").alias("pc"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
     )
     return named.join(pivots, "token").where((F.col("c") != F.col("pc")) & fits).select("rep", "pivot").distinct()
 
 
-def _open_pairs(graph: _Graph, buckets: DataFrame, nodes: DataFrame, mixed: DataFrame, fits, percent: int) -> DataFrame:
+def _open_pairs(graph: _Graph, buckets: DataFrame, nodes: DataFrame, mixed: DataFrame, fits) -> DataFrame:
     """Every pair of members that share a prefix shingle, pass the filters and lie in different components."""
     inside = graph.label(nodes.select("node", "rep").distinct(), "node", "c")
     spread = inside.groupBy("rep").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
@@ -263,17 +268,8 @@ def _open_pairs(graph: _Graph, buckets: DataFrame, nodes: DataFrame, mixed: Data
     pairs = (
         left.join(named, "token")
         .where(F.expr("prep <> rep and (not minor or prep < rep) and (lo <> plo or lo <> hi or plo <> phi)") & fits)
-        .withColumn("up", F.expr("prep < rep"))
-        .select(
-            F.least("prep", "rep").alias("a"),
-            F.greatest("prep", "rep").alias("b"),
-            *(F.expr(f"if(up, p{c}, {c})").alias(f"{c}_a") for c in ("n", "pos")),
-            *(F.expr(f"if(up, {c}, p{c})").alias(f"{c}_b") for c in ("n", "pos")),
-        )
-        .groupBy("a", "b", "n_a", "n_b")
-        .agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
-        .where(F.expr(f"least(n_a - pos_a, n_b - pos_b) * {100 + percent} >= {percent} * (n_a + n_b)"))
-        .select("a", "b")
+        .select(F.least("prep", "rep").alias("a"), F.greatest("prep", "rep").alias("b"))
+        .distinct()
         .unionByName(mixed.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())
     )
     return _ordered(
@@ -333,11 +329,12 @@ def jaccard_components(
     same = members.join(several.select("doc_id"), "doc_id").join(nodes.select("sid", "node"), "sid").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     graph = _Graph(same.where("a <> b").distinct(), texts, scratch, size, percent)
 
-    fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
+    # sizes, and the overlap that is still possible from a common shingle on; at the first common one this bounds the whole
+    fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn) and least(n - pos, pn - ppos) * {100 + percent} >= {percent} * (n + pn)")
     for turn in range(stars):
         pairs = _star_pairs(graph, buckets, turn, fits)
         graph.add(_ordered(pairs.union(mixed.where("node <> rep").select("node", "rep")) if turn == 0 else pairs))
-    graph.add(_open_pairs(graph, buckets, nodes, mixed, fits, percent))
+    graph.add(_open_pairs(graph, buckets, nodes, mixed, fits))
 
     labels = graph.label(nodes.select("sid", "node").distinct(), "node", "component_id").groupBy("sid").agg(F.min("component_id").alias("component_id"))
     out = members.join(labels, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
