@@ -79,7 +79,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 5
     first = edges = scratch.keep(edges)
     parts = -(-edges.count() // one_task)
     if parts:
-        edges = scratch.keep(edges.repartition(parts, F.xxhash64("u", "v")).mapInArrow(_local_stars, "u long, v long"))
+        dealt = edges.coalesce(1) if parts == 1 else edges.repartition(parts, F.xxhash64("u", "v"))
+        edges = scratch.keep(dealt.mapInArrow(_local_stars, "u long, v long"))
         scratch.drop(first)
 
     def total(df: DataFrame) -> tuple:

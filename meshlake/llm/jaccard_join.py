@@ -1,9 +1,10 @@
 """Similarity join of documents on the Jaccard measure of their word n-grams: a grouped prefix join.
 
 Method
-    1. Shingles that repeat within a window of a task's rows are counted; the sums over all tasks give the *frequent*
-       shingles. Those with at least ``total / FREQUENT`` occurrences are kept, so there are at most ``FREQUENT`` of them.
-       They only set the order "rare first, frequent last": any order gives the same links, a good one few candidates.
+    1. Every task counts its shingles in a table of ``ORDER_CELLS`` cells by hash; the tables of all tasks are added up, slice by
+       slice. The cell's count stands for the frequency of a shingle (with an even background, above which frequent shingles
+       rise), whatever the number of tasks. It only sets the order "rare first, frequent last": any order gives the same
+       links, a good one few candidates. The table has a fixed size, so it can be sent to every task.
     2. Each document contributes its prefix under that order (the first ``n - ceil(t n) + 1`` shingles). Documents with the
        same prefix and size form one group, which is emitted once per window of a task. Buckets of a shingle with two
        groups or more are kept; buckets of frequent shingles are dealt out by a salt.
@@ -22,6 +23,8 @@ Defined results
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,12 +33,10 @@ from pyspark.sql import functions as F
 from meshlake.llm.common import Scratch, connected_components
 from meshlake.llm.wordhash import U64, mix, shingle_sets
 
-#: Most frequent shingles that are sent to the tasks (16 bytes each).
-FREQUENT = 1 << 22
-#: Shingles held by a task before it hands on its counts or forgets which groups it has emitted.
-WINDOW = 1 << 23
-#: A shingle is handed on when so many documents of one window have it.
-REPEATS = 3
+#: Cells of the table of frequencies (4 bytes each) and of one slice of it.
+ORDER_CELLS, SLICE_CELLS = 1 << 22, 1 << 14
+#: Shingles held by a task before it counts them, or forgets which groups it has emitted.
+WINDOW = 1 << 22
 #: Cells of a set's histogram, by which an upper bound of the overlap of two sets is known without their members.
 CELLS = 256
 #: Groups of a frequent shingle that one salt takes.
@@ -46,62 +47,65 @@ def _i64(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64))
 
 
-def _count_repeats(size: int):
+def _count_cells(size: int):
     def run(batches):
-        held, rows, total, seen = [], 0, 0, set()
-
-        def flush():
-            if held:
-                u, c = np.unique(np.concatenate(held), return_counts=True)
-                often = c >= REPEATS
-                yield pa.RecordBatch.from_arrays([_i64(u[often]), _i64(c[often])], ["token", "n"])
-
+        table, held, rows, seen = np.zeros(ORDER_CELLS, np.uint32), [], 0, set()
         for batch in batches:
             for x in shingle_sets(batch.column(0), size):
-                total += len(x)
                 key = (len(x), int(x.sum(dtype=U64))) if len(x) else None
                 if key is None or key in seen:
                     continue
                 seen.add(key)
-                held.append(x)
+                held.append((x & U64(ORDER_CELLS - 1)).astype(np.int64))
                 rows += len(x)
                 if rows >= WINDOW:
-                    yield from flush()
+                    table += np.bincount(np.concatenate(held), minlength=ORDER_CELLS).astype(np.uint32)
                     held, rows, seen = [], 0, set()
-        yield from flush()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["token", "n"])
+        if held:
+            table += np.bincount(np.concatenate(held), minlength=ORDER_CELLS).astype(np.uint32)
+        for k, part in enumerate(table.reshape(-1, SLICE_CELLS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "counts"])
 
     return run
 
 
-def frequent_shingles(texts: DataFrame, size: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the frequent shingles and their counts; at most ``FREQUENT`` entries reach the driver."""
-    counted = scratch.keep(texts.mapInArrow(_count_repeats(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    total = counted.where("token is null").agg(F.sum("n")).first()[0] or 0
-    table = counted.where(F.col("token").isNotNull() & (F.col("n") * FREQUENT >= total)).toArrow()
-    scratch.drop(counted)
-    token = np.ascontiguousarray(table.column("token").to_numpy()).view(U64)
-    count = table.column("n").to_numpy()
-    order = np.argsort(token)
-    return token[order], count[order]
-
-
-def _ordered_prefix(x: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of a sorted set, rare shingles first, and each one's count among the frequent (0: rare)."""
-    n = len(x)
-    take = n - (-(-percent * n // 100)) + 1
-    if not len(frequent):
-        return x[:take], np.zeros(take, np.int64)
-    at = np.searchsorted(frequent, x)
-    at[at == len(frequent)] = 0
-    often = frequent[at] == x
-    prefix = x[~often][:take]
-    weight = np.zeros(len(prefix), np.int64)
-    if len(prefix) < take:
-        rest, c = x[often], counts[at[often]]
-        order = np.lexsort((rest, c))[: take - len(prefix)]
-        prefix, weight = np.concatenate([prefix, rest[order]]), np.concatenate([weight, c[order]])
-    return prefix, weight
+def _add_slices(batches):
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            part = np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.uint64)
+            sums[k] = sums[k] + part if k in sums else part
+    for k, total in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["slice", "counts"])
+
+
+def frequency_table(texts: DataFrame, size: int) -> np.ndarray:
+    """Counts of all shingles by cell of their hash; ``4 * ORDER_CELLS`` bytes reach the driver, whatever the input."""
+    slices = ORDER_CELLS // SLICE_CELLS
+    schema = "slice int, counts binary"
+    # tables of a few tasks are added up before those of all, so no task reads a slice from everywhere
+    near = texts.mapInArrow(_count_cells(size), schema).withColumn("few", F.spark_partition_id() % 32)
+    first = near.repartition(slices, "slice", "few").select("slice", "counts").mapInArrow(_add_slices, schema)
+    zipped = first.mapInArrow(_packed, schema)
+    total = zipped.repartition(slices, "slice").mapInArrow(_add_slices, schema).toArrow()
+    table = np.zeros(ORDER_CELLS, np.uint32).reshape(-1, SLICE_CELLS)
+    for k, raw in zip(total.column("slice").to_pylist(), total.column("counts").to_pylist(), strict=True):
+        table[k] = np.frombuffer(raw, np.uint32)
+    return table.reshape(-1)
+
+
+def _packed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array([zlib.compress(r, 1) for r in batch.column("counts").to_pylist()], pa.binary())], ["slice", "counts"])
+
+
+def _ordered_prefix(x: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a sorted set, rare shingles first, and each one's count in the table."""
+    take = len(x) - (-(-percent * len(x) // 100)) + 1
+    count = table[(x & U64(ORDER_CELLS - 1)).astype(np.int64)]
+    order = np.argsort(count, kind="stable")[:take]  # equal counts stay in the order of their hashes
+    return x[order], count[order]
 
 
 def _fold(x: np.ndarray, salt: int) -> int:
@@ -115,12 +119,12 @@ def _group_of(x: np.ndarray, prefix: np.ndarray) -> int:
 
 def _members(shared, size: int, percent: int):
     def run(batches):
-        frequent, counts = shared.value
+        table = shared.value
         for batch in batches:
             gid, sid, n = [], [], []
             for x in shingle_sets(batch.column("text"), size):
                 n.append(len(x))
-                gid.append(_group_of(x, _ordered_prefix(x, frequent, counts, percent)[0]) if len(x) else None)
+                gid.append(_group_of(x, _ordered_prefix(x, table, percent)[0]) if len(x) else None)
                 sid.append(_fold(x, 0x5851F42D4C957F2D) if len(x) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(gid, pa.int64()), pa.array(sid, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "gid", "sid", "n"]
@@ -131,14 +135,16 @@ def _members(shared, size: int, percent: int):
 
 def _prefix_rows(shared, size: int, percent: int):
     def run(batches):
-        frequent, counts = shared.value
+        table = shared.value
+        hot = SALT_ROWS + 2 * int(table.mean())
         seen, held = set(), 0
         for batch in batches:
             out = [[], [], [], [], []]
             for x in shingle_sets(batch.column("text"), size):
                 if not len(x):
                     continue
-                prefix, weight = _ordered_prefix(x, frequent, counts, percent)
+                prefix, count = _ordered_prefix(x, table, percent)
+                weight = np.where(count > hot, count, 0)
                 gid, k = _group_of(x, prefix), len(prefix)
                 if gid in seen:
                     continue
@@ -288,7 +294,7 @@ def jaccard_components(
     text_col: str = "text",
     size: int = 5,
     percent: int = 75,
-    stars: int = 2,
+    stars: int = 1,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` (see the module's text for nulls, ties and repeats).
 
@@ -298,7 +304,7 @@ def jaccard_components(
         raise ValueError("percent must be in 1..100 and size in 1..8")
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    shared = spark.sparkContext.broadcast(frequent_shingles(docs.select("text"), size, scratch))
+    shared = spark.sparkContext.broadcast(frequency_table(docs.select("text"), size))
     members = scratch.keep(docs.mapInArrow(_members(shared, size, percent), "doc_id long, gid long, sid long, n long"))
 
     # node: the smallest doc_id with one set of shingles; rep: the smallest node of a group
