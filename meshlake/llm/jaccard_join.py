@@ -35,7 +35,9 @@ from meshlake.llm.wordhash import U64, mix, shingle_sets
 
 #: Cells of the table of frequencies (4 bytes each) and of one slice of it.
 ORDER_CELLS, SLICE_CELLS = 1 << 22, 1 << 14
-#: Shingles held by a task before it counts them, or forgets which groups it has emitted.
+#: Shingles held by a task before it counts them, and prefix rows before it hands them on.
+HELD, OUT_ROWS = 1 << 19, 1 << 17
+#: Prefix rows after which a task forgets which groups it has emitted.
 WINDOW = 1 << 22
 #: Cells of a set's histogram, by which an upper bound of the overlap of two sets is known without their members.
 CELLS = 256
@@ -58,7 +60,7 @@ def _count_cells(size: int):
                 seen.add(key)
                 held.append((x & U64(ORDER_CELLS - 1)).astype(np.int64))
                 rows += len(x)
-                if rows >= WINDOW:
+                if rows >= HELD:
                     table += np.bincount(np.concatenate(held), minlength=ORDER_CELLS).astype(np.uint32)
                     held, rows, seen = [], 0, set()
         if held:
@@ -139,7 +141,7 @@ def _prefix_rows(shared, size: int, percent: int):
         hot = SALT_ROWS + 2 * int(table.mean())
         seen, held = set(), 0
         for batch in batches:
-            out = [[], [], [], [], []]
+            out, rows = [[], [], [], [], []], 0
             for x in shingle_sets(batch.column("text"), size):
                 if not len(x):
                     continue
@@ -154,7 +156,11 @@ def _prefix_rows(shared, size: int, percent: int):
                 held += k
                 for c, v in zip(out, (prefix, np.full(k, gid, np.int64), np.full(k, len(x), np.int64), np.arange(k), weight), strict=True):
                     c.append(v)
-            if out[0]:
+                rows += k
+                if rows >= OUT_ROWS:
+                    yield pa.RecordBatch.from_arrays([_i64(np.concatenate(c)) for c in out], ["token", "gid", "n", "pos", "often"])
+                    out, rows = [[], [], [], [], []], 0
+            if rows:
                 yield pa.RecordBatch.from_arrays([_i64(np.concatenate(c)) for c in out], ["token", "gid", "n", "pos", "often"])
 
     return run
