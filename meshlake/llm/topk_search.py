@@ -6,7 +6,8 @@ Method
     lower bound (what was read of it, plus for each unread list the least that list holds) and an upper bound (what was
     read, plus for each unread list the value at its cursor). Reading stops for a query when no candidate outside its best
     ``k`` can still qualify: its upper bound is below the k-th largest lower bound, which is carried from block to block of a
-    task. For those that are left the remaining entries are read, which resolves their scores exactly.
+    task. Rows of one id count once there, with their largest bound. For those that are left the remaining entries are read,
+    which resolves their scores exactly.
 
     The bounds of all candidates of a block for many queries are matrix products over "read so far" copies of the block, in
     whole numbers held exactly by doubles. Each task returns at most ``k`` rows per query; these are merged by a window over
@@ -49,11 +50,14 @@ class BestLists:
         q = np.concatenate([query, np.repeat(touched, k)])
         s = np.concatenate([score, self.score[touched].ravel()])
         i = np.concatenate([ids, self.id[touched].ravel()])
-        order = np.lexsort((i, -s, q))
+        # an id once, with its best score; empty places are kept
+        order = np.lexsort((-s, i, q))
         q, s, i = q[order], s[order], i[order]
         same = np.zeros(len(q), dtype=bool)
-        same[1:] = (q[1:] == q[:-1]) & (i[1:] == i[:-1]) & (s[1:] == s[:-1]) & np.isfinite(s[1:])
+        same[1:] = (q[1:] == q[:-1]) & (i[1:] == i[:-1]) & np.isfinite(s[1:])
         q, s, i = q[~same], s[~same], i[~same]
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
         first = np.searchsorted(q, touched)
         at = first[:, None] + np.arange(k)[None, :]
         self.score[touched], self.id[touched] = s[at], i[at]
@@ -68,6 +72,8 @@ class SortedLists:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, depths=DEPTHS):
         self.x, self.ids = vectors, ids
         n = len(vectors)
+        self.by_id = np.argsort(ids, kind="stable")
+        self.first_of_id = np.flatnonzero(np.r_[True, np.diff(ids[self.by_id]) != 0])
         order = np.argsort(vectors, axis=0, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
@@ -84,6 +90,15 @@ class SortedLists:
                 np.hstack([np.where(top, vectors, self.low), np.where(bottom, vectors, self.high)]),
             ))
 
+    def _kth(self, bounds: np.ndarray, k: int) -> np.ndarray | None:
+        """The k-th largest bound over distinct ids; none if the block has fewer ids."""
+        n = len(self.first_of_id)
+        if n < k:
+            return None
+        if n < bounds.shape[1]:
+            bounds = np.maximum.reduceat(bounds[:, self.by_id], self.first_of_id, axis=1)
+        return np.partition(bounds, n - k, axis=1)[:, n - k]
+
     def search(self, queries: np.ndarray, query_ids: np.ndarray, best: BestLists) -> None:
         k = best.score.shape[1]
         split = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
@@ -98,9 +113,8 @@ class SortedLists:
             lower = q @ lower_of.T
             mine = own[open_queries]
             upper[mine] = lower[mine] = -np.inf
-            if lower.shape[1] >= k:
+            if (kth := self._kth(lower, k)) is not None:
                 # k-th largest lower bound: of this block, or of the blocks before
-                kth = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
                 bar[open_queries] = np.maximum(bar[open_queries], kth)
             left = upper >= bar[open_queries][:, None]
             left &= ~mine
@@ -120,10 +134,9 @@ class SortedLists:
         k = best.score.shape[1]
         score = queries[which] @ self.x.T
         score[own[which]] = -np.inf
-        n = score.shape[1]
         bar = best.score[which, -1]
-        if n > k:
-            bar = np.maximum(bar, np.partition(score, n - k, axis=1)[:, n - k])
+        if (kth := self._kth(score, k)) is not None:
+            bar = np.maximum(bar, kth)
         row, column = np.nonzero((score >= bar[:, None]) & np.isfinite(score))
         best.offer(which[row], score[row, column], self.ids[column])
 

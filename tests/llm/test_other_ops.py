@@ -80,6 +80,28 @@ def test_top_k(spark, monkeypatch):
     assert topk_search.top_k(spark, frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_top_k_counts_an_id_once(spark):
+    # one id many times among the best, with equal and with different scores
+    scores = [(1, 10), (1, 10), (1, 10), (1, 9), (1, 8), (1, 8), (2, 9), (3, 8), (4, 7), (5, 6)] + [(10 + k, 1) for k in range(40)]
+    frame = vectors(spark, [(0, [1.0, 0.0], 0)] + [(i, [float(s), 0.0], 0) for i, s in scores]).coalesce(1)
+    got = [(r.rank, r.vec_id, r.score) for r in topk_search.top_k(spark, frame, frame.where("vec_id = 0"), k=5, scale=1).orderBy("rank").collect()]
+    assert got == [(1, 1, 10), (2, 2, 9), (3, 3, 8), (4, 4, 7), (5, 5, 6)]
+
+
+@pytest.mark.parametrize("depths", [topk_search.DEPTHS, ()])
+def test_best_lists_hold_distinct_ids(depths):
+    rng = np.random.RandomState(2)
+    ids = rng.randint(0, 40, 600)
+    x = np.floor(256 * rng.randn(600, 8) / 6)
+    x[:300] = x[rng.randint(0, 9, 300)]
+    best, q = topk_search.BestLists(20, 5), x[::30]
+    for a in range(0, 600, 200):
+        topk_search.SortedLists(x[a : a + 200], ids[a : a + 200], depths).search(q, np.full(20, -1), best)
+    score = np.stack([(q @ x.T)[:, ids == i].max(axis=1) for i in range(40)], axis=1)
+    order = np.lexsort((np.broadcast_to(np.arange(40), score.shape), -score), axis=1)[:, :5]
+    assert (best.id == order).all() and (best.score == np.take_along_axis(score, order, axis=1)).all()
+
+
 def test_reading_stops_early():
     rng = np.random.RandomState(0)
     x = np.floor(256 * rng.randn(3000, 32) / 6)
