@@ -5,10 +5,14 @@ Only DataFrame and SQL functions are used.
 Method
     1. Calls and results are hash-joined by (conversation, identifier), each side first reduced to one row per identifier
        (the earliest turn), so that no identifier multiplies rows.
-    2. Order: a result comes after its call, a call after the results that it names in ``after``. Positions start as turns
-       and are relaxed along the edges that a turn order breaks: ``position = max(own, predecessor + 1)``. A log that is
-       already in order needs no round; each round repairs one more step of a chain. No conversation is gathered in one
-       place: positions are keys, not row numbers.
+    2. Order: a result comes after its call, a call after the results that it names in ``after``. Positions start as turns;
+       in the end ``position = max(own, predecessor + 1)``. Conversations in which no edge goes against the turns need no
+       round. In the others each round hands the positions of nodes without open predecessors on and takes their edges
+       away; at the same time an edge from a node with one predecessor is moved to that predecessor (pointer jumping), so a
+       chain takes a number of rounds that grows with the logarithm of its length. Calls that wait for several results
+       in each step of a chain may take a round a step. Rounds go on until none takes an edge away; what still has an open
+       predecessor then is in a cycle or depends on one, and nothing else is. No conversation is gathered in one place:
+       positions are keys, not row numbers.
     3. Arguments are parsed as JSON variants and checked against the tool's parameters: unknown tool, no object, missing
        parameter, unexpected parameter, wrong type.
     4. Each message is one JSON object with sorted keys, no white space and arguments in canonical form.
@@ -28,6 +32,8 @@ from meshlake.llm.common import Scratch
 
 #: A turn counts so many positions, which leaves room for what is moved behind it.
 SPREAD = 1 << 20
+#: More steps than any chain without a cycle can have.
+MOST_STEPS = 1 << 40
 #: Types of a parameter, and the variant types that stand for them. Fixed values.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT<.*>", "array": "ARRAY<.*>"}
 
@@ -51,35 +57,45 @@ def argument_errors(name: Column, arguments: Column, tools: dict[str, dict[str,
     return errors
 
 
-def _positions(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_rounds: int) -> DataFrame:
+def _positions(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``nodes(conv_id, node, position)`` moved behind their predecessors; ``cyclic`` where that has no end."""
-    nodes = nodes.withColumn("cyclic", F.lit(False))
     key = ["conv_id", "node"]
-
-    def broken(current: DataFrame) -> DataFrame:
-        before = current.select("conv_id", F.col("node").alias("earlier"), F.col("position").alias("p"))
-        return edges.join(before, ["conv_id", "earlier"]).join(current, key).where("position <= p").groupBy(*key).agg((F.max("p") + 1).alias("least"))
-
-    start, late = nodes, None
-    for turn in range(max_rounds):
-        moved = scratch.keep(broken(nodes))
-        if moved.isEmpty():
-            return nodes
-        if 2 * turn >= max_rounds:
-            # a cycle of up to half of the rounds passes over all its members in this time
-            late = moved.select(*key) if late is None else late.unionByName(moved.select(*key))
-        nodes = scratch.keep(nodes.join(moved, key, "left").withColumn("position", F.coalesce("least", "position")).drop("least"))
-    late = late.distinct().withColumn("late", F.lit(True))
-    own = start.select(*key, F.col("position").alias("own"))
-    nodes = nodes.join(late, key, "left").join(own, key)
-    return nodes.select(*key, F.when(F.col("late"), F.col("own")).otherwise(F.col("position")).alias("position"), F.coalesce("late", F.lit(False)).alias("cyclic"))
-
-
-def link(calls: DataFrame, results: DataFrame, tools: dict, *, max_rounds: int = 64) -> DataFrame:
+    up = nodes.select("conv_id", F.col("node").alias("earlier"), F.col("position").alias("p"))
+    edges = edges.join(up, ["conv_id", "earlier"]).join(nodes, key)
+    moving = scratch.keep(edges.where("position <= p").select("conv_id").distinct())
+    if moving.isEmpty():
+        return nodes.withColumn("cyclic", F.lit(False))
+    # position >= position of earlier + steps
+    links = scratch.keep(edges.join(moving, "conv_id", "left_semi").select(*key, "earlier", F.lit(1).cast("long").alias("steps")).distinct())
+    values = scratch.keep(nodes.join(moving, "conv_id", "left_semi"))
+    while True:
+        before = values.select("conv_id", F.col("node").alias("earlier"), F.col("position").alias("p"))
+        open_of = links.groupBy("conv_id", F.col("node").alias("earlier")).agg(F.count("*").alias("n"), F.min("earlier").alias("first"), F.min("steps").alias("more"))
+        seen = scratch.keep(links.join(before, ["conv_id", "earlier"]).join(open_of, ["conv_id", "earlier"], "left"))
+        if seen.where("n is null").isEmpty():
+            break
+        moved = seen.where("n is null or n = 1").groupBy(*key).agg(F.max(F.col("p") + F.col("steps")).alias("least"))
+        new_values = scratch.keep(values.join(moved, key, "left").select(*key, F.greatest("position", "least").alias("position")))
+        # steps of a cycle would double without end
+        new_links = seen.where("n is not null").select(
+            *key,
+            F.when(F.col("n") == 1, F.col("first")).otherwise(F.col("earlier")).alias("earlier"),
+            F.when(F.col("n") == 1, F.least(F.col("steps") + F.col("more"), F.lit(MOST_STEPS))).otherwise(F.col("steps")).alias("steps"),
+        )
+        new_links = scratch.keep(new_links.groupBy(*key, "earlier").agg(F.max("steps").alias("steps")))
+        scratch.drop(seen, links, values)
+        links, values = new_links, new_values
+    cyclic = links.select(*key).distinct().withColumn("cyclic", F.lit(True))
+    found = nodes.join(values.withColumnRenamed("position", "moved"), key, "left").join(cyclic, key, "left")
+    return found.select(*key, F.when(F.col("cyclic"), F.col("position")).otherwise(F.coalesce("moved", "position")).alias("position"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def link(calls: DataFrame, results: DataFrame, tools: dict, *, max_rounds: int | None = None) -> DataFrame:
     """``conv_id, position, kind, turn, call_id, name, status, errors, json``, one row per call and per result.
 
     ``calls(conv_id, turn, call_id, name, arguments, after)``: ``arguments`` is JSON text, ``after`` an array of identifiers
-    whose results the call uses. ``results(conv_id, turn, call_id, content)``.
+    whose results the call uses. ``results(conv_id, turn, call_id, content)``. ``max_rounds`` is accepted from older callers
+    and has no effect: ordering goes on until it is done.
     """
     scratch = Scratch(calls.sparkSession, "chat")
     key = ["conv_id", "call_id"]
@@ -95,7 +111,7 @@ def link(calls: DataFrame, results: DataFrame, tools: dict, *, max_rounds: int =
     answered = both.where("call is not null and result is not null").select("conv_id", F.concat(F.lit("c:"), "call_id").alias("earlier"), F.concat(F.lit("r:"), "call_id").alias("node"))
     used = both.where("call is not null").select("conv_id", F.explode("call.after").alias("e"), "call_id")
     used = used.select("conv_id", F.concat(F.lit("r:"), "e").alias("earlier"), F.concat(F.lit("c:"), "call_id").alias("node"))
-    placed = _positions(nodes, answered.unionByName(used), scratch, max_rounds)
+    placed = _positions(nodes, answered.unionByName(used), scratch)
 
     arguments = F.to_json(F.try_parse_json(F.col("call.arguments")))
     from_calls = both.where("call is not null").select(

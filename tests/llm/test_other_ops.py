@@ -144,6 +144,51 @@ def test_tool_calls(spark):
     assert linked(spark, [], []) == []
 
 
+def test_long_chains_are_not_cycles(spark):
+    # 45 calls logged in reverse (90 steps), beside cycles of two and three calls and what depends on them
+    n, arguments = 45, '{"x":1,"y":2}'
+    calls = [("long", 2 * (n - k), f"k{k:02}", "add", arguments, [f"k{k - 1:02}"] if k else []) for k in range(n)]
+    results = [("long", 2 * (n - k) + 1, f"k{k:02}", "1") for k in range(n)]
+    loops = {"p": "q", "q": "p", "u": "v", "v": "w", "w": "u", "late": "p"}
+    calls += [("loop", 100 if i == "late" else 1, i, "add", arguments, [j, "free", "nowhere", None]) for i, j in loops.items()]
+    calls += [("loop", 9, "free", "add", arguments, None), ("loop", 1, "behind", "add", arguments, ["free"])]
+    results += [("loop", 10, i, "1") for i in [*loops, "free"]]
+    rows = {(r.conv_id, r.kind, r.call_id): r for r in linked(spark, calls, results)}
+    placed = [rows["long", kind, f"k{k:02}"] for k in range(n) for kind in ("call", "result")]
+    assert {r.status for r in placed} == {"linked"}
+    want = [2 * n * chat_tools.SPREAD]
+    want += [max(want[0] + chat_tools.SPREAD, want[0] + 1)]
+    for _ in range(2 * n - 2):
+        want.append(want[-1] + 1)
+    assert [r.position for r in placed] == want
+    for i in loops:
+        assert {rows["loop", kind, i].status for kind in ("call", "result")} == {"cyclic"}
+        assert rows["loop", "call", i].position == rows["loop", "call", i].turn * chat_tools.SPREAD
+    assert (rows["loop", "call", "free"].status, rows["loop", "call", "behind"].status) == ("linked", "unanswered")
+    assert rows["loop", "call", "behind"].position == rows["loop", "result", "free"].position + 1
+
+
+def test_positions_equal_longest_paths(spark):
+    from meshlake.llm.common import Scratch
+
+    rng = np.random.RandomState(8)
+    nodes, edges, want = [], set(), {}
+    for conv in range(12):
+        at = rng.randint(0, 30, 14)
+        mine = {(int(a), int(b)) for a, b in rng.randint(0, 14, (rng.randint(5, 22), 2)) if conv % 3 == 0 or a < b}
+        nodes += [(conv, f"n{k}", int(at[k])) for k in range(14)]
+        edges |= {(conv, f"n{a}", f"n{b}") for a, b in mine}
+        value, opened = {k: int(at[k]) for k in range(14)}, set(range(14))
+        while free := {k for k in opened if not any(b == k and a in opened for a, b in mine)}:
+            for k in free:
+                value[k] = max([value[k], *(value[a] + 1 for a, b in mine if b == k)])
+            opened -= free
+        want |= {(conv, f"n{k}"): (int(at[k]) if k in opened else value[k], k in opened) for k in range(14)}
+    placed = chat_tools._positions(spark.createDataFrame(nodes, "conv_id long, node string, position long"), spark.createDataFrame(sorted(edges), "conv_id long, earlier string, node string"), Scratch(spark, "test"))
+    assert {(r.conv_id, r.node): (r.position, r.cyclic) for r in placed.collect()} == want
+    assert {c for _, c in want.values()} == {True, False}
+
+
 def test_queries_cover_every_row(spark, sf):
     chats = spark.read.parquet(f"{sf}/conversations.parquet").where("role <> 'system'").select("conv_id", "turn").distinct().count()
     assert queries.op6_tool_calls(spark, sf).count() == chats
