@@ -265,6 +265,33 @@ def test_licences(spark, odd):
     assert {r.license for r in licenses.scan(spark, odd).collect()} == {None}
 
 
+def test_licences_in_any_wrapping(spark):
+    import textwrap
+
+    head = {"MIT": "MIT License", "ISC": "ISC License", "BSD-3-Clause": "BSD 3-Clause License", "BSD-2-Clause": None, "0BSD": None, "BSL-1.0": None, "Zlib": "zlib License"}
+    owners = ["Copyright (c) 2020 Someone", "Copyright 2019-2021, Some One. All rights reserved.", "Copyright The Project Authors", "(c) Some Company", "© Someone\nAll rights reserved.", "Copyright (c) <year> <owner>"]
+    docs, want = [], {}
+    for name, title in head.items():
+        text = licenses.KNOWN.get(name) or licenses.MORE[name][0]
+        for width in range(20, 110):
+            docs.append((len(docs), "\n\n".join([*([title] if title else []), owners[width % len(owners)], textwrap.fill(text, width)])))
+            want[docs[-1][0]] = name
+    for name, text in licenses.known_texts():
+        if text.count("\n") > 50:
+            docs.append((len(docs), text))
+            want[docs[-1][0]] = name
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(spark, frame).collect()} == want
+
+
+def test_licence_bodies_stay(spark):
+    lines = ["x\ncopyright notice and this permission", "x\n copyright holders be liable", "x\n(c) the third clause", "x\nall rights reserved clauses apply", "copyright notices stay", "x\ncopyright someone in the body"]
+    gone = ["x\n * Copyright (C) 2001 A", "x\n// (c) 2001 A", "x\nAll Rights Reserved.\r", "Copyright A B\n(c) C D\nx"]
+    frame = spark.createDataFrame([(t,) for t in lines + gone], "text string")
+    got = [r.c for r in frame.select("text", licenses.canonical(F.col("text")).alias("c")).collect()]
+    assert got == [" ".join("".join(c if c.isalnum() else " " for c in t).split()) for t in lines] + ["x"] * len(gone)
+
+
 def test_mixing(spark, odd):
     rng = random.Random(6)
     rows = [(k, "w " * rng.randrange(1, 30), "big" if k < 400 else f"s{k % 7}") for k in range(600)]
