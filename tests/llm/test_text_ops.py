@@ -201,6 +201,39 @@ def test_personal_data_beyond_the_base(spark):
     assert found.spans("version 1.2.3, token = ab12cd, 12 of 40")[1] == []
 
 
+def rare_cards(rng, n, share):
+    def card():
+        digits = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+        digits += next(c for c in "0123456789" if pii.luhn(digits + c))
+        return " ".join(digits[k : k + 4] for k in range(0, 16, 4))
+
+    number = lambda k: "".join(str(rng.randrange(10)) for _ in range(k))
+    return [f"text {k} of {rng.randrange(99)} words" + (f" card {card()} and +1 ({number(3)}) 555-{number(4)} or 10.0.{rng.randrange(256)}.7 end" if k % share == 0 else "") for k in range(n)]
+
+
+def test_rare_kinds_get_a_threshold(spark):
+    texts = rare_cards(random.Random(9), 12_000, 100)
+    found = pii.fit(spark.createDataFrame([(t,) for t in texts], "text string"), sample=300, sample_of_kind=100)
+    assert all(found.threshold[k] <= 1 for k in ("ip", "card", "phone"))
+    got = []
+    for text in rare_cards(random.Random(10), 40, 1):
+        at = text.index("card ") + 5
+        text = text[:at] + text[at : at + 19].replace(" ", "/") + text[at + 19 :]
+        got.append(("card", at, at + 19) in found.spans(text)[1])
+    assert sum(got) > 20
+
+
+def test_parts_of_failing_matches():
+    card, phone = "12 4111 1111 1111 1111", "+1 (555) 123-4567 2021-03-04"
+    assert pii.base_spans(f"x {card} y {phone} z 999.10.0.0.1") == []
+    assert ("card", 3, 22) in pii.part_candidates(card)
+    assert ("phone", 0, 17) in pii.part_candidates(phone)
+    assert pii.part_candidates("999.10.0.0.1") == [("ip", 4, 12)]
+    assert pii.part_candidates("4111 1111 1111 1111 and 10.0.0.1 and version 1.2.3") == []
+    found = pii.train(rare_cards(random.Random(5), 800, 1))
+    assert found.spans(f"my card {card} end")[1] == [("card", 11, 30)]
+
+
 def test_toxicity_on_held_out_texts():
     rng = random.Random(4)
     plain = ["".join(rng.choice(["an", "re", "the", "on", "st", "ed"]) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
