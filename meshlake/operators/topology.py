@@ -45,22 +45,35 @@ def ring_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Order one ring's edges into a closed walk from its smallest node."""
+    """Order the edges of contours that touch into closed walks; each edge is used once.
+
+    A walk starts at the smallest node with edges left, goes on to the smallest neighbour along an unused edge and ends when
+    it is back. Its ring is its smallest node that names no other walk.
+    """
     around: dict[int, list[int]] = {}
     for a, b in zip(pdf.n0, pdf.n1, strict=True):
         around.setdefault(a, []).append(b)
         around.setdefault(b, []).append(a)
-    start = min(around)
-    walk, last, at = [start], None, min(around[start])
-    while at != start and len(walk) <= len(around):
-        walk.append(at)
-        ahead = [x for x in around[at] if x != last and x != walk[-2]] or [x for x in around[at] if x != walk[-2]] or [walk[-2]]
-        last, at = at, ahead[0]
-    return pd.DataFrame({"ring": start, "seq": range(len(walk) + 1), "node": [*walk, start]})
+    left = {node: dict.fromkeys(sorted(others)) for node, others in around.items()}
+    rings, seqs, nodes, names = [], [], [], set()
+    for start in sorted(left):
+        while left[start]:
+            walk = [start]
+            while len(walk) == 1 or walk[-1] != start:
+                at = walk[-1]
+                ahead = next(iter(left[at]))
+                del left[at][ahead], left[ahead][at]
+                walk.append(ahead)
+            name = next(x for x in sorted(walk) if x not in names)
+            names.add(name)
+            rings += [name] * len(walk)
+            seqs += range(len(walk))
+            nodes += walk
+    return pd.DataFrame({"ring": rings, "seq": seqs, "node": nodes})
 
 
 def boundary_rings(mesh: Mesh) -> DataFrame:
-    """``ring, seq, node``: boundary edges chained into closed contours; a group holds the boundary edges of one contour only."""
+    """``ring, seq, node``: boundary edges chained into closed contours; a group holds the boundary edges of one contour, or of contours that touch."""
     edges = boundary_edges(mesh.elems)
     labels = ring_labels(edges)
     named = edges.join(labels.withColumnRenamed("node", "n0"), "n0").select("ring", "n0", "n1")
@@ -68,11 +81,21 @@ def boundary_rings(mesh: Mesh) -> DataFrame:
 
 
 def split_rings(rings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``ring, part, seq, x, y``: contours cut where they cross the periodic boundary; pieces of three points or fewer go."""
+    """``ring, part, seq, x, y``: contours cut where they cross the periodic boundary; pieces of three points or fewer go.
+
+    A contour that crosses starts behind its first crossing, so that its end and its start are one piece; its closing point is
+    left out. Pieces are not closed along the boundary, nor polar contours over the pole.
+    """
     w = Window.partitionBy("ring").orderBy("seq")
+    whole = Window.partitionBy("ring")
     rows = rings.join(nodes.select("node", F.col("lon").alias("x"), F.col("lat").alias("y")), "node")
-    jump = (F.abs(F.col("x") - F.lag("x").over(w)) > 180).cast("int")
-    rows = rows.withColumn("part", F.sum(F.coalesce(jump, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    rows = rows.withColumn("jump", F.coalesce((F.abs(F.col("x") - F.lag("x").over(w)) > 180).cast("int"), F.lit(0)))
+    rows = rows.withColumn("n", F.max("seq").over(whole)).withColumn("first", F.min(F.when(F.col("jump") == 1, F.col("seq"))).over(whole))
+    # a jump to the closing point is one to the first point
+    back = F.max(F.when(F.col("seq") == F.col("n"), F.col("jump"))).over(whole)
+    rows = rows.withColumn("jump", F.when(F.col("seq") == 0, back).otherwise(F.col("jump"))).where("first is null or seq < n")
+    rows = rows.withColumn("seq", F.expr("if(first is null, seq, pmod(seq - first, n))"))
+    rows = rows.withColumn("part", (F.sum("jump").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.when(F.col("first").isNull(), 0).otherwise(1)).cast("int"))
     size = F.count("*").over(Window.partitionBy("ring", "part"))
     return rows.withColumn("n", size).where("n > 3").select("ring", "part", "seq", "x", "y")
 

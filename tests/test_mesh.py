@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,28 @@ def test_late_rows_are_dropped(spark, tmp_path):
     q.stop()
     got = {str(r.day)[:10]: r.total for r in spark.table("daily").collect()}
     assert got.get("2020-01-01") == 1.0
+
+
+def test_touching_contours_use_each_edge_once():
+    edges = [(1, 2), (2, 3), (1, 3), (1, 4), (4, 5), (1, 5), (5, 6), (6, 7), (5, 7)]
+    pdf = topology._walk(pd.DataFrame(edges, columns=["n0", "n1"]))
+    used = []
+    for _, g in pdf.groupby("ring"):
+        walk = g.sort_values("seq").node.tolist()
+        assert walk[0] == walk[-1]
+        used += [tuple(sorted(e)) for e in zip(walk, walk[1:], strict=False)]
+    assert sorted(used) == sorted(edges) and pdf.ring.nunique() >= 2
+
+
+def test_split_rings_start_at_the_crossing(spark):
+    # the western side holds the first and the last two points
+    lon = [-179, -178, 179, 178, 177, 176, 179, -179, -178]
+    nodes = spark.createDataFrame([(k, float(x), float(k)) for k, x in enumerate(lon)], "node int, lon double, lat double")
+    rings = spark.createDataFrame([(0, k, k % 9) for k in range(10)], "ring int, seq int, node int")
+    parts = {}
+    for r in topology.split_rings(rings, nodes).orderBy("ring", "part", "seq").collect():
+        parts.setdefault(r.part, []).append(int(r.y))
+    assert parts == {0: [2, 3, 4, 5, 6], 1: [7, 8, 0, 1]}
+    # a crossing between the last point and the first
+    rings = spark.createDataFrame([(0, k, (k + 2) % 9) for k in range(10)], "ring int, seq int, node int")
+    assert sorted(r.part for r in topology.split_rings(rings, nodes).collect()) == [0] * 4 + [1] * 5
