@@ -24,14 +24,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of the Jaccard join (the smallest id), and every document without an id."""
-    groups = jaccard_join.jaccard_components(spark, docs, size=5, percent=75)
-    groups = Scratch(spark, "groups").keep(groups)
-    kept = docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    if docs.where("doc_id is not null").count() > groups.count():
-        # rows that repeat an id are one document
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    """One document of each group of the Jaccard join (the smallest id), and every document without an id.
+
+    Rows are told apart by a number, so rows that share an id are compared and dropped by their own texts only.
+    """
+    scratch = Scratch(spark, "groups")
+    rows = scratch.keep(docs.where("doc_id is not null").withColumn("row", F.monotonically_increasing_id()))
+    groups = jaccard_join.jaccard_components(spark, rows.select(F.col("row").alias("doc_id"), "text"), size=5, percent=75)
+    groups = scratch.keep(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("row"), "component_id"))
+    members = groups.unionByName(groups.select(F.col("component_id").alias("row"), "component_id").distinct()).join(rows.select("row", "doc_id"), "row")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"))
+    gone = members.select("row").join(first, "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

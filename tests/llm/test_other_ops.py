@@ -214,3 +214,12 @@ def test_pipeline(spark, sf):
         if name == "pii":
             assert docs.where(F.col("text").rlike(r"@mail\d\.example")).count() == 0
     assert counts[0] > counts[1] > counts[2] == counts[3] and docs.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+
+
+def test_near_copies_go_by_their_own_text(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda seed: " ".join(f"w{k}" for k in np.random.RandomState(seed).randint(0, 9999, 40))
+    rows = [(7, text(0)), (7, text(1)), (7, text(2)), (9, text(0)), (3, text(2)), (5, text(3)), (5, text(3)), (None, text(3)), (None, text(3))]
+    kept = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(7, text(0)), (7, text(1)), (3, text(2)), (5, text(3)), (None, text(3)), (None, text(3))]
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
