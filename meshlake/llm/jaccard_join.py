@@ -18,7 +18,9 @@ Method
 Defined results
     Null or empty texts, and texts of white space only, have no shingles and stay alone. Repeated rows (equal doc_id) give
     one row; of several texts under one doc_id all take part, under the one id, and the largest set is counted. Rows with a
-    null doc_id are left out. Columns other than the two named ones are ignored.
+    null doc_id come back one by one, with their size and no component: they have no id by which a link could name them.
+    An empty table gives an empty result. Texts of any length count whole; they are hashed in portions of ``CHUNK_BYTES`` or
+    one text, and travel in Arrow batches bounded in bytes. Columns other than the two named ones are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +81,8 @@ def _add_slices(batches):
             part = np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.uint64)
             sums[k] = sums[k] + part if k in sums else part
     for k, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["slice", "counts"])
+        raw = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([raw], pa.binary())], ["slice", "counts"])
 
 
 def frequency_table(texts: DataFrame, size: int) -> np.ndarray:
@@ -89,19 +92,13 @@ def frequency_table(texts: DataFrame, size: int) -> np.ndarray:
     # tables of a few tasks are added up before those of all, so no task reads a slice from everywhere
     near = texts.mapInArrow(_count_cells(size), schema).withColumn("few", F.spark_partition_id() % 32)
     first = near.repartition(slices, "slice", "few").select("slice", "counts").mapInArrow(_add_slices, schema)
-    zipped = first.mapInArrow(_packed, schema)
-    total = zipped.repartition(slices, "slice").mapInArrow(_add_slices, schema).toArrow()
+    total = first.repartition(slices, "slice").mapInArrow(_add_slices, schema).toArrow()
     table = np.zeros(ORDER_CELLS, np.uint32).reshape(-1, SLICE_CELLS)
     for k, raw in zip(total.column("slice").to_pylist(), total.column("counts").to_pylist(), strict=True):
-        table[k] = np.frombuffer(raw, np.uint32)
+        table[k] = np.frombuffer(zlib.decompress(raw), np.uint32)
     return table.reshape(-1)
 
 
-def _packed(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array([zlib.compress(r, 1) for r in batch.column("counts").to_pylist()], pa.binary())], ["slice", "counts"])
-
-
 def _ordered_prefix(x: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The prefix of a sorted set, rare shingles first, and each one's count in the table."""
     take = len(x) - (-(-percent * len(x) // 100)) + 1
@@ -309,9 +306,10 @@ def jaccard_components(
     if not 0 < percent <= 100 or not 1 <= size <= 8:
         raise ValueError("percent must be in 1..100 and size in 1..8")
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(frequency_table(docs.select("text"), size))
-    members = scratch.keep(docs.mapInArrow(_members(shared, size, percent), "doc_id long, gid long, sid long, n long"))
+    everyone = scratch.keep(docs.mapInArrow(_members(shared, size, percent), "doc_id long, gid long, sid long, n long"))
+    members, docs = everyone.where("doc_id is not null"), docs.where("doc_id is not null")
 
     # node: the smallest doc_id with one set of shingles; rep: the smallest node of a group
     sets = members.where("sid is not null").groupBy("gid", "sid", "n").agg(F.min("doc_id").alias("node"))
@@ -348,6 +346,11 @@ def jaccard_components(
         graph.add(_ordered(pairs.union(mixed.where("node <> rep").select("node", "rep")) if turn == 0 else pairs))
     graph.add(_open_pairs(graph, buckets, nodes, mixed, fits))
 
-    labels = graph.label(nodes.select("sid", "node").distinct(), "node", "component_id").groupBy("sid").agg(F.min("component_id").alias("component_id"))
+    # one stored row per set that copies or links tie to another document; other documents need no label. Both sides of the
+    # join are plain exchanges, so Spark splits a set with any number of copies over tasks
+    copied = members.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"))
+    labels = graph.label(nodes.select("sid", "node").distinct(), "node", "component_id").groupBy("sid").agg(F.min("component_id").alias("component_id"), F.min("node").alias("node"))
+    labels = scratch.keep(labels.join(copied, "sid").where("copies > 1 or node <> component_id").select("sid", "component_id"))
     out = members.join(labels, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    out = out.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    return out.unionByName(everyone.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

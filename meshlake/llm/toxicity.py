@@ -23,7 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from meshlake.llm.common import bound_batches, same_columns
 from meshlake.llm.wordhash import _INV, _LOWER_BYTE, _POW, PUNCTUATION, U64, chunks, mix, text_buffers, words
 
 WINDOW, STRIDE = 32, 24
@@ -322,18 +324,18 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, per_class: t
     return train(rows.column("text"), toxic, weight)
 
 
-def score(docs: DataFrame, network: Network, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with a last column ``score``."""
+def score(docs: DataFrame, network: Network, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with a last column ``score_col``, in place of a column of that name (in any case) if there is one."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         net = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(net.scores(batch.column(batch.schema.names.index(text_col))), pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(net.scores(batch.column(batch.schema.names.index(text_col))), pa.float64())], [*batch.schema.names, score_col])
 
-    fields = [f for f in docs.schema.fields if f.name != "score"]
-    docs = docs.select([f.name for f in fields])
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double")
+    docs = docs.select(*(c for name, c in zip(docs.columns, same_columns(docs), strict=True) if name.lower() != score_col.lower()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:

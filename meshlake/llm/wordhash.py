@@ -18,7 +18,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Everything in ASCII but letters and digits.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER_BYTE = _BYTE[_LOWER]
-_CHUNK_BYTES = 1 << 20
+#: Bytes of text that are hashed at once; a longer text stands alone.
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,7 +58,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(off: np.ndarray, limit: int = _CHUNK_BYTES):
+def chunks(off: np.ndarray, limit: int = CHUNK_BYTES):
     """Row ranges of about ``limit`` bytes; a longer row stands alone."""
     row, n = 0, len(off) - 1
     while row < n:
