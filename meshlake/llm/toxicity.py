@@ -8,13 +8,16 @@ Method
     logistic function of its largest window logit and its number of windows, fitted on the training texts.
 
     Training takes a bounded sample of the labelled rows (``per_class`` of each class, the smallest hashes of the id, equal
-    texts once); log-odds come from this sample. In a toxic text the window with the most evidence is the positive one, in a
-    clean text the hardest and some other windows are negative. Gradients are computed by back-propagation through time.
+    texts once). Log-odds come from this sample by cross-fitting: the sample is dealt to folds, and a text is learnt from with
+    the log-odds of the other folds, so they look in training as they will on new texts. In a toxic text the window with the
+    most evidence is the positive one, in a clean text the hardest and some other windows are negative. Gradients are
+    computed by back-propagation through time. One fold takes no part in the steps; the parameters that do best on it are kept.
+    New texts are scored with the log-odds of all folds.
 
 Defined results
     Null and empty texts, and texts without words, score 0. Equal texts score equally. Rows with a null label or a null id
-    are not learnt from; if one class is missing, every text scores 0. Repeated rows give repeated results; other columns
-    are ignored.
+    are not learnt from; if one class is missing, every text scores 0. Repeated rows give repeated results; an empty table
+    gives an empty result. Texts of any length are scored whole, ``LEXICON_BYTES`` or one text at a time. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from meshlake.llm.common import bound_batches, same_columns
 from meshlake.llm.wordhash import _INV, _LOWER_BYTE, _POW, PUNCTUATION, U64, chunks, mix, text_buffers, words
 
 WINDOW, STRIDE = 32, 24
-HIDDEN, EMBED = 8, 4
+HIDDEN, EMBED = 16, 4
+#: Bytes of text whose distinct words are embedded together, when scoring and in one step of training.
+LEXICON_BYTES, STEP_BYTES = 1 << 19, 1 << 17
 WORD_SLOTS = GRAM_SLOTS = 1 << 18
 PRIOR = 5.0
 STATS = 3
@@ -101,6 +106,10 @@ class Network:
         self.calibration = np.array([1.0, 0.0, -2.0])  # of the largest logit, the log of the windows, and one
         self.trained = False
 
+    def see(self, odds: dict[str, np.ndarray]) -> None:
+        """Take these log-odds of words and n-grams as inputs from now on."""
+        self.word_stat, self.gram_stat = odds["word"], odds["gram"]
+
     def inputs(self, lex: Lexicon) -> np.ndarray:
         """One input row per distinct word."""
         size = np.diff(lex.gram_first).astype(np.float32)[:, None]
@@ -190,7 +199,7 @@ class Network:
 
     def best_logits(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best, count = np.full(len(off) - 1, -np.inf), np.zeros(len(off) - 1, dtype=np.int64)
-        for a, b in chunks(off):
+        for a, b in chunks(off, LEXICON_BYTES):
             lex = Lexicon(raw[off[a] : off[b]], off[a : b + 1] - off[a])
             if not len(lex.word):
                 continue
@@ -202,27 +211,29 @@ class Network:
         return np.where(count > 0, best, -60.0), count
 
 
-def _evidence(texts: pa.Array, toxic: np.ndarray, net: Network) -> None:
-    """Fill the log-odds of words and n-grams: counts of texts, smoothed towards the share of toxic texts."""
-    raw, off = text_buffers(texts)
-    counts = {k: np.zeros((2, n)) for k, n in (("word", WORD_SLOTS), ("gram", GRAM_SLOTS))}
-    for a, b in chunks(off):
+def _counts(raw: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """Texts of each class that hold a word or n-gram, by its slot."""
+    counts = {k: np.zeros((2, n), np.float32) for k, n in (("word", WORD_SLOTS), ("gram", GRAM_SLOTS))}
+    for a, b in chunks(off, LEXICON_BYTES):
         lex = Lexicon(raw[off[a] : off[b]], off[a : b + 1] - off[a])
         text = np.repeat(np.arange(b - a), np.diff(lex.first))
         pairs = np.unique(text * len(lex.word_slot) + lex.word) if len(lex.word) else np.zeros(0, np.int64)
         text, word = np.divmod(pairs, max(1, len(lex.word_slot)))
-        label = toxic[a + text]
         seen = np.unique(text * WORD_SLOTS + lex.word_slot[word])
         np.add.at(counts["word"], (toxic[a + seen // WORD_SLOTS], seen % WORD_SLOTS), 1)
         size = np.diff(lex.gram_first)[word]
         at = np.repeat(lex.gram_first[word], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         seen = np.unique(np.repeat(text, size) * GRAM_SLOTS + lex.gram[at])
         np.add.at(counts["gram"], (toxic[a + seen // GRAM_SLOTS], seen % GRAM_SLOTS), 1)
-        del label
-    share = toxic.mean()
-    for kind, into in (("word", net.word_stat), ("gram", net.gram_stat)):
-        clean, bad = counts[kind]
-        into[:] = np.log((bad + PRIOR * share) / (clean + PRIOR * (1 - share))) - np.log(share / (1 - share))
+    return counts
+
+
+def _log_odds(counts: dict[str, np.ndarray], share: float) -> dict[str, np.ndarray]:
+    """Log-odds of words and n-grams, smoothed towards the share of toxic texts."""
+    out = {}
+    for kind, (clean, bad) in counts.items():
+        out[kind] = np.log((bad + PRIOR * share) / (clean + PRIOR * (1 - share))) - np.log(share / (1 - share))
+    return out
 
 
 def _chosen_windows(lex: Lexicon, toxic: np.ndarray, net: Network, rng) -> tuple[np.ndarray, np.ndarray]:
@@ -245,32 +256,59 @@ def _chosen_windows(lex: Lexicon, toxic: np.ndarray, net: Network, rng) -> tuple
     return at[chosen[use]], bad[use]
 
 
-def train(texts: pa.Array, toxic: np.ndarray, class_weight: tuple[float, float] = (1.0, 1.0), epochs: int = 3, seed: int = 5) -> Network:
-    """Fit a network on texts and their labels (0 or 1). ``class_weight``: labelled rows that one sampled row stands for."""
+def _log_loss(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    z = np.clip(x @ _logistic(x, y, weight), -40, 40)
+    return float(((np.log1p(np.exp(z)) - y * z) * weight).sum() / weight.sum())
+
+
+def train(texts: pa.Array, toxic: np.ndarray, class_weight: tuple[float, float] = (1.0, 1.0), *, epochs: int = 3, least_steps: int = 200, folds: int = 5, seed: int = 5) -> Network:
+    """Fit a network on texts and their labels (0 or 1). ``class_weight``: labelled rows that one sampled row stands for.
+
+    At least ``epochs`` passes and ``least_steps`` gradient steps are made.
+    """
     net = Network()
     toxic = np.asarray(toxic).astype(np.int64)
     if len(set(toxic.tolist())) < 2:
         return net
-    _evidence(texts, toxic, net)
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    fold = np.empty(len(toxic), np.int64)
+    fold[np.argsort(toxic, kind="stable")] = np.arange(len(toxic)) % folds  # both classes in every fold
+    rows = [np.flatnonzero(fold == f) for f in range(folds)]
+    buffers = [text_buffers(texts.take(pa.array(r))) for r in rows]
+    counts = [_counts(raw, off, toxic[r]) for (raw, off), r in zip(buffers, rows, strict=True)]
+    total = {k: sum(c[k] for c in counts) for k in counts[0]}
+    share = toxic.mean()
+    stats = [_log_odds({k: total[k] - c[k] for k in total}, share) for c in counts]
+    weight = np.where(toxic == 1, class_weight[1], class_weight[0])
+
+    def judged(f: int) -> np.ndarray:
+        net.see(stats[f])
+        best, count = net.best_logits(*buffers[f])
+        return np.stack([best, np.log(np.maximum(count, 1)), np.ones(len(best))], axis=1)
+
     rng = np.random.RandomState(seed)
-    raw, off = text_buffers(texts)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    step = 0
+    step, best, test = 0, None, folds - 1
+    per_epoch = sum(len(list(chunks(off, STEP_BYTES))) for f, (_, off) in enumerate(buffers) if f != test)
+    epochs = max(epochs, -(-least_steps // max(1, per_epoch)))
     for epoch in range(epochs):
-        rate = 0.02 * 0.6**epoch
-        for a, b in chunks(off, 1 << 19):
+        rate = 0.02 * 0.1 ** (epoch / epochs)
+        parts = [(f, a, b) for f, (_, off) in enumerate(buffers) if f != test for a, b in chunks(off, STEP_BYTES)]
+        for f, a, b in (parts[k] for k in rng.permutation(len(parts))):
+            raw, off = buffers[f]
             lex = Lexicon(raw[off[a] : off[b]], off[a : b + 1] - off[a])
             if not len(lex.word):
                 continue
-            at, bad = _chosen_windows(lex, toxic[a:b], net, rng)
+            net.see(stats[f])
+            at, bad = _chosen_windows(lex, toxic[rows[f][a:b]], net, rng)
             if not len(bad):
                 continue
             words_used, at = np.unique(at, return_inverse=True)
             at = at.reshape(-1, WINDOW)
             real = words_used < len(lex.word_slot)
             x = net.inputs(lex)[words_used[real]]
-            weight = np.where(bad == 1, len(bad) / max(1, 2 * (bad == 1).sum()), len(bad) / max(1, 2 * (bad == 0).sum()))
-            grad, d_x = net.gradients(x, at, bad, np.minimum(weight, 8))
+            each = np.where(bad == 1, len(bad) / max(1, 2 * (bad == 1).sum()), len(bad) / max(1, 2 * (bad == 0).sum()))
+            grad, d_x = net.gradients(x, at, bad, np.minimum(each, 8))
             step += 1
             for k, v in net.p.items():
                 m, s = moment[k]
@@ -281,12 +319,18 @@ def train(texts: pa.Array, toxic: np.ndarray, class_weight: tuple[float, float]
             np.add.at(net.word_embed, slots, -rate * 5 * d_x[:, STATS : STATS + EMBED])
             g0, g1 = lex.gram_first[words_used[real]], lex.gram_first[words_used[real] + 1]
             size = g1 - g0
-            each = np.repeat(np.arange(len(size)), size)
+            of = np.repeat(np.arange(len(size)), size)
             at_gram = np.repeat(g0, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            np.add.at(net.gram_embed, lex.gram[at_gram], -rate * 5 * d_x[each, STATS + EMBED :] / size[each, None])
+            np.add.at(net.gram_embed, lex.gram[at_gram], -rate * 5 * d_x[of, STATS + EMBED :] / size[of, None])
+        if epoch % max(1, epochs // 4) == 0 or epoch == epochs - 1:
+            loss = _log_loss(judged(test), toxic[rows[test]], weight[rows[test]])
+            if best is None or loss < best[0]:
+                best = (loss, {k: v.copy() for k, v in net.p.items()}, net.word_embed.copy(), net.gram_embed.copy())
+    _, net.p, net.word_embed, net.gram_embed = best
+    seen = np.concatenate(rows)
+    net.calibration = _logistic(np.concatenate([judged(f) for f in range(folds)]), toxic[seen], weight[seen])
+    net.see(_log_odds(total, share))
     net.trained = True
-    best, count = net.best_logits(raw, off)
-    net.calibration = _logistic(np.stack([best, np.log(np.maximum(count, 1)), np.ones(len(best))], axis=1), toxic, np.where(toxic == 1, class_weight[1], class_weight[0]))
     return net
 
 
