@@ -5,20 +5,24 @@ Method
     first of which may be shorter. Full pieces are sequences of their own. The others are packed in rounds:
 
     1. documents over half of the capacity, no two of which fit together, open a sequence each;
-    2. documents and gaps are dealt to partitions by a hash that differs from round to round, and sorted by size there.
-       (Partitions by ranges of size would part documents from the gaps above them: with many partitions one size fills
-       whole partitions. Dealt by hash, each partition spans all sizes, so the number of rounds does not depend on the number
-       of partitions.) A partition is swept from small to large: a gap takes the largest waiting documents that fit it, so
-       a document goes to the nearest gap above it. Sweeps repeat on the updated gaps until nothing fits;
-    3. conflicts do not arise: a sweep hands out each gap and each document once, by rank in the order ``(size, id)``;
-    4. what is left is dealt anew. When a round places few documents, the largest waiting ones open as many sequences as the
-       total of those waiting needs.
-
-    A round moves only ``(id, size)`` rows, in one shuffle; the driver sees counts per size. Texts are read once, for the ids.
+    2. waiting documents and gaps are range-sorted by size, documents before gaps of the same size. A hash of the id stands
+       behind the size in the key, so one frequent size spreads over as many ranges as its rows need;
+    3. each range is swept from small to large: a gap takes the largest documents that wait below it and fit, so a document
+       goes to its successor among the gaps. What a range leaves are gaps that met no document, then documents that met no
+       gap, each with its rank;
+    4. the sweep goes on across ranges on counts alone (one row per range): the gaps of a range take the documents that the
+       nearest range below has left. Conflicts are settled by rank: the document of rank ``i`` goes to the gap of rank
+       ``i // m``, where ``m`` is the number of documents of that range that are sure to fit each such gap, and at most what
+       the documents are worth. An equi-join on (range, rank) brings the two together;
+    5. gaps shrink, and the next round starts. When a round places few documents, the largest waiting ones open as many
+       sequences as the total of those waiting needs.
+
+    A round moves only ``(id, size)`` rows; the driver sees counts per size and per range. Texts are read once, for the ids.
 
 Defined results
     Null texts count as empty: one piece that holds the end id. Repeated rows are packed like any other document, each
-    separately; rows with a null doc_id are packed as well. Other columns are ignored.
+    separately; rows with a null doc_id are packed as well. An empty table gives an empty result. Texts of any length are encoded
+    whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +32,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlake.llm.common import Scratch
 from meshlake.llm.tokens import token_encoder
 
-#: Rows of one partition of a round.
+#: Rows of one range of a round.
 SWEEP_ROWS = 100_000
 #: A round that places less than this share of the waiting documents lets new sequences open.
 FEW = 0.1
@@ -92,29 +97,78 @@ def settle(docs: list[tuple[int, int]], gaps: list[tuple[int, int]]) -> tuple[li
     return placed, docs, gaps
 
 
-_STATE = "kind int, size long, id long, sequence_id long, offset long"
+_STATE = "kind int, size long, id long, sequence_id long, offset long, range int, rank long"
 
 
 def _sweeps(capacity: int):
-    names = ["kind", "size", "id", "sequence_id", "offset"]
+    names = ["kind", "size", "id", "sequence_id", "offset", "range", "rank"]
 
     def run(batches):
+        at = TaskContext.get().partitionId()  # ranges are numbered from small sizes to large ones
         docs, gaps, rows = [], [], []
         for batch in batches:
             for kind, size, key, opened in zip(*(batch.column(c).to_pylist() for c in ("kind", "size", "id", "opened")), strict=True):
                 (gaps if kind else docs).append((size, key))
                 if opened:
-                    rows.append((2, 0, key, key, 0))
+                    rows.append((2, 0, key, key, 0, at, 0))
         placed, docs, gaps = settle(docs, gaps)
-        rows += [(2, 0, doc, key, capacity - room) for doc, key, room in placed]
-        rows += [(0, size, key, None, None) for size, key in docs] + [(1, size, key, None, None) for size, key in gaps]
+        rows += [(2, 0, doc, key, capacity - room, at, 0) for doc, key, room in placed]
+        # the largest document is the next one that a gap further up takes; the smallest gap is the first to be asked
+        rows += [(0, size, key, None, None, at, k) for k, (size, key) in enumerate(reversed(docs))]
+        rows += [(1, size, key, None, None, at, k) for k, (size, key) in enumerate(gaps)]
         for a in range(0, len(rows), 50_000):
             columns = zip(*rows[a : a + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "kind" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("kind", "range") else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
 
     return run
 
 
+def across_ranges(left: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Where the documents that ranges have left go: ``(range, from, to, gap_range, gap_from, m)``.
+
+    ``left``: per range, from small sizes to large, its number, documents and gaps left, the largest of those documents,
+    the smallest and the largest of those gaps. Document ``i`` of ``from .. to`` takes gap ``gap_from + (i - from) // m``.
+    """
+    out, stack = [], []  # of the stack: range, first rank, documents, largest size
+    for at, n_docs, n_gaps, large, small_gap, _ in left:
+        first = 0
+        while first < n_gaps and stack:
+            source, begin, n, size = stack[-1]
+            gaps = n_gaps - first
+            m = min(small_gap // size, -(-n // gaps))
+            taken = min(n, m * gaps)
+            out.append((source, begin, begin + taken, at, first, m))
+            first += -(-taken // m)
+            stack.pop()
+            if taken < n:
+                stack.append((source, begin + taken, n - taken, size))
+        if n_docs:
+            stack.append((at, 0, n_docs, large))
+    return out
+
+
+def _cross(spark: SparkSession, done: DataFrame, capacity: int) -> DataFrame:
+    """Documents and gaps after the sweep across ranges, and what it has placed."""
+    by_range = done.where("kind < 2").groupBy("range").agg(
+        F.count_if(F.col("kind") == 0).alias("docs"), F.count_if(F.col("kind") == 1).alias("gaps"),
+        F.max(F.when(F.col("kind") == 0, F.col("size"))).alias("large"), F.min(F.when(F.col("kind") == 1, F.col("size"))).alias("small"), F.max(F.when(F.col("kind") == 1, F.col("size"))).alias("high"),
+    )
+    moves = across_ranges(sorted(tuple(r) for r in by_range.collect()))  # one row per range
+    schema = "source int, begin long, end long, gap_range int, gap_from long, m long"
+    docs = done.where("kind = 0").join(spark.createDataFrame(moves, schema), (F.col("range") == F.col("source")) & (F.col("rank") >= F.col("begin")) & (F.col("rank") < F.col("end")), "left")
+    docs = docs.select("size", "id", "rank", "gap_range", F.expr("gap_from + (rank - begin) div m").alias("gap_rank"))
+    waiting = docs.where("gap_range is null").select(F.lit(0).alias("kind"), "size", "id", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+    going = docs.where("gap_range is not null").select(F.col("size").alias("doc_size"), F.col("id").alias("doc"), F.col("rank").alias("doc_rank"), F.col("gap_range").alias("range"), F.col("gap_rank").alias("rank"))
+    gaps = done.where("kind = 1").select("range", "rank", "size", F.col("id").alias("gap"))
+    one_gap = Window.partitionBy("range", "rank").orderBy("doc_rank")  # at most as many rows as documents fit a sequence
+    met = gaps.join(going, ["range", "rank"], "left").withColumn("used", F.coalesce(F.sum("doc_size").over(one_gap), F.lit(0))).withColumn("more", F.lead("doc").over(one_gap).isNotNull())
+    rows = F.array(
+        F.when(F.col("doc").isNotNull(), F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("size"), F.col("doc").alias("id"), F.col("gap").alias("sequence_id"), (capacity - F.col("size") + F.col("used") - F.col("doc_size")).alias("offset"))),
+        F.when(~F.col("more"), F.struct(F.lit(1).alias("kind"), (F.col("size") - F.col("used")).alias("size"), F.col("gap").alias("id"), F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))),
+    )
+    return waiting.unionByName(met.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*"))
+
+
 def best_fit(spark: SparkSession, items: DataFrame, capacity: int, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
     """Place ``items(item, length)`` (1 <= length <= capacity): ``item, sequence_id, offset``, gapless in each sequence.
 
@@ -129,10 +183,11 @@ def best_fit(spark: SparkSession, items: DataFrame, capacity: int, scratch: Scra
         rows = state.select(
             F.when(opened, 1).otherwise(F.col("kind")).alias("kind"), F.when(opened, capacity - F.col("size")).otherwise(F.col("size")).alias("size"), "id", opened.alias("opened")
         ).where(F.col("opened") | (F.col("kind") == 0) | (F.col("size") >= least))
-        dealt = rows.repartition(max(1, -(-n_rows // SWEEP_ROWS)), F.xxhash64("id", F.lit(turn)))
+        dealt = rows.repartitionByRange(max(1, -(-n_rows // SWEEP_ROWS)), "size", "kind", F.xxhash64("id", F.lit(turn)))
         done = scratch.keep(dealt.mapInArrow(_sweeps(capacity), _STATE))
-        placed.append(done.where("kind = 2").select(F.col("id").alias("item"), "sequence_id", "offset"))
-        sizes = done.where("kind < 2").groupBy("kind", "size").agg(F.count("*").alias("k")).toArrow().to_pylist()  # at most two rows per size
+        crossed = scratch.keep(_cross(spark, done, capacity))
+        placed += [df.where("kind = 2").select(F.col("id").alias("item"), "sequence_id", "offset") for df in (done, crossed)]
+        sizes = crossed.where("kind < 2").groupBy("kind", "size").agg(F.count("*").alias("k")).toArrow().to_pylist()  # at most two rows per size
         waiting = sorted(((r["size"], r["k"]) for r in sizes if r["kind"] == 0), reverse=True)
         now = sum(k for _, k in waiting)
         if not now:
@@ -141,7 +196,7 @@ def best_fit(spark: SparkSession, items: DataFrame, capacity: int, scratch: Scra
         fits = sum(r["k"] for r in sizes if r["kind"] == 1 and r["size"] >= least)
         n_rows = now + fits
         opens = F.lit(False)
-        if not fits or (n is not None and now > (1 - FEW) * n) or n_rows <= SWEEP_ROWS:
+        if not fits or (n is not None and now > (1 - FEW) * n):
             need = -(-sum(size * k for size, k in waiting) // capacity)
             for size, k in waiting:
                 if k >= need:
@@ -151,7 +206,7 @@ def best_fit(spark: SparkSession, items: DataFrame, capacity: int, scratch: Scra
                     break
                 need -= k
         n = now
-        state = done.where("kind < 2").select("kind", "size", "id")
+        state = crossed.where("kind < 2").select("kind", "size", "id")
     else:
         raise RuntimeError("packing did not settle")
     out = placed[0]

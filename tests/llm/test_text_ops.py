@@ -141,6 +141,26 @@ def test_packing_odd_rows_and_small_groups(spark, odd, monkeypatch):
     assert packing.pack(spark, odd.limit(0), VOCABULARY).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[5] * 3000, [30] * 900 + [70] * 900, list(range(1, 100)) * 12, [60] * 500, [100, 1]])
+def test_best_fit_in_many_ranges(spark, monkeypatch, sizes):
+    monkeypatch.setattr(packing, "SWEEP_ROWS", 50)
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    rows = packing.best_fit(spark, items, 100, common.Scratch(spark, "t")).collect()
+    assert sorted(r.item for r in rows) == list(range(len(sizes)))
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, sizes[r.item]))
+    for spans in places.values():
+        assert [s for s, _ in sorted(spans)] == [sum(n for _, n in sorted(spans)[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= 100
+    floor = max(-(-sum(sizes) // 100), sum(n > 50 for n in sizes))
+    assert len(places) <= 1.02 * floor + 1
+
+
+def test_documents_go_to_gaps_above_them():
+    moves = packing.across_ranges([(0, 5, 0, 9, None, None), (1, 2, 0, 19, None, None), (2, 0, 3, None, 40, 45), (3, 1, 1, 60, 58, 59)])
+    assert moves == [(1, 0, 2, 2, 0, 1), (0, 0, 4, 2, 2, 4), (0, 4, 5, 3, 0, 1)]
+
+
 def test_token_matrices_round_trip(spark, odd):
     rows = token_shards.token_matrices(odd, VOCABULARY, width=32, shard_tokens=500).collect()
     got, encode = defaultdict(list), token_encoder(VOCABULARY)
