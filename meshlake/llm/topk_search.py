@@ -1,22 +1,25 @@
 """Exact top-k search by inner product with sorted lists and no random access.
 
 Method
-    The candidates are dealt to blocks. A block holds one list per dimension, sorted by value. For a query the list of
-    dimension ``d`` is read from the end where ``query[d] * value`` is largest. After each step of reading, a candidate has a
-    lower bound (what was read of it, plus for each unread list the least that list holds) and an upper bound (what was
-    read, plus for each unread list the value at its cursor). Reading stops for a query when no candidate outside its best
-    ``k`` can still qualify: its upper bound is below the k-th largest lower bound, which is carried from block to block of a
-    task. Rows of one id count once there, with their largest bound. For those that are left the remaining entries are read,
-    which resolves their scores exactly.
-
-    The bounds of all candidates of a block for many queries are matrix products over "read so far" copies of the block, in
-    whole numbers held exactly by doubles. Each task returns at most ``k`` rows per query; these are merged by a window over
-    (query), whose input is ``k`` rows per query and task.
+    Candidates and queries are dealt to groups by hash, and every group of queries meets every group of candidates in one task.
+    There the candidates are cut into blocks. A block is one list per dimension, sorted by value, which is read in portions
+    from the end where ``query[d] * value`` is largest; nothing else of a candidate is ever looked up. What has been read of a
+    candidate adds up to a partial score. With each unread entry put at the least that its list holds this is a lower bound,
+    with each put at the list's cursor an upper bound. Reading for a query stops when few candidates outside its best ``k``
+    can still qualify: the others have upper bounds below the k-th largest lower bound, which is carried from block to block
+    (rows of one id count once there, with their largest bound). The lists are then read on to their ends for those that are
+    left, which resolves their scores exactly.
+
+    Portions are read for many queries at once, as matrix products in whole numbers that the number type holds exactly. A task
+    returns at most ``k`` rows per query; these are merged by a window over (query), which Spark limits before the shuffle.
 
 Defined results
-    Vectors that are null or hold null, NaN or infinite components take no part, neither as queries nor as candidates. A
-    query is compared with vectors of its own length only, and never with rows of its own id. Repeated rows are one
-    candidate each time their id differs; equal ids are one candidate with its best score. Ties go to the smaller id.
+    Vectors that are null or hold null, NaN or infinite components take no part, neither as queries nor as candidates, nor do
+    rows with a null id, which no result could name. A query is compared with vectors of its own length only, and never with
+    rows of its own id. Repeated rows count once; an id with several vectors is one candidate with its best score, and as a
+    query it asks with all of them. Ties go to the smaller id. Fewer than ``k`` candidates are all returned; an empty table
+    gives an empty result. Where scores could pass 2^53 wider numbers are used; scores that do not fit a long are an error.
+    Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,19 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Candidates of one block of sorted lists.
-BLOCK = 4096
-#: Queries that a task holds at once.
-QUERY_BLOCK = 1024
-#: Shares of the lists that are read before the bounds are looked at.
-DEPTHS = (0.5, 0.75, 0.875)
+from meshlake.llm.common import bound_batches
+
+#: Candidates of one block of sorted lists, and of one group.
+BLOCK, GROUP_ROWS = 4096, 8192
+#: Queries that a task reads for at once.
+QUERY_BLOCK = 256
+#: Shares of the lists at which the bounds are looked at.
+DEPTHS = (0.125, 0.25, 0.5, 0.75)
 
 
 class BestLists:
     """The best ``k`` (score, id) of each query so far."""
 
-    def __init__(self, n: int, k: int):
-        self.score = np.full((n, k), -np.inf)
+    def __init__(self, n: int, k: int, kind=np.float64):
+        self.score = np.full((n, k), -np.inf, dtype=kind)
         self.id = np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64)
 
     def offer(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
@@ -67,10 +72,13 @@ class BestLists:
 
 
 class SortedLists:
-    """One block of candidates with its lists, and what has been read of them at each depth."""
+    """One block of candidates as lists, cut into the portions in which they are read.
+
+    Columns come twice: as read from the largest value down, and from the smallest up.
+    """
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, depths=DEPTHS):
-        self.x, self.ids = vectors, ids
+        self.ids = ids
         n = len(vectors)
         self.by_id = np.argsort(ids, kind="stable")
         self.first_of_id = np.flatnonzero(np.r_[True, np.diff(ids[self.by_id]) != 0])
@@ -78,17 +86,19 @@ class SortedLists:
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
         ascending = np.take_along_axis(vectors, order, axis=0)
-        self.low, self.high = ascending[0], ascending[-1]
-        self.steps = []
-        for share in depths:
-            deep = min(n, max(1, int(n * share)))
-            top, bottom = rank >= n - deep, rank < deep
-            cursor_top, cursor_bottom = ascending[n - deep], ascending[deep - 1]
-            # entries already read, and the bounds that stand for unread ones
-            self.steps.append((
-                np.hstack([np.where(top, vectors, cursor_top), np.where(bottom, vectors, cursor_bottom)]),
-                np.hstack([np.where(top, vectors, self.low), np.where(bottom, vectors, self.high)]),
-            ))
+        places = np.hstack([n - 1 - rank, rank])
+        values = np.hstack([vectors, vectors])
+        least = np.hstack([ascending[0], ascending[-1]])
+        zero = vectors.dtype.type(0)
+        #: Entries of each portion, and the cursor and the least value in the place of entries that are still unread.
+        self.portions = []
+        done = 0
+        for end in sorted({min(n, max(1, int(n * share))) for share in depths} | {n}):
+            entries = np.where((places >= done) & (places < end), values, zero)
+            cursor = np.hstack([ascending[n - end], ascending[end - 1]])
+            unread = places >= end
+            self.portions.append((entries, np.where(unread, cursor, zero), np.where(unread, least, zero)))
+            done = end
 
     def _kth(self, bounds: np.ndarray, k: int) -> np.ndarray | None:
         """The k-th largest bound over distinct ids; none if the block has fewer ids."""
@@ -100,76 +110,60 @@ class SortedLists:
         return np.partition(bounds, n - k, axis=1)[:, n - k]
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, best: BestLists) -> None:
+        """Read for all queries until each one's best are known."""
         k = best.score.shape[1]
+        bar, reading = best.bar(), np.arange(len(queries))
+        # positive components read from the top, negative ones from the bottom
         split = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
-        open_queries = np.arange(len(queries))
-        bar = best.bar()
         own = self.ids[None, :] == query_ids[:, None]
-        for upper_of, lower_of in self.steps:
-            if not len(open_queries):
+        partial = np.zeros((len(queries), len(self.ids)), dtype=queries.dtype)
+        for turn, (entries, cursor, least) in enumerate(self.portions):
+            if not len(reading):
                 return
-            q = split[open_queries]
-            upper = q @ upper_of.T
-            lower = q @ lower_of.T
-            mine = own[open_queries]
+            q, mine = split[reading], own[reading]
+            partial += q @ entries.T
+            upper, lower = partial + q @ cursor.T, partial + q @ least.T
             upper[mine] = lower[mine] = -np.inf
             if (kth := self._kth(lower, k)) is not None:
                 # k-th largest lower bound: of this block, or of the blocks before
-                bar[open_queries] = np.maximum(bar[open_queries], kth)
-            left = upper >= bar[open_queries][:, None]
-            left &= ~mine
-            few = left.sum(axis=1) <= max(8 * k, self.x.shape[0] // 16)
-            self._resolve(queries, open_queries[few], left[few], best)
-            open_queries = open_queries[~few]
-        if len(open_queries):
-            # read to the end: everything is resolved
-            self._resolve_all(queries, open_queries, own, best)
-
-    def _resolve(self, queries, which, left, best) -> None:
-        row, column = np.nonzero(left)
-        score = np.einsum("ij,ij->i", queries[which[row]], self.x[column]) if len(row) else np.zeros(0)
-        best.offer(which[row], score, self.ids[column])
-
-    def _resolve_all(self, queries, which, own, best) -> None:
-        k = best.score.shape[1]
-        score = queries[which] @ self.x.T
-        score[own[which]] = -np.inf
-        bar = best.score[which, -1]
-        if (kth := self._kth(score, k)) is not None:
-            bar = np.maximum(bar, kth)
-        row, column = np.nonzero((score >= bar[:, None]) & np.isfinite(score))
-        best.offer(which[row], score[row, column], self.ids[column])
-
-
-def _search(shared, k: int, dim: int):
-    def run(batches):
-        query_ids, queries = shared.value
-        best = BestLists(len(query_ids), k)
-        held_x, held_i, rows = [], [], 0
-
-        def block():
-            lists = SortedLists(np.concatenate(held_x), np.concatenate(held_i))
-            for a in range(0, len(query_ids), QUERY_BLOCK):
-                b = min(a + QUERY_BLOCK, len(query_ids))
-                part = BestLists(0, k)
-                part.score, part.id = best.score[a:b], best.id[a:b]
-                lists.search(queries[a:b], query_ids[a:b], part)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held_x.append(batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
-            held_i.append(batch.column("vec_id").to_numpy())
-            rows += batch.num_rows
-            if rows >= BLOCK:
-                block()
-                held_x, held_i, rows = [], [], 0
-        if rows:
-            block()
-        q, r = np.nonzero(np.isfinite(best.score))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[q]), pa.array(best.id[q, r]), pa.array(best.score[q, r].astype(np.int64))], ["query_id", "vec_id", "score"]
-        )
+                bar[reading] = np.maximum(bar[reading], kth)
+            left = (upper >= bar[reading][:, None]) & ~mine
+            last = turn + 1 == len(self.portions)
+            stop = left.sum(axis=1) <= max(8 * k, len(self.ids) // 16) if not last else np.ones(len(reading), dtype=bool)
+            row, column = np.nonzero(left[stop])
+            score, at = partial[stop][row, column], reading[stop][row]
+            for more, _, _ in self.portions[turn + 1 :]:
+                score += np.einsum("ij,ij->i", split[at], more[column])
+            best.offer(at, score, self.ids[column])
+            reading, partial = reading[~stop], partial[~stop]
+
+
+def _vectors(table: pa.Table, dim: int) -> np.ndarray:
+    return table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _search(k: int):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def run(candidates: pa.Table, asked: pa.Table) -> pa.Table:
+        if not candidates.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        dim = candidates.column("dim")[0].as_py()
+        x, q = _vectors(candidates, dim), _vectors(asked, dim)
+        ids, query_ids = candidates.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
+        most = dim * float(np.abs(x).max()) * float(np.abs(q).max())
+        if most >= 2.0**63:
+            raise OverflowError("inner products do not fit a long")
+        kind = np.float64 if most < 2.0**52 else np.longdouble
+        best = BestLists(len(q), k, kind)
+        for a in range(0, len(x), BLOCK):
+            lists = SortedLists(x[a : a + BLOCK].astype(kind), ids[a : a + BLOCK])
+            for b in range(0, len(q), QUERY_BLOCK):
+                part = BestLists(0, k, kind)
+                part.score, part.id = best.score[b : b + QUERY_BLOCK], best.id[b : b + QUERY_BLOCK]
+                lists.search(q[b : b + QUERY_BLOCK].astype(kind), query_ids[b : b + QUERY_BLOCK], part)
+        row, place = np.nonzero(np.isfinite(best.score))
+        return pa.table([query_ids[row], best.id[row, place], best.score[row, place].astype(np.int64)], schema=schema)
 
     return run
 
@@ -183,38 +177,33 @@ def top_k(
     scale: int = 256,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    queries_at_once: int = 32_768,
+    queries_at_once: int = 8192,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` best candidates of each query.
 
-    Components are turned into ``floor(scale * x)``; the score is the whole-number inner product. Queries travel in sets of
-    ``queries_at_once`` (8 bytes a component), each of which is one pass over the candidates.
+    Components are turned into ``floor(scale * x)``; the score is the whole-number inner product. A task meets about
+    ``GROUP_ROWS`` candidates and ``queries_at_once`` queries.
     """
-    if k < 1:
-        raise ValueError("k must be positive")
+    if k < 1 or queries_at_once < 1:
+        raise ValueError("k and queries_at_once must be positive")
+    bound_batches(spark)
 
     def whole(df: DataFrame) -> DataFrame:
         x = F.col(vector_col).cast("array<double>")
         fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
         out = df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"), fine.alias("fine")).where("vec_id is not null and fine and size(x) > 0")
-        return out.select("vec_id", F.transform("x", lambda v: F.floor(v * float(scale)).cast("double")).alias("vector"))
+        # doubles from 2^52 on are whole already, and may not fit a long
+        floor = lambda v: F.when(F.abs(v * float(scale)) >= 2.0**52, v * float(scale)).otherwise(F.floor(v * float(scale)).cast("double"))
+        return out.select("vec_id", F.size("x").alias("dim"), F.transform("x", floor).alias("vector"))
 
     candidates, asked = whole(vectors), whole(queries)
-    parts = []
-    for dim, n in asked.groupBy(F.size("vector").alias("dim")).count().collect():  # one row per length of vector
-        turns = max(1, -(-n // queries_at_once))
-        for turn in range(turns):
-            mine = asked.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(turns)) == turn)).toArrow()
-            ids = mine.column("vec_id").to_numpy()
-            x = mine.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            order = np.argsort(ids, kind="stable")
-            shared = spark.sparkContext.broadcast((ids[order], x[order]))
-            parts.append(candidates.where(F.size("vector") == dim).mapInArrow(_search(shared, k, dim), "query_id long, vec_id long, score long"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    groups = lambda df, rows, name: df.groupBy("dim").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    sizes = groups(candidates, GROUP_ROWS, "gs").join(groups(asked, queries_at_once, "hs"), "dim")  # one row per length of vector
+    key = ["dim", "g", "h"]
+    left = candidates.distinct().join(sizes, "dim").withColumn("g", F.expr("cast(pmod(xxhash64(vec_id, vector), gs) as int)")).withColumn("h", F.explode(F.expr("sequence(0, hs - 1)")))
+    right = asked.distinct().join(sizes, "dim").withColumn("h", F.expr("cast(pmod(xxhash64(vec_id, vector), hs) as int)")).withColumn("g", F.explode(F.expr("sequence(0, gs - 1)")))
+    left, right = (df.select(*(F.col(c).alias(c) for c in (*key, "vec_id", "vector"))) for df in (left, right))
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

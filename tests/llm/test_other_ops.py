@@ -115,6 +115,20 @@ def test_reading_stops_early():
     assert (best.id == order).all()
 
 
+def test_top_k_with_large_components(spark):
+    rng = np.random.RandomState(4)
+    rows = [(i % 60, [float(v) for v in rng.randint(-(2**29), 2**29, 6)], 0) for i in range(90)] + [(3, [1.5, -0.5, 0.0, 0.0, 0.0, 0.0], 0)] * 4
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.top_k(spark, frame, frame.where("vec_id = 3"), k=70, scale=1).collect()}
+    best = {}
+    for i, x, _ in rows:
+        for j, y, _ in rows:
+            if i == 3 and j != 3:
+                s = sum(int(np.floor(a)) * int(np.floor(b)) for a, b in zip(x, y, strict=True))
+                best[j] = max(best.get(j, s), s)
+    assert got == {(3, r + 1): (j, -s) for r, (s, j) in enumerate(sorted((-s, j) for j, s in best.items()))}
+
+
 CALLS = [
     ("c", 5, "a", "add", '{"y": 2, "x": 1}', []), ("c", 1, "b", "add", '{"x": "1", "y": 2}', ["a"]), ("c", 2, "d", "add", '{"x": 1}', []), ("c", 3, "e", "add", "nonsense", []),
     ("c", 4, "f", "other", "{}", []), ("c", 6, "g", "add", '{"x":1,"y":2,"z":3}', []), ("x", 1, "p", "add", '{"x":1,"y":2}', ["q"]), ("x", 2, "q", "add", '{"x":1,"y":2}', ["p"]),
