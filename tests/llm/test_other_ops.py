@@ -54,12 +54,30 @@ def brute_links(rows, threshold):
 def test_near_duplicates(spark, monkeypatch):
     rows = cluster_rows()
     want = brute_links(rows, 0.98)
-    for cell, block in ((8192, 2048), (20, 16)):
+    for cell, block, tile in ((8192, 16384, 2048), (20, 16, 2048), (100, 16384, 7)):
         monkeypatch.setattr(embedding_dedup, "CELL_ROWS", cell)
         monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        monkeypatch.setattr(embedding_dedup, "TILE", tile)
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark, vectors(spark, rows)).collect()}
         assert got == want
     assert embedding_dedup.near_duplicates(spark, vectors(spark, [])).count() == 0
+    got = embedding_dedup.near_duplicates(spark, vectors(spark, [(None, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (1, [1.0, 0.0], 0)])).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 0, 1, True), (None, 0, None, True), (None, 0, None, True)]
+
+
+def test_clustered_vectors_stay_in_their_cells(spark):
+    # tight clusters: with default settings nearly every vector has one cell, and links equal brute force
+    rng = np.random.RandomState(5)
+    x = rng.randn(4, 32)
+    x = (x / np.linalg.norm(x, axis=1)[:, None])[rng.randint(0, 4, 900)] + 0.03 * rng.randn(900, 32)
+    rows = [(k, [float(v) for v in x[k]], k % 2) for k in range(900)]
+    unit = embedding_dedup.unit(x)
+    centroids = embedding_dedup.fit_centroids(unit, embedding_dedup.LEAST_CELLS)
+    placed = embedding_dedup.cells_of(unit, centroids, 0.98)
+    assert len(placed[0]) < 1.1 * len(x)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark, frame).collect()}
+    assert got == brute_links(rows, 0.98)
 
 
 def test_top_k(spark, monkeypatch):
