@@ -38,7 +38,7 @@ from meshlake.llm.wordhash import U64, mix, shingle_sets
 #: Cells of the table of frequencies (4 bytes each) and of one slice of it.
 ORDER_CELLS, SLICE_CELLS = 1 << 22, 1 << 14
 #: Shingles held by a task before it counts them, and prefix rows before it hands them on.
-HELD, OUT_ROWS = 1 << 19, 1 << 17
+HELD, OUT_ROWS = 1 << 18, 1 << 16
 #: Prefix rows after which a task forgets which groups it has emitted.
 WINDOW = 1 << 22
 #: Cells of a set's histogram, by which an upper bound of the overlap of two sets is known without their members.
@@ -63,10 +63,10 @@ def _count_cells(size: int):
                 held.append((x & U64(ORDER_CELLS - 1)).astype(np.int64))
                 rows += len(x)
                 if rows >= HELD:
-                    table += np.bincount(np.concatenate(held), minlength=ORDER_CELLS).astype(np.uint32)
+                    np.add.at(table, np.concatenate(held), np.uint32(1))
                     held, rows, seen = [], 0, set()
         if held:
-            table += np.bincount(np.concatenate(held), minlength=ORDER_CELLS).astype(np.uint32)
+            np.add.at(table, np.concatenate(held), np.uint32(1))
         for k, part in enumerate(table.reshape(-1, SLICE_CELLS)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "counts"])

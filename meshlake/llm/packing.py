@@ -9,7 +9,7 @@ Method
        behind the size in the key, so one frequent size spreads over as many ranges as its rows need;
     3. each range is swept from small to large: a gap takes the largest documents that wait below it and fit, so a document
        goes to its successor among the gaps. What a range leaves are gaps that met no document, then documents that met no
-       gap, each with its rank;
+       gap, each with its rank, and gaps that have shrunk, which wait for the next round;
     4. the sweep goes on across ranges on counts alone (one row per range): the gaps of a range take the documents that the
        nearest range below has left. Conflicts are settled by rank: the document of rank ``i`` goes to the gap of rank
        ``i // m``, where ``m`` is the number of documents of that range that are sure to fit each such gap, and at most what
@@ -115,7 +115,10 @@ def _sweeps(capacity: int):
         rows += [(2, 0, doc, key, capacity - room, at, 0) for doc, key, room in placed]
         # the largest document is the next one that a gap further up takes; the smallest gap is the first to be asked
         rows += [(0, size, key, None, None, at, k) for k, (size, key) in enumerate(reversed(docs))]
-        rows += [(1, size, key, None, None, at, k) for k, (size, key) in enumerate(gaps)]
+        # a gap that has shrunk may be below its range; it waits for the next round (kind 3)
+        shrunk = {key for _, key, _ in placed}
+        rows += [(3, size, key, None, None, at, 0) for size, key in gaps if key in shrunk]
+        rows += [(1, size, key, None, None, at, k) for k, (size, key) in enumerate(g for g in gaps if g[1] not in shrunk)]
         for a in range(0, len(rows), 50_000):
             columns = zip(*rows[a : a + 50_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("kind", "range") else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
@@ -166,7 +169,8 @@ def _cross(spark: SparkSession, done: DataFrame, capacity: int) -> DataFrame:
         F.when(F.col("doc").isNotNull(), F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("size"), F.col("doc").alias("id"), F.col("gap").alias("sequence_id"), (capacity - F.col("size") + F.col("used") - F.col("doc_size")).alias("offset"))),
         F.when(~F.col("more"), F.struct(F.lit(1).alias("kind"), (F.col("size") - F.col("used")).alias("size"), F.col("gap").alias("id"), F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))),
     )
-    return waiting.unionByName(met.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*"))
+    shrunk = done.where("kind = 3").select(F.lit(1).alias("kind"), "size", "id", "sequence_id", "offset")
+    return waiting.unionByName(shrunk).unionByName(met.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*"))
 
 
 def best_fit(spark: SparkSession, items: DataFrame, capacity: int, scratch: Scratch, max_rounds: int = 200) -> DataFrame:

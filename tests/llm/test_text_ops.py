@@ -141,7 +141,7 @@ def test_packing_odd_rows_and_small_groups(spark, odd, monkeypatch):
     assert packing.pack(spark, odd.limit(0), VOCABULARY).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [[5] * 3000, [30] * 900 + [70] * 900, list(range(1, 100)) * 12, [60] * 500, [100, 1]])
+@pytest.mark.parametrize("sizes", [[5] * 3000, [30] * 900 + [70] * 900, list(range(1, 100)) * 12, [60] * 500, [100, 1], random.Random(3).choices(range(1, 100), k=1500), random.Random(4).choices([3, 4, 45, 55, 70], k=1500)])
 def test_best_fit_in_many_ranges(spark, monkeypatch, sizes):
     monkeypatch.setattr(packing, "SWEEP_ROWS", 50)
     items = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
