@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from meshlake.llm.common import bound_batches, same_columns
+from meshlake.llm.common import Scratch, bound_batches, same_columns
 from meshlake.llm.wordhash import _INV, _LOWER_BYTE, _POW, PUNCTUATION, U64, chunks, mix, text_buffers, words
 
 WINDOW, STRIDE = 32, 24
@@ -353,8 +353,11 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, per_class: tuple[int, int] = (4000, 2000)) -> Network:
-    """Train on at most ``per_class`` labelled rows of each class (clean, toxic) that are not held out."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, per_class: tuple[int, int] = (4000, 2000), sample_bytes: int = 32 << 20) -> Network:
+    """Train on at most ``per_class`` labelled rows of each class (clean, toxic) that are not held out.
+
+    Their texts are taken in the order of the ids' hashes as long as they fit ``sample_bytes`` together.
+    """
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     picked = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[c]).toArrow() for c in (0, 1)]
@@ -362,7 +365,15 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, per_class: t
     # the bound on the sample bounds this broadcast
     sample = F.broadcast(spark.createDataFrame(list(zip(*(ids.column(c).to_pylist() for c in ("doc_id", "toxic")), strict=True)), "doc_id long, toxic int"))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").where("text is not null").groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("doc_id", "toxic", "text")).alias("r"))
-    rows = rows.select("r.*").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    rows = Scratch(spark, "toxicity").keep(rows.select("r.*"))
+    sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("bytes")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    taken, used = [], 0
+    for doc_id, size in zip(sizes.column("doc_id").to_pylist(), sizes.column("bytes").to_pylist(), strict=True):  # no more than the sample
+        if used + size <= sample_bytes:
+            taken.append((doc_id,))
+            used += size
+    chosen = F.broadcast(spark.createDataFrame(taken, "doc_id long"))
+    rows = rows.join(chosen, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
     toxic = rows.column("toxic").to_numpy().astype(np.int64)
     weight = tuple(totals.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1))
     return train(rows.column("text"), toxic, weight)

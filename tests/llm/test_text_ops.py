@@ -322,6 +322,15 @@ def test_toxicity_on_held_out_texts():
     assert net.scores(pa.array(["", None, "...", "grump"])).tolist()[:3] == [0.0, 0.0, 0.0]
 
 
+def test_toxicity_on_the_tables(spark, sf):
+    """Held-out recall and precision on documents and labels, which the query has not learnt from."""
+    big = sf.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{big}/labels.parquet").where("toxic in (0, 1)").select("doc_id", "toxic")
+    rows = queries.op3_toxicity(spark, big).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in rows}
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.85 * (n[1, 1] + n.get((0, 1), 0))
+
+
 def test_network_gradients():
     lex = toxicity.Lexicon(*wordhash.text_buffers(pa.array(["a bb ccc dd e " * 9, "x y z"])))
     net, (_, at) = toxicity.Network(), lex.windows()
