@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -22,6 +24,16 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps have left: Spark's cleaner removes their shuffle files and broadcasts once the driver has
+    collected its garbage, and freed memory of the driver's Python goes back to the system."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or the first of ``name_1``, ``name_2`` .. that is no column of ``df`` in any case."""
     taken, out, k = {c.lower() for c in df.columns}, name, 0

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import Scratch, connected_components
+from meshlake.llm.common import Scratch, connected_components, release
 from meshlake.llm.wordhash import U64, mix, shingle_sets
 
 #: Cells of the table of frequencies (4 bytes each) and of one slice of it.
@@ -241,6 +241,7 @@ class _Graph:
         self.scratch.drop(old)
         self.components = connected_components(self.links, self.scratch)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        release(self.scratch.spark)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -334,6 +335,8 @@ def jaccard_components(
     wanted = buckets.select(F.col("rep").alias("doc_id")).union(mixed.select("node")).distinct()
     texts = scratch.keep(docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct())
 
+    release(spark)
+
     # several texts under one doc_id tie their sets together
     several = members.where("sid is not null").groupBy("doc_id").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y")
     same = members.join(several.select("doc_id"), "doc_id").join(nodes.select("sid", "node"), "sid").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))

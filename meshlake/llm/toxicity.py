@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from meshlake.llm.common import Scratch, bound_batches, same_columns
+from meshlake.llm.common import Scratch, bound_batches, release, same_columns
 from meshlake.llm.wordhash import _INV, _LOWER_BYTE, _POW, PUNCTUATION, U64, chunks, mix, text_buffers, words
 
 WINDOW, STRIDE = 32, 24
@@ -376,7 +376,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, per_class: t
     rows = rows.join(chosen, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
     toxic = rows.column("toxic").to_numpy().astype(np.int64)
     weight = tuple(totals.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1))
-    return train(rows.column("text"), toxic, weight)
+    network = train(rows.column("text"), toxic, weight)
+    del rows
+    release(spark)
+    return network
 
 
 def score(docs: DataFrame, network: Network, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
