@@ -110,3 +110,14 @@ def bracket(points: DataFrame, curve: DataFrame, by: list[str], at: str, x: str,
     found = hit.groupBy(*points.columns).agg(value)
     out = points.join(found, points.columns, "left")
     return out if outside is None else out.withColumn(y, F.coalesce(y, F.lit(outside)))
+
+
+def classes_to_depths(section: DataFrame, density: DataFrame, depths: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``by.., z, value`` of a section in density classes at ``depths(by.., z)``, by way of the depth of each class.
+
+    ``section(by.., dens, value)`` and ``density(by.., z, rho)``: a class lies where its density is met, at 0 outside the
+    profile and there without effect; values are linear between classes and missing outside them.
+    """
+    placed = bracket(section.select(*by, "dens", value), density.select(*by, "rho", F.col("z").alias("depth")), by, "dens", "rho", "depth")
+    placed = placed.where("depth > 0").groupBy(*by, "depth").agg(F.min(value).alias(value))
+    return bracket(depths.select(*by, "z"), placed, by, "z", "depth", value, outside=None)

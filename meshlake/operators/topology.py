@@ -15,7 +15,12 @@ from meshlake.operators.mesh import Mesh, boundary_edges, elem_neighbours, elem_
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again, which cuts the lineage of an iteration."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        # one machine only: executors of a cluster do not share such a folder
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

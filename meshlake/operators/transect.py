@@ -71,13 +71,29 @@ def transport_path(cuts: DataFrame) -> DataFrame:
     return rows.select("name", "seg", "rank", "nx", "ny", "p.*")
 
 
-def transect_transport(path: DataFrame, velocity: DataFrame, mesh: Mesh, *, factor: float = 1e-6, inverse: bool = False, by: tuple = ("name",)) -> DataFrame:
-    """Volume transport ``(-u dy + v dx) dz`` through the path per ``by``, times ``factor``; ``inverse`` turns the sign."""
+def transect_transport(path: DataFrame, velocity: DataFrame, mesh: Mesh, *, factor: float = 1e-6, inverse: bool = False, by: tuple = ("name",), oriented: bool = False) -> DataFrame:
+    """Volume transport ``(-u dy + v dx) dz`` through the path per ``by``, times ``factor``; ``inverse`` turns the sign.
+
+    With ``oriented`` flow counts northward and eastward, whatever the course of a segment.
+    """
     rows = path.where("elem is not null").join(velocity, "elem").join(F.broadcast(thickness(mesh.levels)), "k")
     flux = (-F.col("u") * F.col("dy") + F.col("v") * F.col("dx")) * F.col("w_z") * (-factor if inverse else factor)
+    if oriented:
+        flux = flux * flow_sign(F.col("nx"), F.col("ny"))
     return rows.select(*by, flux.alias("transport")).groupBy(*by).agg(F.coalesce(F.sum("transport"), F.lit(0.0)).alias("transport"))
 
 
+def section_points(cuts: DataFrame) -> DataFrame:
+    """The cut points of whole lines: the first one of a later segment stands where the segment before has ended, and goes."""
+    return cuts.where("not (seg > 0 and rank = 1)")
+
+
+def rotate_path(path: DataFrame, centroids: DataFrame, abg: tuple[float, float, float]) -> DataFrame:
+    """``path`` with its vectors turned from the rotated grid to geographic directions at ``centroids(elem, lon, lat)``."""
+    dx, dy = expr.rotate_vector(abg, F.col("lon"), F.col("lat"), F.col("dx"), F.col("dy"))
+    return path.join(centroids, "elem").withColumns({"dx": dx, "dy": dy}).drop("lon", "lat")
+
+
 def flow_sign(nx: Column, ny: Column) -> Column:
     """-1 where a normal points south, or due west; flow is counted north and east."""
     return F.when((ny < 0) | ((ny == 0) & (nx < 0)), -1.0).otherwise(1.0)

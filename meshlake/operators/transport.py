@@ -129,3 +129,9 @@ def barotropic_streamfunction(velocity: DataFrame, edges: DataFrame, mesh: Mesh,
     line = Window.partitionBy("iy").orderBy("ix")
     ends = F.when(F.col("ix") == 0, F.lead("psi").over(line)).when(F.col("ix") == nlon - 1, F.lag("psi").over(line)).otherwise(F.col("psi"))
     return psi.select((F.lit(lon0) + (F.col("ix") + 0.5) * dlon).alias("lon"), (F.lit(lat0) + (F.col("iy") + 0.5) * dlat).alias("lat"), ends.alias("psi"))
+
+
+def bottom_by_latitude(elems: DataFrame, place: DataFrame, levels: DataFrame, dlat: float = 1.0) -> DataFrame:
+    """``lat, botmax, botmean, botmaxi``: deepest and mean bottom depth and the deepest bottom level of the elements of a bin."""
+    rows = elems.select("elem", "e_iz").join(place.select("elem", "lat"), "elem").join(levels.select(F.col("k").alias("e_iz"), F.abs("zlev").alias("z")), "e_iz")
+    return rows.groupBy((F.rint(F.col("lat") / dlat) * dlat).alias("lat")).agg(F.max("z").alias("botmax"), F.avg("z").alias("botmean"), F.max("e_iz").alias("botmaxi"))

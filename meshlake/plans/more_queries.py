@@ -54,11 +54,8 @@ def f18(spark, d):
 
 @query("a08_depth_stats", sql("field_n", "SELECT time, node, round(max(temp), 6) + 0.0 AS max, round(min(temp), 6) + 0.0 AS min, round(avg(temp), 6) + 0.0 AS mean FROM field_n GROUP BY time, node"))
 def a08(spark, d):
-    f, out = X.field_n(spark, d), None
-    for how in ("max", "min", "mean"):
-        one = R.reduce_cells(f, how, "temp", ["time", "node"]).withColumnRenamed("temp", how)
-        out = one if out is None else out.join(one, ["time", "node"])
-    return rounded(out, "max", "min", "mean")
+    stats = [R.statistic(how, "temp").alias(how) for how in ("max", "min", "mean")]
+    return rounded(X.field_n(spark, d).groupBy("time", "node").agg(*stats), "max", "min", "mean")
 
 
 @query("a23_extremes", sql("nodes field_n", "SELECT k, round(max(if(lat > 20, temp, NULL)), 6) + 0.0 AS north, round(min(if(lat < -20, temp, NULL)), 6) + 0.0 AS south FROM field_n JOIN nodes USING (node) GROUP BY k"))

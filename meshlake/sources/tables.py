@@ -47,10 +47,17 @@ def read_bottom(spark: SparkSession, path: str, key: str, name: str) -> DataFram
     return _numbers(spark, path).select(F.col("line").cast("int").alias(key), (F.col("c")[0].cast("int") - 1).cast("smallint").alias(name))
 
 
-def read_mesh_text(spark: SparkSession, path: str) -> Mesh:
-    """A mesh from the text files ``nod2d.out, elem2d.out, aux3d.out, nlvls.out, elvls.out`` of a folder."""
+def read_mesh_text(spark: SparkSession, path: str, *, cavity: bool = False) -> Mesh:
+    """A mesh from the text files ``nod2d.out, elem2d.out, aux3d.out, nlvls.out, elvls.out`` of a folder.
+
+    With ``cavity`` nodes and elements also have their first level under the ice, ``n_ic`` and ``e_ic``, from
+    ``cavity_nlvls.out`` and ``cavity_elvls.out``.
+    """
     nodes = read_nodes(spark, f"{path}/nod2d.out").join(read_bottom(spark, f"{path}/nlvls.out", "node", "n_iz"), "node")
     elems = read_elems(spark, f"{path}/elem2d.out").join(read_bottom(spark, f"{path}/elvls.out", "elem", "e_iz"), "elem")
+    if cavity:
+        nodes = nodes.join(read_bottom(spark, f"{path}/cavity_nlvls.out", "node", "n_ic"), "node")
+        elems = elems.join(read_bottom(spark, f"{path}/cavity_elvls.out", "elem", "e_ic"), "elem")
     return Mesh(nodes, elems, read_levels(spark, f"{path}/aux3d.out"))
 
 

@@ -167,6 +167,10 @@ def test_mesh_text_files(spark, tmp_path):
     assert [tuple(r) for r in m.nodes.select("node", "lon", "lat", "n_iz").orderBy("node").collect()] == [(0, 0.0, 0.0, 2), (1, 1.0, 0.0, 1), (2, 0.0, 1.0, 2)]
     assert tuple(m.elems.select("n0", "n1", "n2", "e_iz").first()) == (0, 1, 2, 1)
     assert [r.zlev for r in m.levels.orderBy("k").collect()] == [0.0, -10.0, -30.0]
+    (tmp_path / "cavity_nlvls.out").write_text("1\n2\n1\n")
+    (tmp_path / "cavity_elvls.out").write_text("2\n")
+    m = tables.read_mesh_text(spark, str(tmp_path), cavity=True)
+    assert [r.n_ic for r in m.nodes.orderBy("node").collect()] == [0, 1, 0] and m.elems.first().e_ic == 1
 
 
 def test_fields_by_partition_and_geojson(spark, tmp_path):
