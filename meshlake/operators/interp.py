@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlake.operators.mesh import Mesh, centroids
+
 from meshlake.operators.windows import lerp
 
 
@@ -48,6 +50,19 @@ def grid_to_cells(clim: DataFrame, cells: DataFrame, cell: str, value: str, *, x
     return cells.select(cell).join(linear, cell, "left").join(nearest, cell, "left").select(cell, F.coalesce("v", value).alias(value))
 
 
+def topography(grid: DataFrame, mesh: Mesh, value: str, **axes) -> DataFrame:
+    """``kind, cell, value`` of a regular grid, linear at the nodes (``node``) and at the centroids of the elements (``elem``).
+
+    ``axes`` are those of ``grid_to_cells``; nodes and elements go through its join together.
+    """
+    at_node = mesh.nodes.select(F.lit("node").alias("kind"), "node", "lon", "lat").withColumnRenamed("node", "cell")
+    # a centroid beside the periodic boundary may lie beyond the frame of the grid
+    x = F.col("x") - F.floor((F.col("x") + 180) / 360) * 360
+    at_elem = centroids(mesh, cyclic=True).select(F.lit("elem").alias("kind"), F.col("elem").alias("cell"), x.alias("lon"), F.col("y").alias("lat"))
+    points = at_node.unionByName(at_elem).withColumn("_at", F.struct("kind", "cell"))
+    return grid_to_cells(grid, points.select("_at", "lon", "lat"), "_at", value, **axes).select("_at.kind", "_at.cell", value)
+
+
 def extend_bottom(clim: DataFrame, n: int, by: list[str], value: str) -> DataFrame:
     """The last valid layer repeated ``n`` times below itself: ``by.., k, value``."""
     valid = clim.where(F.col(value).isNotNull())

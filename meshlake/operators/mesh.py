@@ -56,12 +56,16 @@ def elem_area(mesh: Mesh) -> DataFrame:
 
 def elem_resolution(mesh: Mesh, how: str = "mean") -> DataFrame:
     """``elem, resol``: mean, max or min length of the three edges in metres."""
+    if how not in ("mean", "max", "min"):
+        raise ValueError("how must be 'mean', 'max' or 'min'")
+    return elem_sides(mesh).select("elem", F.col(how).alias("resol"))
+
+
+def elem_sides(mesh: Mesh) -> DataFrame:
+    """``elem, mean, max, min`` of the lengths of the three edges in metres, from one pass over the corners."""
     x, y = _cols("lon"), _cols("lat")
     sides = [expr.side_length(x[a], y[a], x[b], y[b]) for a, b in ((0, 1), (1, 2), (2, 0))]
-    pick = {"mean": lambda: (sides[0] + sides[1] + sides[2]) / 3, "max": lambda: F.greatest(*sides), "min": lambda: F.least(*sides)}
-    if how not in pick:
-        raise ValueError(f"how must be one of {sorted(pick)}")
-    return corners(mesh).select("elem", pick[how]().alias("resol"))
+    return corners(mesh).select("elem", ((sides[0] + sides[1] + sides[2]) / 3).alias("mean"), F.greatest(*sides).alias("max"), F.least(*sides).alias("min"))
 
 
 def node_area(mesh: Mesh, per_level: bool = True) -> DataFrame:

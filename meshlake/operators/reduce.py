@@ -20,6 +20,11 @@ def statistic(how: str, value: str) -> Column:
     return STATISTICS[how](F.col(value)).alias(value)
 
 
+def reduce_many(field: DataFrame, hows: list[str], value: str, by: list[str]) -> DataFrame:
+    """``by.., mean, std ..``: several statistics of one value in one aggregation, each in a column of its name."""
+    return field.groupBy(*by).agg(*(statistic(how, value).alias(how) for how in hows))
+
+
 def select_time(field: DataFrame, months: list[int] | None = None, days: list[int] | None = None, record: int | None = None) -> DataFrame:
     """Rows of the given months, days of the month, or of the n-th distinct time (from 0), which overrides the others.
 

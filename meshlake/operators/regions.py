@@ -33,8 +33,13 @@ def elems_in_box(mesh: Mesh, box, how: str = "mid") -> DataFrame:
     least = {"soft": 1, "mid": 2, "hard": 3}
     if how not in least:
         raise ValueError(f"how must be one of {sorted(least)}")
+    return corners_in_box(mesh, box).where(F.col("n") >= least[how]).select("elem")
+
+
+def corners_in_box(mesh: Mesh, box) -> DataFrame:
+    """``elem, n``: how many corners lie in the box, for elements with one or more."""
     inside = mesh.nodes.where(in_box(F.col("lon"), F.col("lat"), box)).select("node")
-    return elem_node(mesh.elems).join(inside, "node").groupBy("elem").agg(F.count("*").alias("n")).where(F.col("n") >= least[how]).select("elem")
+    return elem_node(mesh.elems).join(inside, "node").groupBy("elem").agg(F.count("*").alias("n"))
 
 
 def rings(regions: DataFrame) -> DataFrame:

@@ -104,12 +104,19 @@ _WEIGHTED = """wf AS (SELECT time, node, k, if(k < n_iz, temp, NULL) AS temp, w_
 
 @query("a05_horizontal_stats", sql("field_n", "SELECT time, k, round(avg(temp), 6) + 0.0 AS mean, round(stddev_pop(temp), 6) + 0.0 AS std, round(max(temp), 6) + 0.0 AS max, round(min(temp), 6) + 0.0 AS min FROM field_n GROUP BY time, k"))
 def a05(spark, d):
-    f = X.field_n(spark, d)
-    out = None
-    for how in ("mean", "std", "max", "min"):
-        one = R.reduce_cells(f, how, "temp", ["time", "k"]).withColumnRenamed("temp", how)
-        out = one if out is None else out.join(one, ["time", "k"])
-    return rounded(out, "mean", "std", "max", "min")
+    return rounded(R.reduce_many(X.field_n(spark, d), ["mean", "std", "max", "min"], "temp", ["time", "k"]), "mean", "std", "max", "min")
+
+
+@query("a05_horizontal_spread", sql("field_n", "SELECT time, k, round(median(temp), 6) + 0.0 AS median, round(var_pop(temp), 6) + 0.0 AS var, round(sum(temp), 4) + 0.0 AS sum FROM field_n GROUP BY time, k"))
+def a05_spread(spark, d):
+    out = R.reduce_many(X.field_n(spark, d), ["median", "var", "sum"], "temp", ["time", "k"])
+    return rounded(out, "median", "var").withColumn("sum", F.round("sum", 4) + 0.0)
+
+
+@query("a08_depth_spread", sql("field_n", "SELECT time, node, round(median(temp), 6) + 0.0 AS median, round(var_pop(temp), 6) + 0.0 AS var, round(sum(temp), 4) + 0.0 AS sum FROM field_n GROUP BY time, node"))
+def a08_spread(spark, d):
+    out = R.reduce_many(X.field_n(spark, d), ["median", "var", "sum"], "temp", ["time", "node"])
+    return rounded(out, "median", "var").withColumn("sum", F.round("sum", 4) + 0.0)
 
 
 @query("a06_horizontal_integral", sql("node_area thick field_n", "SELECT time, k, round(coalesce(sum(temp * w_A), 0), 3) + 0.0 AS temp FROM wf GROUP BY time, k", _WEIGHTED))
@@ -269,6 +276,21 @@ def i02(spark, d):
     return rounded(I.grid_to_cells(X.climatology(spark, d), X.nodes(spark, d).select("node", "lon", "lat"), "node", "temp", **_GRID), "temp")
 
 
+_POINTS = """pts AS (SELECT 'node' AS kind, node AS cell, lon, lat FROM nodes UNION ALL
+  SELECT 'elem', elem, x - floor((x + 180) / 360) * 360, y FROM (
+    SELECT elem, (if(lon0 - m >= 180, lon0 - 360, lon0) + if(lon1 - m >= 180, lon1 - 360, lon1) + if(lon2 - m >= 180, lon2 - 360, lon2)) / 3 AS x, (lat0 + lat1 + lat2) / 3 AS y
+    FROM (SELECT *, least(lon0, lon1, lon2) AS m FROM corners)))"""
+
+
+@query("i07_topography", sql("corners clim", """SELECT n.kind, n.cell, round(coalesce(v, c.temp), 6) + 0.0 AS depth FROM pts n LEFT JOIN (
+  SELECT kind, cell, if(sum(w) > 1 - 1e-9, sum(temp * w), NULL) AS v FROM (
+    SELECT kind, cell, (floor(gx)::INTEGER + a) % 36 AS ix, floor(gy)::INTEGER + b AS iy, if(a = 1, gx - floor(gx), 1 - gx + floor(gx)) * if(b = 1, gy - floor(gy), 1 - gy + floor(gy)) AS w
+    FROM (SELECT kind, cell, (lon + 180) / 10 AS gx, (lat + 85) / 10 AS gy FROM pts), (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)) JOIN clim USING (ix, iy) WHERE w > 0 GROUP BY kind, cell) l ON l.kind = n.kind AND l.cell = n.cell
+  LEFT JOIN clim c ON c.ix = CAST(round_even((lon + 180) / 10, 0) AS INTEGER) % 36 AND c.iy = CAST(round_even((lat + 85) / 10, 0) AS INTEGER)""", _POINTS))
+def i07(spark, d):
+    return rounded(I.topography(X.climatology(spark, d), X.mesh(spark, d), "temp", **_GRID).withColumnRenamed("temp", "depth"), "depth")
+
+
 @query("i04_extend_bottom", sql("mean_n", "SELECT node, CAST(k AS INTEGER) AS k, round(temp, 6) + 0.0 AS temp FROM (SELECT node, k, temp FROM mean_n UNION ALL SELECT node, m + i, t FROM (SELECT node, max(k) AS m, arg_max(temp, k) AS t FROM mean_n GROUP BY node), (SELECT unnest([1, 2, 3]) AS i))"))
 def i04(spark, d):
     return rounded(I.extend_bottom(X.mean_n(spark, d).select("node", "k", "temp"), 3, ["node"], "temp"), "temp")

@@ -38,12 +38,7 @@ _SIDES = """sides AS (SELECT elem, unnest([
 
 @query("g04_elem_resolution", sql("corners", "SELECT elem, round(avg(s), 6) + 0.0 AS mean, round(max(s), 6) + 0.0 AS max, round(min(s), 6) + 0.0 AS min FROM sides GROUP BY elem", _SIDES))
 def g04(spark, d):
-    m = X.mesh(spark, d)
-    out = None
-    for how in ("mean", "max", "min"):
-        one = G.elem_resolution(m, how).select("elem", r6(F.col("resol") * 1e-3).alias(how))
-        out = one if out is None else out.join(one, "elem")
-    return out
+    return rounded(G.elem_sides(X.mesh(spark, d)), "mean", "max", "min", scale=1e-3)
 
 
 @query("g05_node_area", sql("node_area", "SELECT node, k, round(w_A * 1e-6, 3) + 0.0 AS area_km2 FROM node_area"))
@@ -228,10 +223,8 @@ def f06(spark, d):
 
 @query("f07_box_elems", sql("elem_node", "SELECT elem, if(n = 3, 'hard', if(n = 2, 'mid', 'soft')) AS how FROM (SELECT elem, count(*) AS n FROM elem_node JOIN nodes USING (node) WHERE lon BETWEEN -30 AND 60 AND lat BETWEEN -45 AND 40 GROUP BY elem)"))
 def f07(spark, d):
-    m = X.mesh(spark, d)
-    soft, mid, hard = (S.elems_in_box(m, _BOX, how) for how in ("soft", "mid", "hard"))
-    out = soft.join(mid.withColumn("m", F.lit(True)), "elem", "left").join(hard.withColumn("h", F.lit(True)), "elem", "left")
-    return out.select("elem", F.when(F.col("h"), "hard").when(F.col("m"), "mid").otherwise("soft").alias("how"))
+    n = F.col("n")
+    return S.corners_in_box(X.mesh(spark, d), _BOX).select("elem", F.when(n == 3, "hard").when(n == 2, "mid").otherwise("soft").alias("how"))
 
 
 #: Regions of the test queries: a rectangle, a concave polygon and one inside the other.

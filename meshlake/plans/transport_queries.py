@@ -15,6 +15,7 @@ from meshlake.plans import fixtures as X
 from meshlake.plans.fixtures import with_tables as sql
 from meshlake.plans.mesh_queries import _HITS, REGIONS
 from meshlake.plans.registry import query, rounded
+from meshlake.streaming import incremental as Q
 
 DLAT = 4.0
 _BINS = """bins AS (SELECT {by}, CAST(round_even(lat / 4, 0) AS INTEGER) AS i, coalesce(sum(w * w_A * 1e-6), 0) AS s FROM {src} GROUP BY ALL),
@@ -57,6 +58,21 @@ def _yearly(spark, d):
     return D.zmoc(f, X.mesh(spark, d), dlat=DLAT, by=("year", "k"))
 
 
+_TOUCHED = "SELECT * FROM (" + _YEARLY.replace("FROM field_n", "FROM field_n WHERE year(time) IN (SELECT year(l_shipdate) FROM lineitem WHERE l_quantity = 50 AND l_shipdate >= TIMESTAMP '2000-01-01')") + ")"
+
+
+@query("st03_moc_years", _moc_sql("year, k", _TOUCHED, "SELECT year, k, lat, round(moc, 6) + 0.0 AS moc FROM moc", names="nodes node_area field_n"))
+def st03(spark, d):
+    """The batch half of the incremental overturning: the years that late, full-quantity lines touch are computed anew."""
+    batch = X.table(spark, d, "lineitem").where("l_quantity = 50 and l_shipdate >= timestamp_ntz '2000-01-01'").select(F.col("l_shipdate").alias("time"))
+    m = X.mesh(spark, d)
+
+    def moc(rows):
+        return D.zmoc(rows.groupBy("year", "node", "k").agg(F.avg("w").alias("w")), m, dlat=DLAT, by=("year", "k"))
+
+    return rounded(Q.recompute_years(batch, X.field_n(spark, d), moc), "moc")
+
+
 @query("d16_zmoc_series", _moc_sql("year, k", _YEARLY, "SELECT year, k, lat, round(moc, 6) + 0.0 AS moc FROM moc", names="nodes node_area field_n"))
 def d16(spark, d):
     return rounded(_yearly(spark, d), "moc")

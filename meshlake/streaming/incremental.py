@@ -43,16 +43,25 @@ def monthly_means(daily: DataFrame) -> DataFrame:
     return daily.groupBy("station", "variable", F.date_trunc("month", "day").alias("month")).agg((F.sum("total") / F.sum("n")).alias("mean"))
 
 
+def recompute_years(batch: DataFrame, field: DataFrame, diagnose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``diagnose`` of all rows of ``field`` in the years that ``batch`` touches.
+
+    The years of a batch are a few, so they are broadcast; where ``field`` is stored by ``year``, only those partitions are read.
+    """
+    years = batch.select(F.year("time").alias("year")).distinct()
+    rows = field if "year" in field.columns else field.withColumn("year", F.year("time"))
+    return diagnose(rows.join(F.broadcast(years), "year", "left_semi"))
+
+
 def stream_recompute(field: DataFrame, source: str, target: str, checkpoint: str, diagnose: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Recompute a diagnostic for the years that a batch touches and replace their partitions: repeating a batch changes nothing.
 
-    ``diagnose`` takes the rows of those years of the folder ``source`` and returns rows with a ``year``.
+    ``diagnose`` takes the rows of those years of the folder ``source`` and returns rows with a ``year``. A source partitioned
+    by ``year`` is read only where a batch touches it.
     """
 
     def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        years = batch.select(F.year("time").alias("year")).distinct()
-        rows = spark.read.schema(batch.schema).parquet(source).withColumn("year", F.year("time")).join(F.broadcast(years), "year", "left_semi")
-        diagnose(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(target)
+        field = batch.sparkSession.read.schema(batch.schema).parquet(source)
+        recompute_years(batch, field, diagnose).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(target)
 
     return field.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
