@@ -9,7 +9,7 @@ from meshlake.operators import regions as S
 from meshlake.operators import topology as Y
 from meshlake.plans import fixtures as X
 from meshlake.plans.fixtures import with_tables as sql
-from meshlake.plans.mesh_queries import REGIONS
+from meshlake.plans.mesh_queries import REGIONS, _inside_sql, _ring
 from meshlake.plans.registry import query, rounded
 from meshlake.streaming import incremental as Q
 
@@ -31,8 +31,10 @@ def g16(spark, d):
     return rounded(Y.periodic_augment(X.mesh(spark, d))[0].select("lon", "lat"), "lon", "lat")
 
 
+_NBRS = """nbrs AS (SELECT tri_l AS a, tri_r AS b FROM edge_table WHERE tri_r IS NOT NULL UNION ALL SELECT tri_r, tri_l FROM edge_table WHERE tri_r IS NOT NULL)"""
 _FILL = """inside AS (SELECT elem FROM (SELECT elem, count(*) AS n FROM elem_node JOIN nodes USING (node) WHERE lon BETWEEN -100 AND 90 AND lat BETWEEN -85 AND 85 GROUP BY elem) WHERE n = 3),
-nbrs AS (SELECT tri_l AS a, tri_r AS b FROM edge_table WHERE tri_r IS NOT NULL UNION ALL SELECT tri_r, tri_l FROM edge_table WHERE tri_r IS NOT NULL)"""
+""" + _NBRS
+
 
 
 @query("g18_elem_cluster", sql("elem_node edge_table", "SELECT elem FROM reach", _FILL + """, reach AS (
@@ -57,7 +59,13 @@ def st02(spark, d):
     return rounded(Q.monthly_means(Q.daily_sums(events)).withColumn("month", F.col("month").cast("timestamp_ntz")), "mean")
 
 
-@query("g19_basin_from_boxes")
+_BASIN = f"""inside AS (SELECT elem FROM (
+  SELECT elem, (if(lon0 - m >= 180, lon0 - 360, lon0) + if(lon1 - m >= 180, lon1 - 360, lon1) + if(lon2 - m >= 180, lon2 - 360, lon2)) / 3 AS lon, (lat0 + lat1 + lat2) / 3 AS lat
+  FROM (SELECT *, least(lon0, lon1, lon2) AS m FROM corners)) WHERE {_inside_sql(_ring(REGIONS["box"]))}), """ + _NBRS + """, reach AS (
+  SELECT arg_min(elem, (-lat, elem)) AS elem FROM elem_node JOIN nodes USING (node) WHERE elem IN (SELECT elem FROM inside) UNION SELECT b FROM reach JOIN nbrs ON a = reach.elem WHERE b IN (SELECT elem FROM inside))"""
+
+
+@query("g19_basin_from_boxes", sql("corners elem_node edge_table", "SELECT DISTINCT node FROM elem_node WHERE elem IN (SELECT elem FROM reach)", _BASIN).replace("WITH ", "WITH RECURSIVE ", 1))
 def g19(spark, d):
     m = X.mesh(spark, d)
     return Y.basin_from_boxes(m, S.elems_in_regions(m, S.boxes_to_regions(spark, {"box": REGIONS["box"]})).select("elem"))

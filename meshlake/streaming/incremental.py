@@ -46,7 +46,7 @@ def monthly_means(daily: DataFrame) -> DataFrame:
 def recompute_years(batch: DataFrame, field: DataFrame, diagnose: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``diagnose`` of all rows of ``field`` in the years that ``batch`` touches.
 
-    The years of a batch are a few, so they are broadcast; where ``field`` is stored by ``year``, only those partitions are read.
+    The years of a batch are a few numbers, so they are broadcast.
     """
     years = batch.select(F.year("time").alias("year")).distinct()
     rows = field if "year" in field.columns else field.withColumn("year", F.year("time"))
@@ -62,6 +62,10 @@ def stream_recompute(field: DataFrame, source: str, target: str, checkpoint: str
 
     def each(batch: DataFrame, _: int) -> None:
         field = batch.sparkSession.read.schema(batch.schema).parquet(source)
+        if "year" in field.columns:
+            # the years as literals, a few numbers, so that only their folders are read
+            touched = batch.where("time is not null").select(F.year("time")).distinct().collect()
+            field = field.where(F.col("year").isin([r[0] for r in touched]))
         recompute_years(batch, field, diagnose).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(target)
 
     return field.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

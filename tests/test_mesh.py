@@ -203,6 +203,33 @@ def test_streams_equal_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).first().temp == pytest.approx(df.agg(F.avg("temp")).first()[0])
 
 
+def test_recompute_replaces_touched_years_only(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = lambda years: spark.createDataFrame([(f"{y}-06-01 00:00:00", float(y), y) for y in years], "time string, temp double, year int").withColumn("time", F.col("time").cast("timestamp")).coalesce(1)
+    rows([2000, 2001, 2002]).write.partitionBy("year").parquet(source)
+    seen = []
+
+    def diagnose(f):
+        seen.append(f._jdf.queryExecution().optimizedPlan().toString())
+        return f.groupBy("year").agg(F.sum("temp").alias("temp"))
+
+    go = lambda: incremental.stream_recompute(incremental.stream_fields(spark, source, "time timestamp, temp double, year int"), source, target, str(tmp_path / "c"), diagnose).awaitTermination()
+    go()
+    rows([2001]).write.mode("append").partitionBy("year").parquet(source)
+    go()
+    assert {r.year: r.temp for r in spark.read.parquet(target).collect()} == {2000: 2000.0, 2001: 4002.0, 2002: 2002.0}
+    assert "year" in seen[-1] and "2001" in seen[-1] and "2002" not in seen[-1]
+
+
+def test_years_of_a_batch(spark):
+    rows = [(f"{y}-01-01 00:00:00", float(y)) for y in (2000, 2000, 2001, 2002)]
+    field = spark.createDataFrame([*rows, (None, 7.0)], "time string, temp double").withColumn("time", F.col("time").cast("timestamp"))
+    count = lambda f: f.groupBy("year").agg(F.count("*").alias("n"))
+    got = incremental.recompute_years(field.where("temp in (2000, 2002) or time is null"), field, count).collect()
+    assert {r.year: r.n for r in got} == {2000: 2, 2002: 1}
+    assert incremental.recompute_years(field.limit(0), field, count).count() == 0
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     schema = "ts timestamp, station int, variable string, value double"
     source = str(tmp_path / "in")
