@@ -166,8 +166,55 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+#: Words of a text, and the planted period: from word ``a`` on the text repeats its next ``p`` words. Counts are longs.
+_WORDS = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_PLANTED = "array_join(transform(words, (w, i) -> if(i < a, w, words[int(a + (i - a) % p)])), ' ')"
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.periodic_runs import periodic_runs
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+    docs = docs.withColumn("g", F.expr("h div 10")).withColumn("words", F.expr(f"if(h % 10 = 0, {_WORDS}, null)"))
+    docs = docs.withColumn("n", F.expr("if(size(words) > 0, size(words), null)")).withColumn("a", F.expr("g % n")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    docs = docs.select("doc_id", F.expr(f"if(n is null, text, {_PLANTED})").alias("text"))
+    found = periodic_runs(spark, docs, least=6, exponent=4)
+    longest = F.expr("array_sort(runs, (x, y) -> case when x.length <> y.length then if(x.length > y.length, -1, 1) when x.start <> y.start then if(x.start < y.start, -1, 1) else if(x.period < y.period, -1, 1) end)")
+    found = found.withColumn("best", F.get(longest, F.lit(0)))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.forest_search import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(spark, vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.conversation_repair import repair
+
+    whole = _table(spark, sf_dir, "conversations").select("conv_id", "turn", *(F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")))
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    rows = whole.withColumn("d", F.crc32(name) % 20).where("d <> 0")
+    rows = rows.withColumn("text", F.when(F.col("d") == 1, "").when(F.col("d") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")))
+    rows = rows.withColumn("role", F.when(F.col("d") == 4, "user").otherwise(F.col("role"))).withColumn("copy", F.explode(F.expr("if(d = 3, array(0, 1), array(0))")))
+    done = repair(rows).withColumnRenamed("conv_id", "found")
+    said = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    ids = whole.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    # conversations that lost all their rows are empty
+    return ids.join(done, F.col("conv_id").eqNullSafe(F.col("found")), "left").select(
+        "conv_id", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(said, F.lit("")), 256).alias("repaired_sha256")
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_toxicity, op4_pii, op5_mixing, op6_tool_calls, op7_token_matrices, op8_embedding_dedup, op9_exact_topk, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_toxicity, op4_pii, op5_mixing, op6_tool_calls, op7_token_matrices, op8_embedding_dedup, op9_exact_topk, op10_jaccard_join, op11_periodic_runs, op12_forest_search, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict:
