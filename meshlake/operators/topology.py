@@ -5,11 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlake.operators.mesh import Mesh, boundary_edges, elem_neighbours, elem_node, periodic_elems
+from meshlake.operators.mesh import Mesh, boundary_edges, centroids, elem_neighbours, elem_node, periodic_elems
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -49,40 +48,134 @@ def ring_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("ring labels did not settle")
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Order the edges of contours that touch into closed walks; each edge is used once.
+def _code(a: Column, b: Column) -> Column:
+    """Two node numbers in one long, ordered as the pair is."""
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
-    A walk starts at the smallest node with edges left, goes on to the smallest neighbour along an unused edge and ends when
-    it is back. Its ring is its smallest node that names no other walk.
+
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
+    """``rows`` with the columns of ``few``, which has one row per key; a key that holds most rows is dealt to ``salts`` tasks by ``by``."""
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
+def _with_fans(ends: DataFrame, elems: DataFrame) -> DataFrame:
+    """``ends(at, to)`` with the fan of elements around ``at`` that the end borders on: contours that touch in a node have fans of their own.
+
+    Only nodes with more than one fan are looked at; a fan is told by the smallest node on its rim.
     """
-    around: dict[int, list[int]] = {}
-    for a, b in zip(pdf.n0, pdf.n1, strict=True):
-        around.setdefault(a, []).append(b)
-        around.setdefault(b, []).append(a)
-    left = {node: dict.fromkeys(sorted(others)) for node, others in around.items()}
-    rings, seqs, nodes, names = [], [], [], set()
-    for start in sorted(left):
-        while left[start]:
-            walk = [start]
-            while len(walk) == 1 or walk[-1] != start:
-                at = walk[-1]
-                ahead = next(iter(left[at]))
-                del left[at][ahead], left[ahead][at]
-                walk.append(ahead)
-            name = next(x for x in sorted(walk) if x not in names)
-            names.add(name)
-            rings += [name] * len(walk)
-            seqs += range(len(walk))
-            nodes += walk
-    return pd.DataFrame({"ring": rings, "seq": seqs, "node": nodes})
+    several = stored(ends.groupBy("at").agg(F.count("*").alias("n")).where("n > 2").select(F.col("at").alias("node")))
+    if several.isEmpty():
+        return ends.withColumn("fan", F.lit(0).cast("long"))
+    corner = lambda k: F.struct(F.col(f"n{k}").alias("node"), F.col(f"n{(k + 1) % 3}").alias("a"), F.col(f"n{(k + 2) % 3}").alias("b"))
+    rim = elems.select(F.explode(F.array(*map(corner, range(3)))).alias("c")).select("c.*").join(several, "node", "left_semi")
+    fans = ring_labels(rim.select(_code(F.col("node"), F.col("a")).alias("n0"), _code(F.col("node"), F.col("b")).alias("n1")))
+    named = ends.withColumn("node", _code(F.col("at"), F.col("to"))).join(fans.withColumnRenamed("ring", "fan"), "node", "left")
+    return named.select("at", "to", F.coalesce("fan", F.lit(0).cast("long")).alias("fan"))
+
+
+def ring_order(edges: DataFrame, elems: DataFrame | None = None, max_rounds: int = 40) -> DataFrame:
+    """``ring, loop, seq, node, n``: edges ``(n0, n1)`` chained into closed contours by list ranking.
+
+    Every edge is taken in both directions. Where it arrives it is followed by the other edge of the same fan of ``elems``, or,
+    without elements, by its neighbour in the order of the nodes. Pointers along these successors double in reach every
+    round, and with them the smallest edge in reach and the number of steps to it, so a contour of any length is ordered by as
+    many joins as its length has binary digits; nothing gathers a contour. A contour starts at its smallest node
+    (``ring``), goes on to that node's smaller neighbour and has ``n`` edges; its last row, ``seq = n``, closes it. Further contours
+    with the same smallest node have ``loop`` 1, 2 .. .
+    """
+    both = F.array(F.struct(F.col("n0").alias("at"), F.col("n1").alias("to")), F.struct(F.col("n1").alias("at"), F.col("n0").alias("to")))
+    ends = stored(edges.select(F.explode(both).alias("e")).select("e.*"))
+    ends = _with_fans(ends, elems) if elems is not None else ends.withColumn("fan", F.lit(0).cast("long"))
+    w = Window.partitionBy("at").orderBy("fan", "to")
+    partner = F.when(F.row_number().over(w) % 2 == 1, F.lead("to").over(w)).otherwise(F.lag("to").over(w))
+    darts = ends.withColumn("partner", partner).select(_code(F.col("to"), F.col("at")).alias("dart"), _code(F.col("at"), F.col("partner")).alias("ptr"))
+    state, reach = stored(darts.select("dart", "ptr", F.col("dart").alias("key"), F.lit(0).cast("long").alias("ahead"))), 1
+    for _ in range(max_rounds):
+        there = state.select(F.col("dart").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("key").alias("key2"), F.col("ahead").alias("ahead2"))
+        lower = F.col("key2") < F.col("key")
+        new = stored(state.join(there, "ptr").select(
+            "dart", F.col("ptr2").alias("ptr"), F.least("key", "key2").alias("key"), F.when(lower, F.col("ahead2") + reach).otherwise(F.col("ahead")).alias("ahead"), lower.alias("moved")
+        ))
+        state, reach = new.drop("moved"), 2 * reach
+        if new.where("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError("contours did not settle")
+    # of the two directions the one that starts with the smaller neighbour
+    turned = state.select(_code(F.col("dart").bitwiseAND(0xFFFFFFFF), F.shiftright("dart", 32)).alias("dart"), F.col("key").alias("key2"))
+    kept = state.join(turned, "dart").where("key < key2").select("dart", "key", "ahead")
+    first = F.shiftright("key", 32).cast("int")
+    heads = kept.groupBy("key").agg(F.count("*").cast("int").alias("n")).withColumn("ring", first)
+    heads = stored(heads.withColumn("loop", F.row_number().over(Window.partitionBy("ring").orderBy("key")) - 1))
+    rows = spread_join(kept, heads, ["key"], "dart").select("ring", "loop", F.expr("cast((n - ahead) % n as int)").alias("seq"), F.shiftright("dart", 32).cast("int").alias("node"), "n")
+    return rows.unionByName(heads.select("ring", "loop", F.col("n").alias("seq"), F.col("ring").alias("node"), "n"))
 
 
 def boundary_rings(mesh: Mesh) -> DataFrame:
-    """``ring, seq, node``: boundary edges chained into closed contours; a group holds the boundary edges of one contour, or of contours that touch."""
-    edges = boundary_edges(mesh.elems)
-    labels = ring_labels(edges)
-    named = edges.join(labels.withColumnRenamed("node", "n0"), "n0").select("ring", "n0", "n1")
-    return named.groupBy("ring").applyInPandas(_walk, "ring int, seq int, node int")
+    """``ring, loop, seq, node, n``: boundary edges chained into closed contours, see ``ring_order``."""
+    return ring_order(boundary_edges(mesh.elems), mesh.elems)
+
+
+#: Places of a contour that one task carries a value along.
+SLICE = 65_536
+
+
+def _carried(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows(keys.., seq, value)`` with missing values replaced by the last one before, or else by the last one of the whole key.
+
+    Within slices of ``seq`` that is a window; from slice to slice only their last values are passed on.
+    """
+    sliced = rows.withColumn("_slice", F.expr(f"seq div {SLICE}"))
+    last = sliced.groupBy(*keys, "_slice").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("seq"))).alias("_v"))
+    over = Window.partitionBy(*keys).orderBy("_slice")
+    before = F.last("_v", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    final = F.last("_v", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    given = last.select(*keys, "_slice", F.coalesce(before, final).alias("_v"))
+    here = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return sliced.withColumn(value, here).join(given, [*keys, "_slice"]).withColumn(value, F.coalesce(value, "_v")).drop("_slice", "_v")
+
+
+def closed_parts(rings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``ring, loop, part, seq, x, y``: contours as closed polygons within the borders of the map.
+
+    ``rings`` is the result of ``ring_order``. The borders are the whole degrees around all longitudes of ``nodes``. A contour that
+    does not jump over them is one polygon, part 0. Where it jumps, the points on both sides move to their border. If eastward and westward
+    jumps take turns, the pieces on the western side make up part 1 and those on the eastern side part 2; both
+    start behind the northernmost western crossing. If they do not, the contour goes round a pole: it stays
+    one polygon, part 0, and every jump is led over the two corners at that pole. The last row of a polygon repeats the first; polygons of less than three
+    points are left out. ``seq`` orders a polygon's rows and has gaps.
+
+    Neighbours meet by an equi-join on the place along the contour, and sides are carried along in slices, so a contour is never in one task.
+    """
+    ring = ["ring", "loop"]
+    frame = nodes.agg(F.floor(F.min("lon")).cast("double").alias("west"), F.ceil(F.max("lon")).cast("double").alias("east"))  # one row
+    points = rings.where("seq < n").join(nodes.select("node", F.col("lon").alias("x"), F.col("lat").alias("y")), "node").drop("node")
+    ahead = points.select(*ring, F.expr("(seq - 1 + n) % n").alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = stored(points.join(ahead, [*ring, "seq"]).withColumn("jump", F.expr("case when x - x2 > 180 then 1 when x2 - x > 180 then -1 end")))
+    jumps = pairs.where("jump is not null")
+    before = F.lag("jump").over(Window.partitionBy(*ring).orderBy("seq"))
+    # the jumps of a contour are those of its edges on the border
+    kinds = jumps.withColumn("before", before).groupBy(*ring).agg(
+        (~F.coalesce(F.max(F.col("jump") == F.col("before")), F.lit(False)) & (F.min_by("jump", "seq") != F.max_by("jump", "seq"))).alias("cut"),
+        F.max_by(F.expr("if(jump = 1, (seq + 1) % n, seq)"), F.expr("if(jump = 1, named_struct('y', y2, 's', (seq + 1) % n), named_struct('y', y, 's', seq))")).alias("start"),
+    )
+    whole = pairs.join(kinds, ring, "left_anti").select(*ring, F.lit(0).alias("part"), F.col("seq").cast("long").alias("seq"), "x", "y")
+    crossing = spread_join(pairs, kinds, ring, "seq")
+    came = crossing.where("jump is not null").select(*ring, F.expr("(seq + 1) % n").alias("seq"), F.col("jump").alias("came"))
+    marked = crossing.join(came, [*ring, "seq"], "left")
+    # a jump from the east leads to the west: what follows lies there
+    marked = _carried(marked.withColumn("side", F.col("came")), ring, "side").join(F.broadcast(frame))
+    border = F.expr("case when came = 1 or jump = -1 then west when came = -1 or jump = 1 then east end")
+    marked = marked.withColumn("edge", F.coalesce(border, F.col("x")))
+    cut = marked.where("cut").select(*ring, F.expr("if(side = 1, 1, 2)").alias("part"), F.expr("cast(4 * ((seq - start + n) % n) as long)").alias("seq"), F.col("edge").alias("x"), "y")
+    corners = F.expr("""if(jump is null, array(struct(0 as i, edge as x, y as y)), array(struct(0 as i, edge as x, y as y),
+        struct(1 as i, edge as x, if(y < 0 and y2 < 0, -90D, 90D) as y), struct(2 as i, if(jump = 1, west, east) as x, if(y < 0 and y2 < 0, -90D, 90D) as y)))""")
+    polar = marked.where("not cut").withColumn("p", F.explode(corners)).select(*ring, F.lit(0).alias("part"), F.expr("cast(4 * seq + p.i as long)").alias("seq"), "p.x", "p.y")
+    out = stored(whole.unionByName(cut).unionByName(polar))
+    ends = out.groupBy(*ring, "part").agg(F.count("*").alias("size"), F.min_by(F.struct("x", "y"), "seq").alias("p"), (F.max("seq") + 1).alias("end")).where("size > 2")
+    closing = ends.select(*ring, "part", F.col("end").alias("seq"), "p.x", "p.y")
+    return spread_join(out, ends.select(*ring, "part"), [*ring, "part"], "seq").select(*closing.columns).unionByName(closing)
 
 
 def split_rings(rings: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -93,7 +186,7 @@ def split_rings(rings: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("ring").orderBy("seq")
     whole = Window.partitionBy("ring")
-    rows = rings.join(nodes.select("node", F.col("lon").alias("x"), F.col("lat").alias("y")), "node")
+    rows = rings.select("ring", "seq", "node").join(nodes.select("node", F.col("lon").alias("x"), F.col("lat").alias("y")), "node")
     rows = rows.withColumn("jump", F.coalesce((F.abs(F.col("x") - F.lag("x").over(w)) > 180).cast("int"), F.lit(0)))
     rows = rows.withColumn("n", F.max("seq").over(whole)).withColumn("first", F.min(F.when(F.col("jump") == 1, F.col("seq"))).over(whole))
     # a jump to the closing point is one to the first point
@@ -149,3 +242,37 @@ def basin_from_boxes(mesh: Mesh, inside: DataFrame) -> DataFrame:
     if north is None:
         return elem_node(mesh.elems).limit(0).select("node")
     return elem_node(mesh.elems).join(elem_cluster(mesh.elems, north, inside), "elem", "left_semi").select("node").distinct()
+
+
+def in_outline(points: DataFrame, outline: DataFrame, key: str, strip: float = 0.25) -> DataFrame:
+    """``key`` of the ``points(key, x, y)`` within a closed line ``outline(x0, y0, x1, y1)`` of any number of edges, by crossing parity.
+
+    Edges list the strips of latitude that they reach and meet the points of those strips by an equi-join; what is counted is combined
+    before the shuffle. Half open in y.
+    """
+    edges = outline.where("y0 <> y1").withColumn("strip", F.explode(F.sequence(F.floor(F.least("y0", "y1") / strip), F.floor(F.greatest("y0", "y1") / strip))))
+    hit = points.select(key, F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("y") / strip).alias("strip")).join(edges, "strip")
+    crossed = F.expr("(y0 > py) <> (y1 > py) and px < x0 + (py - y0) * (x1 - x0) / (y1 - y0)")
+    return hit.where(crossed).groupBy(key).agg(F.count("*").alias("n")).where("n % 2 = 1").select(key)
+
+
+def ring_edges(rings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``ring, loop, seq, n0, n1, x0, y0, x1, y1`` of contours from ``ring_order``."""
+    place = nodes.select("node", F.col("lon").alias("x0"), F.col("lat").alias("y0"))
+    here = rings.join(place, "node").withColumnRenamed("node", "n0")
+    there = here.where("seq > 0").select("ring", "loop", (F.col("seq") - 1).alias("seq"), F.col("n0").alias("n1"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    return here.where("seq < n").join(there, ["ring", "loop", "seq"]).select("ring", "loop", "seq", "n0", "n1", "x0", "y0", "x1", "y1")
+
+
+def basin_in_outline(mesh: Mesh, inside: DataFrame) -> DataFrame:
+    """``elem`` of ``inside(elem)`` within the outer contour of the part of the mesh that it makes up.
+
+    The outer contour is the one that holds the northernmost boundary edge by the mean of its ends (ties: the first one by ``n1``, then ``n0``).
+    Elements are tested by their plain centroid, so water bodies that the contour encloses belong to the basin.
+    """
+    part = stored(mesh.elems.join(inside, "elem", "left_semi"))
+    sides = stored(ring_edges(ring_order(boundary_edges(part), part), mesh.nodes))
+    north = F.struct((F.col("y0") + F.col("y1")) / 2, -F.greatest("n0", "n1"), -F.least("n0", "n1"))
+    outer = sides.agg(F.max_by(F.struct("ring", "loop"), north).alias("r")).select("r.ring", "r.loop")  # one row
+    outline = sides.join(F.broadcast(outer), ["ring", "loop"], "left_semi")
+    return in_outline(centroids(Mesh(mesh.nodes, part, mesh.levels)), outline, "elem")

@@ -68,7 +68,62 @@ def transport_path(cuts: DataFrame) -> DataFrame:
     behind = piece(pick("tri_r", "tri_l"), -pick("dx_r", "dx_l"), -pick("dy_r", "dy_l"), 0)
     front = piece(pick("tri_l", "tri_r"), pick("dx_l", "dx_r"), pick("dy_l", "dy_r"), 1)
     rows = cuts.withColumns({"i": order, "n": last}).withColumn("p", F.explode(F.array(behind, front))).where("(p.sub = 0 and i > 1) or (p.sub = 1 and i < n)")
-    return rows.select("name", "seg", "rank", "nx", "ny", "p.*")
+    return rows.select("name", "seg", "rank", "nx", "ny", "p.*", "n0", "n1")
+
+
+#: Density and heat capacity of sea water, and what turns a flux of each quantity into PW, kg/s and Sv. Fixed values.
+RHO, HEAT_CAPACITY = 1030.0, 3850.0
+FLUX_FACTORS = {"heat": RHO * HEAT_CAPACITY * 1e-15, "salt": RHO / 1000, "volume": 1e-6}
+
+
+def _edge_means(path: DataFrame, field: DataFrame, nodes: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
+    """``n0, n1, keys.., values..``: means over the two nodes of each edge of the path, missing below either bottom.
+
+    ``keys`` are the levels and times of ``field(node, keys.., values..)``; the level is ``k``.
+    """
+    wet = field.join(nodes.select("node", "n_iz"), "node").where("k < n_iz").drop("n_iz")
+    out = path.select("n0", "n1").distinct()
+    for end in range(2):
+        out = out.join(wet.select(F.col("node").alias(f"n{end}"), *keys, *(F.col(v).alias(f"{v}{end}") for v in values)), [f"n{end}"] if end == 0 else ["n1", *keys])
+    return out.select("n0", "n1", *keys, *(((F.col(f"{v}0") + F.col(f"{v}1")) * 0.5).alias(v) for v in values))
+
+
+def section_flux(
+    path: DataFrame, velocity: DataFrame, mesh: Mesh, *, quantity: str = "volume", tracer: DataFrame | None = None, reference: float = 0.0, factor: float | None = None, inverse: bool = False, full: bool = False
+) -> DataFrame:
+    """``name, seg, rank, sub, [time,] k, flux``: what flows through each piece of the path at each level.
+
+    ``velocity`` is given at elements ``(elem, [time,] k, u, v)``, masked by the bottom of the element, or at nodes
+    ``(node, ..)``, which is less exact: the two nodes of the cut edge are averaged. With a ``tracer(node, [time,] k, value)``
+    the flux carries the tracer's mean over the cut edge above ``reference``; pieces with a dry node have none. ``heat`` comes
+    in PW, ``salt`` in kg/s and ``volume`` in Sv; ``factor`` sets another unit. ``full`` takes layers around full levels.
+    """
+    if quantity not in FLUX_FACTORS:
+        raise ValueError(f"quantity must be one of {sorted(FLUX_FACTORS)}")
+    if (quantity == "volume") != (tracer is None):
+        raise ValueError("heat and salt need a tracer, volume takes none")
+    keys = [c for c in ("time", "k") if c in velocity.columns]
+    if "elem" in velocity.columns:
+        wet = velocity.join(mesh.elems.select("elem", "e_iz"), "elem").where("k < e_iz").drop("e_iz")
+        rows = path.where("elem is not null").join(wet, "elem")
+    else:
+        rows = path.join(_edge_means(path, velocity, mesh.nodes, ["u", "v"], keys), ["n0", "n1"])
+    flux = (-F.col("u") * F.col("dy") + F.col("v") * F.col("dx")) * F.col("w_z")
+    if tracer is not None:
+        also = [c for c in ("time", "k") if c in tracer.columns]
+        value = next(c for c in tracer.columns if c not in ("node", "time", "k"))
+        carried = _edge_means(path, tracer.withColumnRenamed(value, "tracer"), mesh.nodes, ["tracer"], also)
+        rows = rows.join(carried, ["n0", "n1", *(c for c in also if c in keys)])
+        flux = flux * (F.col("tracer") - reference)
+    scale = FLUX_FACTORS[quantity] if factor is None else factor
+    rows = rows.join(F.broadcast(thickness(mesh.levels, full)), "k")
+    return rows.select("name", "seg", "rank", "sub", *keys, (flux * (-scale if inverse else scale)).alias("flux"))
+
+
+def signed_flux(flux: DataFrame, by: list[str]) -> DataFrame:
+    """``by.., net, positive, negative`` of a section's flux."""
+    v = F.col("flux")
+    return flux.groupBy(*by).agg(F.sum(v).alias("net"), F.coalesce(F.sum(F.when(v > 0, v)), F.lit(0.0)).alias("positive"), F.coalesce(F.sum(F.when(v < 0, v)), F.lit(0.0)).alias("negative"))
 
 
 def transect_transport(path: DataFrame, velocity: DataFrame, mesh: Mesh, *, factor: float = 1e-6, inverse: bool = False, by: tuple = ("name",), oriented: bool = False) -> DataFrame:
