@@ -149,6 +149,36 @@ def coarse_grain(field: DataFrame, value: str, dlon: float, dlat: float, by: lis
     return out.select(*by, ((F.col("bx") + 0.5) * dlon).alias("lon"), ((F.col("by") + 0.5) * dlat).alias("lat"), F.nullif(F.col("s") / area, F.lit(0.0)).alias(value))
 
 
+def coarse_grain_closed(field: DataFrame, value: str, dlon: float, dlat: float, by: list[str], degree: float, closed: tuple[bool, bool] = (True, True)) -> DataFrame:
+    """``coarse_grain`` with boxes that include both their edges, in longitude and in latitude (``closed``); else only the upper one.
+
+    A point on an edge counts for both boxes, so a point goes to two boxes per axis at most.
+    """
+
+    def boxes(c: str, d: float, both: bool) -> Column:
+        low = F.floor(F.col(c) / d)
+        edge = F.col(c) / d == low
+        return F.when(edge & F.lit(both), F.array(low - 1, low)).when(edge, F.array(low - 1)).otherwise(F.array(low))
+
+    out = field.withColumn("bx", F.explode(boxes("lon", dlon, closed[0]))).withColumn("by", F.explode(boxes("lat", dlat, closed[1])))
+    area = F.cos(F.radians((F.col("by") + 0.5) * dlat)) * (dlon * dlat * degree * degree)
+    out = out.groupBy(*by, "bx", "by").agg(F.sum(F.col(value) * F.col("w_A")).alias("s"))
+    return out.select(*by, ((F.col("bx") + 0.5) * dlon).alias("lon"), ((F.col("by") + 0.5) * dlat).alias("lat"), F.nullif(F.col("s") / area, F.lit(0.0)).alias(value))
+
+
+def region_views(field: DataFrame, hits: DataFrame, key: str, value: str, weight: Column) -> DataFrame:
+    """``view, region, time, k, value``: profile, Hovmoeller diagram and time series of regions from one pass over the field.
+
+    Weighted means by grouping sets: ``profile`` has no time, ``series`` no level. Rows without a value carry no weight; a group
+    without any has a missing value.
+    """
+    rows = field.join(hits, key).select("region", "time", "k", F.col(value).alias("_v"), F.when(F.col(value).isNotNull(), weight).alias("_w"))
+    sets = [[F.col("region"), F.col("k")], [F.col("region"), F.col("time"), F.col("k")], [F.col("region"), F.col("time")]]
+    whole = rows.groupingSets(sets, "region", "time", "k").agg(F.grouping("time").alias("_t"), F.grouping("k").alias("_k"), F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias(value))
+    view = F.when(F.col("_t") == 1, "profile").when(F.col("_k") == 1, "series").otherwise("hovmoeller")
+    return whole.select(view.alias("view"), "region", "time", "k", value)
+
+
 def signed_totals(df: DataFrame, value: str, by: list[str], over: str = "time") -> DataFrame:
     """Net, positive and negative sum per ``by`` and ``over``, then their means over ``over``."""
     v = F.col(value)

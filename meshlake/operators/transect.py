@@ -35,15 +35,55 @@ def cut_edges(lines: DataFrame, edges: DataFrame, pad: float = 10.0) -> DataFram
     near = F.expr(
         f"least(ex0, ex1) >= least(x0, x1) - {pad} and greatest(ex0, ex1) <= greatest(x0, x1) + {pad} and least(ey0, ey1) >= least(y0, y1) - {pad} and greatest(ey0, ey1) <= greatest(y0, y1) + {pad}"
     )
-    both = e.join(F.broadcast(lines), near)
+    w = Window.partitionBy("name", "seg").orderBy("s", "n0", "n1")
+    return _cuts(e.join(F.broadcast(lines), near)).withColumn("rank", F.row_number().over(w))
+
+
+#: Degrees by which cells reach over their borders, so that cuts on a border are met.
+MARGIN = 1e-4
+
+
+def _with_cells(df: DataFrame, low: Column, high: Column, y: Column, size: float) -> DataFrame:
+    """Rows once per cell between two longitudes in a band of latitude: ``cx`` round the globe, ``turn`` to undo that."""
+    cells = F.sequence(F.floor((low - MARGIN) / size), F.floor((high + MARGIN) / size))
+    out = df.withColumn("_c", F.explode(cells)).withColumn("cy", y)
+    around = int(round(360 / size))
+    return out.withColumn("cx", F.pmod("_c", F.lit(around))).withColumn("turn", F.floor(F.col("_c") / around)).drop("_c")
+
+
+def cut_edges_by_cells(lines: DataFrame, edges: DataFrame, size: float = 10.0) -> DataFrame:
+    """The result of ``cut_edges`` for lines and edges of any number, anywhere on the globe.
+
+    A segment lists the cells of ``size`` degrees that it runs through, an edge those that it reaches, and both meet in
+    equal cells; ``size`` divides 360. Longitudes are unwrapped on the way: an edge over the date line is one short edge, and segments may run past
+    180 degrees. No box limits the edges, so long edges near the poles are found; ``px`` continues the longitudes of the segment.
+    """
+    band = lambda a, b: F.sequence(F.floor((F.least(a, b) - MARGIN) / size), F.floor((F.greatest(a, b) + MARGIN) / size))
+    # the stretch of a segment within each band of latitude
+    seg = lines.withColumn("_j", F.explode(band("y0", "y1")))
+    at = lambda y: F.when(F.col("y1") == F.col("y0"), None).otherwise(F.col("x0") + (y - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")))
+    bottom = F.greatest(F.least("y0", "y1"), F.col("_j") * size - MARGIN)
+    top = F.least(F.greatest("y0", "y1"), (F.col("_j") + 1) * size + MARGIN)
+    a, b = F.coalesce(at(bottom), F.col("x0")), F.coalesce(at(top), F.col("x1"))
+    seg = _with_cells(seg, F.least(a, b), F.greatest(a, b), F.col("_j"), size).drop("_j")
+    e = edges.withColumnsRenamed({"x0": "ex0", "y0": "ey0", "x1": "ex1", "y1": "ey1"})
+    e = e.withColumn("ex1", F.col("ex0") + expr.wrap(F.col("ex1") - F.col("ex0"))).withColumn("_j", F.explode(band("ey0", "ey1")))
+    e = _with_cells(e, F.least("ex0", "ex1"), F.greatest("ex0", "ex1"), F.col("_j"), size).drop("_j").withColumnRenamed("turn", "eturn")
+    both = e.join(seg, ["cx", "cy"]).withColumn("shift", (F.col("turn") - F.col("eturn")) * 360.0)
+    both = both.withColumns({"ex0": F.col("ex0") + F.col("shift"), "ex1": F.col("ex1") + F.col("shift")}).drop("cx", "cy", "turn", "eturn")
+    hit = _cuts(both).dropDuplicates(["name", "seg", "n0", "n1", "shift"]).drop("shift")
+    w = Window.partitionBy("name", "seg").orderBy("s", "n0", "n1")
+    return hit.withColumn("rank", F.row_number().over(w))
+
+
+def _cuts(both: DataFrame) -> DataFrame:
+    """Pairs of a segment and an edge that cut each other, with the places on both and the point."""
     det = F.expr("(x1 - x0) * (ey1 - ey0) - (y1 - y0) * (ex1 - ex0)")
     s = F.expr("((ex0 - x0) * (ey1 - ey0) - (ey0 - y0) * (ex1 - ex0))") / F.col("det")
     t = F.expr("((ex0 - x0) * (y1 - y0) - (ey0 - y0) * (x1 - x0))") / F.col("det")
     both = both.withColumn("det", det).where("abs(det) > 1e-12").withColumns({"s": s, "lint": t})
     hit = both.where((F.col("s") >= -EPS) & (F.col("s") <= 1 + EPS) & (F.col("lint") >= -EPS) & (F.col("lint") <= 1 + EPS))
-    hit = hit.withColumns({"px": F.expr("ex0 + lint * (ex1 - ex0)"), "py": F.expr("ey0 + lint * (ey1 - ey0)")})
-    w = Window.partitionBy("name", "seg").orderBy("s", "n0", "n1")
-    return hit.withColumn("rank", F.row_number().over(w)).drop("det")
+    return hit.withColumns({"px": F.expr("ex0 + lint * (ex1 - ex0)"), "py": F.expr("ey0 + lint * (ey1 - ey0)")}).drop("det")
 
 
 def path_distance(cuts: DataFrame) -> DataFrame:

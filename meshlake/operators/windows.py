@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,27 @@ def smooth_cells(field: DataFrame, neighbours: DataFrame, cell: str, value: str,
     return field
 
 
+def smooth_weighted(field: DataFrame, neighbours: DataFrame, cell: str, value: str, centre: float, rounds: int = 1, weak: list[tuple] | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Neighbour smoothing: ``(sum + m v) / (n + m)`` with ``m = c centre (n - 1) - 1`` for a cell with ``n`` neighbours of that sum.
+
+    ``weak`` lists boxes ``(x0, x1, y0, y1, c)`` of less smoothing on ``field(cell, x, y, value)``; of several the last one counts, elsewhere ``c`` is 1. Cells
+    whose neighbours have no values keep theirs, as do cells whose weights add up to 0 (a single neighbour). Every round uses the values of the round before. ``keep`` stores a table between
+    rounds, so that the plan does not grow with their number.
+    """
+    c = F.lit(1.0)
+    for x0, x1, y0, y1, more in weak or []:
+        c = F.when(F.col("x").between(x0, x1) & F.col("y").between(y0, y1), float(more)).otherwise(c)
+    field = field.withColumn("_c", c)
+    for _ in range(rounds):
+        around = neighbours.join(field.select(F.col(cell).alias("neighbour"), F.col(value).alias("_n")), "neighbour")
+        sums = around.groupBy(cell).agg(F.sum("_n").alias("_s"), F.count("_n").alias("_n")).where("_n > 0")
+        more = F.col("_c") * centre * (F.col("_n") - 1) - 1
+        new = F.try_divide(F.col("_s") + more * F.col(value), F.col("_n") + more)
+        field = field.join(sums, cell, "left").withColumn(value, F.coalesce(new, value)).drop("_s", "_n")
+        field = keep(field) if keep is not None else field
+    return field.drop("_c")
+
+
 def concat_cycles(df: DataFrame, time: str = "year", cycle: str = "cycle", run: str = "run") -> DataFrame:
     """Spin-up cycles one after the other: cycle ``c`` is shifted by ``c`` times the length of a cycle of the run."""
     ends = df.groupBy(run).agg((F.max(time) - F.min(time) + 1).alias("_n"))
@@ -81,6 +104,36 @@ def non_increasing(df: DataFrame, axis: str, value: str, by: list[str]) -> DataF
     return df.withColumn(value, F.min(value).over(w))
 
 
+def repair_depths(grid: DataFrame, x: str, axis: str, value: str, by: list[str] | None = None, surface: float = -1.0) -> DataFrame:
+    """Depths ``value`` of classes ``axis`` at places ``x`` without gaps and nowhere rising from class to class.
+
+    Depths at or above ``surface`` count as gaps. Below the deepest class of a place its depth goes on, above the shallowest
+    that one's. Gaps that are left take the nearest known cell by the distance in ``(x, axis)``, first within each place
+    by windows, then among the places of the class by the sum of both squares, which together is the exact nearest cell (ties: the smaller ``x``,
+    then the smaller ``axis``). Last comes the running minimum. A grid without any depth stays empty. The grid is an aggregate;
+    a class holds one entry per place.
+    """
+    by = by or []
+    place = Window.partitionBy(*by, x)
+    rows = grid.select(*by, x, axis, F.when(F.col(value) < surface, F.col(value)).alias("_v"))
+    low, high = F.min("_v").over(place), F.max("_v").over(place)
+    rows = rows.withColumns({"_low": low, "_high": high})
+    rows = rows.withColumns({"_last": F.max(F.when(F.col("_v") == F.col("_low"), F.col(axis))).over(place), "_first": F.min(F.when(F.col("_v") == F.col("_high"), F.col(axis))).over(place)})
+    rows = rows.select(*by, x, axis, F.when(F.col(axis) > F.col("_last"), F.col("_low")).when(F.col(axis) < F.col("_first"), F.col("_high")).otherwise(F.col("_v")).alias("_v"))
+    known = F.when(F.col("_v").isNotNull(), F.struct(F.col(axis).alias("a"), F.col("_v").alias("v")))
+    order = place.orderBy(axis)
+    up = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    near = lambda site: F.when(site.isNotNull(), F.struct(((F.col(axis) - site["a"]) * (F.col(axis) - site["a"])).alias("f"), site["a"].alias("a"), site["v"].alias("v")))
+    rows = rows.withColumn("_site", F.least(near(up), near(down)))
+    line = rows.where("_site is not null").groupBy(*by, axis).agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col("_site.f").alias("f"), F.col("_site.a").alias("a"), F.col("_site.v").alias("v"))).alias("_line"))
+    gaps = rows.where("_v is null").select(*by, x, axis).join(line, [*by, axis])
+    best = F.array_min(F.transform("_line", lambda s: F.struct(((F.col(x) - s["x"]) * (F.col(x) - s["x"]) + s["f"]).alias("d"), s["x"].alias("x"), s["a"].alias("a"), s["v"].alias("v"))))
+    filled = gaps.select(*by, x, axis, best["v"].alias("_fill"))
+    whole = rows.select(*by, x, axis, "_v").join(filled, [*by, x, axis], "left").select(*by, x, axis, F.coalesce("_v", "_fill").alias(value))
+    return non_increasing(whole, axis, value, [*by, x])
+
+
 def series_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean, and mean plus and minus one standard deviation, per series."""
     m, s = F.avg(value), F.stddev_pop(value)

@@ -66,7 +66,7 @@ _PARTS = _DEEP + """,
   closed AS (SELECT ring, loop, part, seq, x, y FROM parts SEMI JOIN polys USING (ring, loop, part) UNION ALL SELECT ring, loop, part, top, fx, fy FROM polys)"""
 
 
-@query("g15_closed_parts", recursive(sql("elems", "SELECT ring, loop, CAST(part AS INTEGER) AS part, CAST(seq AS BIGINT) AS seq, round_even(x, 6) + 0.0 AS x, round_even(y, 6) + 0.0 AS y FROM closed", _PARTS)))
+@query("g15_closed_parts", recursive(sql("elems", "SELECT ring, loop, CAST(part AS INTEGER) AS part, CAST(seq AS BIGINT) AS seq, round(x + 1e-9, 6) + 0.0 AS x, round(y + 1e-9, 6) + 0.0 AS y FROM closed", _PARTS)))
 def g15_closed(spark, d):
     m = deep(X.mesh(spark, d))
     return rounded(Y.closed_parts(Y.boundary_rings(m), m.nodes), "x", "y")

@@ -25,8 +25,8 @@ def g15(spark, d):
     return rounded(Y.split_rings(Y.boundary_rings(m), m.nodes), "x", "y")
 
 
-@query("g16_periodic_nodes", sql("corners elem_node", """SELECT round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM nodes UNION ALL
-  SELECT round(if(lon > 0, lon - 360, lon + 360), 6) + 0.0, round(lat, 6) + 0.0 FROM nodes WHERE node IN (SELECT node FROM elem_node WHERE elem IN (SELECT elem FROM corners WHERE greatest(lon0, lon1, lon2) - least(lon0, lon1, lon2) > 240))"""))
+@query("g16_periodic_nodes", sql("corners elem_node", """SELECT round(lon + 1e-9, 6) + 0.0 AS lon, round(lat + 1e-9, 6) + 0.0 AS lat FROM nodes UNION ALL
+  SELECT round(if(lon > 0, lon - 360, lon + 360) + 1e-9, 6) + 0.0, round(lat + 1e-9, 6) + 0.0 FROM nodes WHERE node IN (SELECT node FROM elem_node WHERE elem IN (SELECT elem FROM corners WHERE greatest(lon0, lon1, lon2) - least(lon0, lon1, lon2) > 240))"""))
 def g16(spark, d):
     return rounded(Y.periodic_augment(X.mesh(spark, d))[0].select("lon", "lat"), "lon", "lat")
 
@@ -45,7 +45,7 @@ def g18(spark, d):
     return Y.elem_cluster(m.elems, inside.agg(F.min("elem")).first()[0], inside)
 
 
-@query("st01_region_sums", """SELECT event_type AS region, CAST(year(ts) AS INTEGER) AS year, round(sum(value * 2) / sum(2.0::DOUBLE), 6) + 0.0 AS temp FROM events GROUP BY 1, 2""")
+@query("st01_region_sums", """SELECT event_type AS region, CAST(year(ts) AS INTEGER) AS year, round(sum(value * 2) / sum(2.0::DOUBLE) + 1e-9, 6) + 0.0 AS temp FROM events GROUP BY 1, 2""")
 def st01(spark, d):
     events = X.table(spark, d, "events").select(F.col("ts").alias("time"), F.col("user_id").alias("node"), "event_type", F.col("value").cast("double").alias("temp"))
     cells = events.select("node").distinct().withColumn("w_A", F.lit(2.0))
@@ -53,7 +53,7 @@ def st01(spark, d):
     return rounded(sums.select("region", "year", (F.col("total") / F.col("weight")).alias("temp")), "temp")
 
 
-@query("st02_monthly_means", """SELECT user_id AS station, event_type AS variable, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY 1, 2, 3""")
+@query("st02_monthly_means", """SELECT user_id AS station, event_type AS variable, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, round(avg(value) + 1e-9, 6) + 0.0 AS mean FROM events GROUP BY 1, 2, 3""")
 def st02(spark, d):
     events = X.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("station"), F.col("event_type").alias("variable"), F.col("value").cast("double").alias("value"))
     return rounded(Q.monthly_means(Q.daily_sums(events)).withColumn("month", F.col("month").cast("timestamp_ntz")), "mean")

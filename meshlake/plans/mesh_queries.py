@@ -11,23 +11,23 @@ from meshlake.operators import regions as S
 from meshlake.operators import windows as W
 from meshlake.plans import fixtures as X
 from meshlake.plans.fixtures import with_tables as sql
-from meshlake.plans.registry import query, r6, rounded
+from meshlake.plans.registry import query, r6, rn, rounded
 
 
-@query("g01_centroids", sql("corners", "SELECT elem, round((lon0 + lon1 + lon2) / 3, 6) + 0.0 AS x, round((lat0 + lat1 + lat2) / 3, 6) + 0.0 AS y FROM corners"))
+@query("g01_centroids", sql("corners", "SELECT elem, round((lon0 + lon1 + lon2) / 3 + 1e-9, 6) + 0.0 AS x, round((lat0 + lat1 + lat2) / 3 + 1e-9, 6) + 0.0 AS y FROM corners"))
 def g01(spark, d):
     return rounded(G.centroids(X.mesh(spark, d)), "x", "y")
 
 
-@query("g02_cyclic_centroids", sql("corners", """SELECT elem, round((if(lon0 - m >= 180, lon0 - 360, lon0) + if(lon1 - m >= 180, lon1 - 360, lon1) + if(lon2 - m >= 180, lon2 - 360, lon2)) / 3, 6) + 0.0 AS x,
-  round((lat0 + lat1 + lat2) / 3, 6) + 0.0 AS y FROM (SELECT *, least(lon0, lon1, lon2) AS m FROM corners)"""))
+@query("g02_cyclic_centroids", sql("corners", """SELECT elem, round((if(lon0 - m >= 180, lon0 - 360, lon0) + if(lon1 - m >= 180, lon1 - 360, lon1) + if(lon2 - m >= 180, lon2 - 360, lon2)) / 3 + 1e-9, 6) + 0.0 AS x,
+  round((lat0 + lat1 + lat2) / 3 + 1e-9, 6) + 0.0 AS y FROM (SELECT *, least(lon0, lon1, lon2) AS m FROM corners)"""))
 def g02(spark, d):
     return rounded(G.centroids(X.mesh(spark, d), cyclic=True), "x", "y")
 
 
-@query("g03_elem_area", sql("area", "SELECT elem, round(area * 1e-6, 3) + 0.0 AS area_km2 FROM area"))
+@query("g03_elem_area", sql("area", "SELECT elem, round(area * 1e-6 + 1e-6, 3) + 0.0 AS area_km2 FROM area"))
 def g03(spark, d):
-    return G.elem_area(X.mesh(spark, d)).select("elem", (F.round(F.col("area") * 1e-6, 3) + 0.0).alias("area_km2"))
+    return G.elem_area(X.mesh(spark, d)).select("elem", (rn(F.col("area") * 1e-6, 3) + 0.0).alias("area_km2"))
 
 
 _SIDES = """sides AS (SELECT elem, unnest([
@@ -36,32 +36,32 @@ _SIDES = """sides AS (SELECT elem, unnest([
   sqrt(pow((lon0 - lon2 - floor((lon0 - lon2) / 360 + 0.5) * 360) * cos(radians((lat2 + lat0) / 2)), 2) + pow(lat0 - lat2, 2))]) * 6367.5 * pi() / 180 AS s FROM corners)"""
 
 
-@query("g04_elem_resolution", sql("corners", "SELECT elem, round(avg(s), 6) + 0.0 AS mean, round(max(s), 6) + 0.0 AS max, round(min(s), 6) + 0.0 AS min FROM sides GROUP BY elem", _SIDES))
+@query("g04_elem_resolution", sql("corners", "SELECT elem, round(avg(s) + 1e-9, 6) + 0.0 AS mean, round(max(s) + 1e-9, 6) + 0.0 AS max, round(min(s) + 1e-9, 6) + 0.0 AS min FROM sides GROUP BY elem", _SIDES))
 def g04(spark, d):
     return rounded(G.elem_sides(X.mesh(spark, d)), "mean", "max", "min", scale=1e-3)
 
 
-@query("g05_node_area", sql("node_area", "SELECT node, k, round(w_A * 1e-6, 3) + 0.0 AS area_km2 FROM node_area"))
+@query("g05_node_area", sql("node_area", "SELECT node, k, round(w_A * 1e-6 + 1e-6, 3) + 0.0 AS area_km2 FROM node_area"))
 def g05(spark, d):
-    return G.node_area(X.mesh(spark, d)).select("node", "k", (F.round(F.col("w_A") * 1e-6, 3) + 0.0).alias("area_km2"))
+    return G.node_area(X.mesh(spark, d)).select("node", "k", (rn(F.col("w_A") * 1e-6, 3) + 0.0).alias("area_km2"))
 
 
-@query("g06_node_area_flat", sql("area elem_node", "SELECT node, round(sum(area) / 3 * 1e-6, 3) + 0.0 AS area_km2 FROM elem_node JOIN area USING (elem) GROUP BY node"))
+@query("g06_node_area_flat", sql("area elem_node", "SELECT node, round(sum(area) / 3 * 1e-6 + 1e-6, 3) + 0.0 AS area_km2 FROM elem_node JOIN area USING (elem) GROUP BY node"))
 def g06(spark, d):
-    return G.node_area(X.mesh(spark, d), per_level=False).select("node", (F.round(F.col("w_A") * 1e-6, 3) + 0.0).alias("area_km2"))
+    return G.node_area(X.mesh(spark, d), per_level=False).select("node", (rn(F.col("w_A") * 1e-6, 3) + 0.0).alias("area_km2"))
 
 
-@query("g07_node_resolution", sql("area elem_node", "SELECT node, round(2 * sqrt(sum(area) / 3 / pi()) * 1e-3, 6) + 0.0 AS resol_km, round(sum(area * s) / sum(area), 6) + 0.0 AS mean_km FROM elem_node JOIN area USING (elem) JOIN (SELECT elem, avg(s) AS s FROM sides GROUP BY elem) USING (elem) GROUP BY node", _SIDES))
+@query("g07_node_resolution", sql("area elem_node", "SELECT node, round(2 * sqrt(sum(area) / 3 / pi()) * 1e-3 + 1e-9, 6) + 0.0 AS resol_km, round(sum(area * s) / sum(area) + 1e-9, 6) + 0.0 AS mean_km FROM elem_node JOIN area USING (elem) JOIN (SELECT elem, avg(s) AS s FROM sides GROUP BY elem) USING (elem) GROUP BY node", _SIDES))
 def g07(spark, d):
     m = X.mesh(spark, d)
     a = G.node_resolution(m).select("node", r6(F.col("resol") * 1e-3).alias("resol_km"))
     return a.join(G.node_resolution(m, "elements").select("node", r6(F.col("resol") * 1e-3).alias("mean_km")), "node")
 
 
-@query("g08_weights", sql("node_area thick field_n", "SELECT time, node, k, round(temp, 6) + 0.0 AS temp, round(w_A * 1e-6, 3) + 0.0 AS area_km2, w_z FROM field_n LEFT JOIN node_area USING (node, k) JOIN thick USING (k)"))
+@query("g08_weights", sql("node_area thick field_n", "SELECT time, node, k, round(temp + 1e-9, 6) + 0.0 AS temp, round(w_A * 1e-6 + 1e-6, 3) + 0.0 AS area_km2, w_z FROM field_n LEFT JOIN node_area USING (node, k) JOIN thick USING (k)"))
 def g08(spark, d):
     out = G.weights(X.field_n(spark, d), X.mesh(spark, d), vertical=True)
-    return out.select("time", "node", "k", r6("temp").alias("temp"), (F.round(F.col("w_A") * 1e-6, 3) + 0.0).alias("area_km2"), "w_z")
+    return out.select("time", "node", "k", r6("temp").alias("temp"), (rn(F.col("w_A") * 1e-6, 3) + 0.0).alias("area_km2"), "w_z")
 
 
 @query("g09_edge_table", sql("edge_table", "SELECT n0, n1, tri_l, coalesce(tri_r, -1) AS tri_r FROM edge_table"))
@@ -115,7 +115,7 @@ def f14(spark, d):
     return G.periodic_elems(X.mesh(spark, d))
 
 
-@query("s10_edges", sql("edges", "SELECT n0, n1, tri_l, coalesce(tri_r, -1) AS tri_r, round(dx_l * 1e-3, 6) + 0.0 AS dx_l, round(dy_l * 1e-3, 6) + 0.0 AS dy_l, round(dx_r * 1e-3, 6) + 0.0 AS dx_r, round(dy_r * 1e-3, 6) + 0.0 AS dy_r FROM edges"))
+@query("s10_edges", sql("edges", "SELECT n0, n1, tri_l, coalesce(tri_r, -1) AS tri_r, round(dx_l * 1e-3 + 1e-9, 6) + 0.0 AS dx_l, round(dy_l * 1e-3 + 1e-9, 6) + 0.0 AS dy_l, round(dx_r * 1e-3 + 1e-9, 6) + 0.0 AS dx_r, round(dy_r * 1e-3 + 1e-9, 6) + 0.0 AS dy_r FROM edges"))
 def s10(spark, d):
     return rounded(X.edges(X.mesh(spark, d)), "dx_l", "dy_l", "dx_r", "dy_r", scale=1e-3).withColumn("tri_r", F.coalesce("tri_r", F.lit(-1))).drop("x0", "y0", "x1", "y1")
 
@@ -136,28 +136,28 @@ _CART = ("cos(radians(lat)) * cos(radians(lon))", "cos(radians(lat)) * sin(radia
 _RC = _turn(_matrix(), *_CART)
 
 
-@query("v02_cart3d", sql("nodes", f"SELECT node, round({_CART[0]}, 6) + 0.0 AS x, round({_CART[1]}, 6) + 0.0 AS y, round({_CART[2]}, 6) + 0.0 AS z FROM nodes"))
+@query("v02_cart3d", sql("nodes", f"SELECT node, round({_CART[0]} + 1e-9, 6) + 0.0 AS x, round({_CART[1]} + 1e-9, 6) + 0.0 AS y, round({_CART[2]} + 1e-9, 6) + 0.0 AS z FROM nodes"))
 def v02(spark, d):
     x, y, z = expr.cart3d(F.col("lon"), F.col("lat"))
     return X.nodes(spark, d).select("node", r6(x).alias("x"), r6(y).alias("y"), r6(z).alias("z"))
 
 
-@query("v03_rotate_grid", sql("nodes", f"SELECT node, round(degrees(atan2({_RC[1]}, {_RC[0]})), 6) + 0.0 AS rlon, round(degrees(asin(greatest(-1, least(1, {_RC[2]})))), 6) + 0.0 AS rlat FROM nodes"))
+@query("v03_rotate_grid", sql("nodes", f"SELECT node, round(degrees(atan2({_RC[1]}, {_RC[0]})) + 1e-9, 6) + 0.0 AS rlon, round(degrees(asin(greatest(-1, least(1, {_RC[2]})))) + 1e-9, 6) + 0.0 AS rlat FROM nodes"))
 def v03(spark, d):
     a, b = expr.geo_to_rot(_ROT, F.col("lon"), F.col("lat"))
     return X.nodes(spark, d).select("node", r6(a).alias("rlon"), r6(b).alias("rlat"))
 
 
-@query("v03_rotate_back", sql("nodes", "SELECT node, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM nodes WHERE abs(lat) < 79.9 AND abs(lon) < 179.9"))
+@query("v03_rotate_back", sql("nodes", "SELECT node, round(lon + 200.1 - floor((lon + 200.1) / 360) * 360 + 1e-9, 6) + 0.0 AS lon, round(lat + 1e-9, 6) + 0.0 AS lat FROM nodes"))
 def v03b(spark, d):
     a, b = expr.rot_to_geo(_ROT, *expr.geo_to_rot(_ROT, F.col("lon"), F.col("lat")))
-    return X.nodes(spark, d).where("abs(lat) < 79.9 and abs(lon) < 179.9").select("node", r6(a).alias("lon"), r6(b).alias("lat"))
+    # longitudes are equal modulo 360; no node lies where they are cut here
+    return X.nodes(spark, d).select("node", r6(F.pmod(a + 200.1, F.lit(360.0))).alias("lon"), r6(b).alias("lat"))
 
 
-@query("v04_refocus", sql("nodes", "SELECT node, round(if(l > 90.0, l, l + 360), 6) + 0.0 AS lon FROM (SELECT node, lon AS l FROM nodes WHERE abs(lon - 90) > 1e-6)").replace("if(l > 90.0, l, l + 360)", "degrees(atan2(sin(radians(l - 30)), cos(radians(l - 30)))) + 30"))
+@query("v04_refocus", sql("nodes", "SELECT node, round(if(l > 90.0, l, l + 360) + 1e-9, 6) + 0.0 AS lon FROM (SELECT node, lon AS l FROM nodes)").replace("if(l > 90.0, l, l + 360)", "degrees(atan2(sin(radians(l - 30)), cos(radians(l - 30)))) + 30"))
 def v04(spark, d):
-    n = X.nodes(spark, d).where("abs(lon - 90) > 1e-6")
-    return n.select("node", r6(expr.refocus(F.col("lon"), F.col("lat"), 30.0)).alias("lon"))
+    return X.nodes(spark, d).select("node", r6(expr.refocus(F.col("lon"), F.col("lat"), 30.0)).alias("lon"))
 
 
 _CENT = "SELECT e.*, c.cx AS lon, c.cy AS lat FROM field_e e JOIN cent c USING (elem)"
@@ -166,8 +166,8 @@ xyz AS (SELECT *, -v * sin(rb) * cos(rl) - u * sin(rl) AS px, -v * sin(rb) * sin
 gxyz AS (SELECT *, {_turn(_matrix(True), 'px', 'py', 'pz')[0]} AS gx, {_turn(_matrix(True), 'px', 'py', 'pz')[1]} AS gy, {_turn(_matrix(True), 'px', 'py', 'pz')[2]} AS gz FROM xyz)"""
 
 
-@query("v05_rotate_vector", sql("field_e edges", """SELECT elem, k, round(-gx * sin(radians(lon)) + gy * cos(radians(lon)), 6) + 0.0 AS u,
-  round(-gx * sin(radians(lat)) * cos(radians(lon)) - gy * sin(radians(lat)) * sin(radians(lon)) + gz * cos(radians(lat)), 6) + 0.0 AS v FROM gxyz""", _ROTATED))
+@query("v05_rotate_vector", sql("field_e edges", """SELECT elem, k, round(-gx * sin(radians(lon)) + gy * cos(radians(lon)) + 1e-9, 6) + 0.0 AS u,
+  round(-gx * sin(radians(lat)) * cos(radians(lon)) - gy * sin(radians(lat)) * sin(radians(lon)) + gz * cos(radians(lat)) + 1e-9, 6) + 0.0 AS v FROM gxyz""", _ROTATED))
 def v05(spark, d):
     m = X.mesh(spark, d)
     lon, lat = [F.col(f"lon{k}") for k in range(3)], [F.col(f"lat{k}") for k in range(3)]
@@ -177,7 +177,7 @@ def v05(spark, d):
     return X.field_e(m.elems).join(at, "elem").select("elem", "k", r6(u).alias("u"), r6(v).alias("v"))
 
 
-@query("v06_vector_norm", sql("field_e", "SELECT elem, k, round(sqrt(u * u + v * v), 6) + 0.0 AS norm FROM field_e"))
+@query("v06_vector_norm", sql("field_e", "SELECT elem, k, round(sqrt(u * u + v * v) + 1e-9, 6) + 0.0 AS norm FROM field_e"))
 def v06(spark, d):
     return X.field_e(X.mesh(spark, d).elems).select("elem", "k", r6(expr.norm(F.col("u"), F.col("v"))).alias("norm"))
 
@@ -195,20 +195,20 @@ def _dens_sql(s, t, p):
     return f"({rho} / (1 - {q!r}::DOUBLE / ({bulk} + {q!r}::DOUBLE * {a} + {q * q!r}::DOUBLE * {b})))" if p else rho
 
 
-@query("v07_potential_density", sql("field_n", f"SELECT time, node, k, round({_dens_sql('salt', 'temp', 0.0)} - 1000, 6) + 0.0 AS sigma0, round({_dens_sql('salt', 'temp', 2000.0)} - 1000, 6) + 0.0 AS sigma2 FROM field_n"))
+@query("v07_potential_density", sql("field_n", f"SELECT time, node, k, round({_dens_sql('salt', 'temp', 0.0)} - 1000 + 1e-9, 6) + 0.0 AS sigma0, round({_dens_sql('salt', 'temp', 2000.0)} - 1000 + 1e-9, 6) + 0.0 AS sigma2 FROM field_n"))
 def v07(spark, d):
     t, s = F.col("temp"), F.col("salt")
     return X.field_n(spark, d).select("time", "node", "k", r6(expr.sigma(t, s)).alias("sigma0"), r6(expr.sigma(t, s, 2000.0)).alias("sigma2"))
 
 
-@query("v09_product", sql("field_n", "SELECT a.time, a.node, a.k, round(a.temp * b.salt, 6) + 0.0 AS product, round(a.temp + b.salt, 6) + 0.0 AS total FROM field_n a JOIN field_n b USING (time, node, k)"))
+@query("v09_product", sql("field_n", "SELECT a.time, a.node, a.k, round(a.temp * b.salt + 1e-9, 6) + 0.0 AS product, round(a.temp + b.salt + 1e-9, 6) + 0.0 AS total FROM field_n a JOIN field_n b USING (time, node, k)"))
 def v09(spark, d):
     f = X.field_n(spark, d)
     both = f.select("time", "node", "k", "temp").join(f.select("time", "node", "k", F.col("salt").alias("s2")), ["time", "node", "k"])
     return both.select("time", "node", "k", r6(F.col("temp") * F.col("s2")).alias("product"), r6(F.col("temp") + F.col("s2")).alias("total"))
 
 
-@query("v10_decimal_year", "SELECT o_orderkey, round(year(o_orderdate) + (dayofyear(o_orderdate) - 1) / if(year(o_orderdate) % 4 = 0, 366.0::DOUBLE, 365.0::DOUBLE), 6) + 0.0 AS y FROM orders")
+@query("v10_decimal_year", "SELECT o_orderkey, round(year(o_orderdate) + (dayofyear(o_orderdate) - 1) / if(year(o_orderdate) % 4 = 0, 366.0::DOUBLE, 365.0::DOUBLE) + 1e-9, 6) + 0.0 AS y FROM orders")
 def v10(spark, d):
     return X.table(spark, d, "orders").select("o_orderkey", r6(expr.decimal_year(F.col("o_orderdate"))).alias("y"))
 
@@ -274,7 +274,7 @@ def f15(spark, d):
     return S.drop_null_triangles(X.mesh(spark, d).elems, values, "v").select("elem")
 
 
-@query("f20_regional_correction", sql("nodes", "SELECT node, round(if(node IN (SELECT node FROM hits WHERE region = 'arrow'), lat + lat * 10 / 100, lat), 6) + 0.0 AS lat FROM nodes", _HITS))
+@query("f20_regional_correction", sql("nodes", "SELECT node, round(if(node IN (SELECT node FROM hits WHERE region = 'arrow'), lat + lat * 10 / 100, lat) + 1e-9, 6) + 0.0 AS lat FROM nodes", _HITS))
 def f20(spark, d):
     n = X.nodes(spark, d)
     hits = S.in_regions(n, S.boxes_to_regions(spark, {"arrow": REGIONS["arrow"]}), "node", "lon", "lat")
@@ -288,7 +288,7 @@ def s12(spark, d):
     return part.select("region", F.explode(ring).alias("p")).select("region", "p.*")
 
 
-@query("w13_smooth_cells", sql("edge_table mean_n", """SELECT n.node, round((s + c * v) / (c + c), 6) + 0.0 AS temp FROM sfc n JOIN (
+@query("w13_smooth_cells", sql("edge_table mean_n", """SELECT n.node, round((s + c * v) / (c + c) + 1e-9, 6) + 0.0 AS temp FROM sfc n JOIN (
   SELECT node, sum(v2) AS s, CAST(count(*) AS DOUBLE) AS c FROM (SELECT n.node, m.v AS v2 FROM nb n JOIN sfc m ON m.node = n.neighbour) GROUP BY node) USING (node)""",
   "sfc AS (SELECT node, avg(temp) AS v FROM mean_n GROUP BY node), nb AS (SELECT n0 AS node, n1 AS neighbour FROM edge_table UNION ALL SELECT n1, n0 FROM edge_table)"))
 def w13(spark, d):

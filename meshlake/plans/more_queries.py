@@ -15,7 +15,7 @@ from meshlake.plans import fixtures as X
 from meshlake.plans.field_queries import _WEIGHTED, _WMEAN, _weighted
 from meshlake.plans.fixtures import with_tables as sql
 from meshlake.plans.mesh_queries import _HITS, REGIONS
-from meshlake.plans.registry import query, r6, rounded
+from meshlake.plans.registry import query, r6, rn, rounded
 from meshlake.plans.transport_queries import _CUTS, _cut
 from meshlake.sources import tables
 
@@ -32,11 +32,11 @@ def s05u(spark, d):
     return tables.unknown_cells(f, X.table(spark, d, "part").where("p_size < 40").select(F.col("p_partkey").cast("int").alias("node")), "node")
 
 
-@query("s08_mesh_quantity", sql("nodes levels elem_node area", "SELECT node, abs(zlev) AS topography, round(a * 1e-6, 3) + 0.0 AS narea FROM nodes JOIN levels ON k = n_iz JOIN (SELECT node, sum(area) / 3 AS a FROM elem_node JOIN area USING (elem) GROUP BY node) USING (node)"))
+@query("s08_mesh_quantity", sql("nodes levels elem_node area", "SELECT node, abs(zlev) AS topography, round(a * 1e-6 + 1e-6, 3) + 0.0 AS narea FROM nodes JOIN levels ON k = n_iz JOIN (SELECT node, sum(area) / 3 AS a FROM elem_node JOIN area USING (elem) GROUP BY node) USING (node)"))
 def s08(spark, d):
     m = X.mesh(spark, d)
     depth = m.nodes.join(F.broadcast(m.levels.withColumnRenamed("k", "n_iz")), "n_iz").select("node", F.abs("zlev").alias("topography"))
-    return depth.join(G.node_area(m, per_level=False), "node").select("node", "topography", (F.round(F.col("w_A") * 1e-6, 3) + 0.0).alias("narea"))
+    return depth.join(G.node_area(m, per_level=False), "node").select("node", "topography", (rn(F.col("w_A") * 1e-6, 3) + 0.0).alias("narea"))
 
 
 @query("s09_climatology", "SELECT CAST(c_custkey AS BIGINT) AS lon, CAST(c_nationkey AS BIGINT) AS lat, CAST(c_acctbal AS DOUBLE) AS temp FROM customer")
@@ -45,20 +45,20 @@ def s09(spark, d):
     return out.select(F.col("lon").cast("long").alias("lon"), F.col("lat").cast("long").alias("lat"), F.col("temp").cast("double").alias("temp"))
 
 
-@query("f18_derive", sql("field_n field_e", "SELECT elem AS cell, k, round(sqrt(u * u + v * v), 6) + 0.0 AS value, 'norm' AS kind FROM field_e UNION ALL SELECT node, k, round(avg(temp * salt), 6) + 0.0, 'product' FROM field_n GROUP BY node, k"))
+@query("f18_derive", sql("field_n field_e", "SELECT elem AS cell, k, round(sqrt(u * u + v * v) + 1e-9, 6) + 0.0 AS value, 'norm' AS kind FROM field_e UNION ALL SELECT node, k, round(avg(temp * salt) + 1e-9, 6) + 0.0, 'product' FROM field_n GROUP BY node, k"))
 def f18(spark, d):
     length = R.derive(X.field_e(X.mesh(spark, d).elems), "norm", ["u", "v"]).select(F.col("elem").alias("cell"), "k", "value", F.lit("norm").alias("kind"))
     product = R.derive(X.field_n(spark, d), "product", ["temp", "salt"]).groupBy("node", "k").agg(F.avg("value").alias("value"))
     return rounded(length.unionByName(product.select(F.col("node").alias("cell"), "k", "value", F.lit("product").alias("kind"))), "value")
 
 
-@query("a08_depth_stats", sql("field_n", "SELECT time, node, round(max(temp), 6) + 0.0 AS max, round(min(temp), 6) + 0.0 AS min, round(avg(temp), 6) + 0.0 AS mean FROM field_n GROUP BY time, node"))
+@query("a08_depth_stats", sql("field_n", "SELECT time, node, round(max(temp) + 1e-9, 6) + 0.0 AS max, round(min(temp) + 1e-9, 6) + 0.0 AS min, round(avg(temp) + 1e-9, 6) + 0.0 AS mean FROM field_n GROUP BY time, node"))
 def a08(spark, d):
     stats = [R.statistic(how, "temp").alias(how) for how in ("max", "min", "mean")]
     return rounded(X.field_n(spark, d).groupBy("time", "node").agg(*stats), "max", "min", "mean")
 
 
-@query("a23_extremes", sql("nodes field_n", "SELECT k, round(max(if(lat > 20, temp, NULL)), 6) + 0.0 AS north, round(min(if(lat < -20, temp, NULL)), 6) + 0.0 AS south FROM field_n JOIN nodes USING (node) GROUP BY k"))
+@query("a23_extremes", sql("nodes field_n", "SELECT k, round(max(if(lat > 20, temp, NULL)) + 1e-9, 6) + 0.0 AS north, round(min(if(lat < -20, temp, NULL)) + 1e-9, 6) + 0.0 AS south FROM field_n JOIN nodes USING (node) GROUP BY k"))
 def a23(spark, d):
     f = X.field_n(spark, d).join(X.nodes(spark, d).select("node", "lat"), "node")
     return rounded(f.groupBy("k").agg(F.max(F.when(F.col("lat") > 20, F.col("temp"))).alias("north"), F.min(F.when(F.col("lat") < -20, F.col("temp"))).alias("south")), "north", "south")
@@ -69,24 +69,24 @@ def a25(spark, d):
     return X.field_n(spark, d).agg(F.countDistinct("time").alias("times"), F.countDistinct("node").alias("nodes"), F.countDistinct(F.month("time")).alias("months"))
 
 
-@query("w01_cumulate_north_south", sql("nodes mean_n", "SELECT k, lat + 0.0 AS lat, round(-sum(s) OVER (PARTITION BY k ORDER BY lat DESC), 6) + 0.0 AS temp FROM (SELECT k, round_even(lat / 4, 0) * 4 AS lat, sum(temp) AS s FROM mean_n JOIN nodes USING (node) GROUP BY 1, 2)"))
+@query("w01_cumulate_north_south", sql("nodes mean_n", "SELECT k, lat + 0.0 AS lat, round(-sum(s) OVER (PARTITION BY k ORDER BY lat DESC) + 1e-9, 6) + 0.0 AS temp FROM (SELECT k, round_even(lat / 4, 0) * 4 AS lat, sum(temp) AS s FROM mean_n JOIN nodes USING (node) GROUP BY 1, 2)"))
 def w01(spark, d):
     bins = X.mean_n(spark, d).join(X.nodes(spark, d).select("node", "lat"), "node").withColumn("lat", R.lat_bin(F.col("lat"), 4.0)).groupBy("k", "lat").agg(F.sum("temp").alias("temp"))
     return rounded(W.cumulate(bins, "lat", "temp", ["k"], descending=True, negate=True).withColumn("lat", F.col("lat") + 0.0), "temp")
 
 
-@query("w07_smooth_121", sql("nodes mean_n", "SELECT k, lat + 0.0 AS lat, round((coalesce(lag(t) OVER w, t) + 2 * t + coalesce(lead(t) OVER w, t)) / 4, 6) + 0.0 AS temp FROM (SELECT k, round_even(lat / 4, 0) * 4 AS lat, avg(temp) AS t FROM mean_n JOIN nodes USING (node) GROUP BY 1, 2) WINDOW w AS (PARTITION BY k ORDER BY lat)"))
+@query("w07_smooth_121", sql("nodes mean_n", "SELECT k, lat + 0.0 AS lat, round((coalesce(lag(t) OVER w, t) + 2 * t + coalesce(lead(t) OVER w, t)) / 4 + 1e-9, 6) + 0.0 AS temp FROM (SELECT k, round_even(lat / 4, 0) * 4 AS lat, avg(temp) AS t FROM mean_n JOIN nodes USING (node) GROUP BY 1, 2) WINDOW w AS (PARTITION BY k ORDER BY lat)"))
 def w07(spark, d):
     bins = X.mean_n(spark, d).join(X.nodes(spark, d).select("node", "lat"), "node").withColumn("lat", R.lat_bin(F.col("lat"), 4.0)).groupBy("k", "lat").agg(F.avg("temp").alias("temp"))
     return rounded(W.smooth_121(bins, "lat", "temp", ["k"]).withColumn("lat", F.col("lat") + 0.0), "temp")
 
 
-@query("i05_wrap_lon", sql("nodes", "SELECT node, round(if(lon + 180 > 180, lon - 180, lon + 180), 6) + 0.0 AS lon FROM nodes"))
+@query("i05_wrap_lon", sql("nodes", "SELECT node, round(if(lon + 180 > 180, lon - 180, lon + 180) + 1e-9, 6) + 0.0 AS lon FROM nodes"))
 def i05(spark, d):
     return X.nodes(spark, d).select("node", r6(I.wrap_lon(F.col("lon") + 180)).alias("lon"))
 
 
-@query("i11_elem_scalar_at_cuts", sql("edges field_e area elem_node", """SELECT name, CAST(seg AS INTEGER) AS seg, CAST(rank AS INTEGER) AS rank, a.k, round(a.u + (b.u - a.u) * lint, 6) + 0.0 AS u FROM cuts JOIN nu a ON a.node = n0 JOIN nu b ON b.node = n1 AND b.k = a.k""",
+@query("i11_elem_scalar_at_cuts", sql("edges field_e area elem_node", """SELECT name, CAST(seg AS INTEGER) AS seg, CAST(rank AS INTEGER) AS rank, a.k, round(a.u + (b.u - a.u) * lint + 1e-9, 6) + 0.0 AS u FROM cuts JOIN nu a ON a.node = n0 JOIN nu b ON b.node = n1 AND b.k = a.k""",
   _CUTS + ", nu AS (SELECT node, k, sum(u * area) / sum(area) AS u FROM field_e JOIN area USING (elem) JOIN elem_node USING (elem) GROUP BY node, k)"))
 def i11(spark, d):
     m = X.mesh(spark, d)
@@ -110,15 +110,15 @@ def u01(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("u03_union_runs", sql("field_n", "SELECT run, k, round(avg(temp), 6) + 0.0 AS temp FROM (SELECT 'a' AS run, k, temp FROM field_n WHERE year(time) < 1998 UNION ALL SELECT 'b', k, temp FROM field_n WHERE year(time) >= 1998) GROUP BY run, k"))
+@query("u03_union_runs", sql("field_n", "SELECT run, k, round(avg(temp) + 1e-9, 6) + 0.0 AS temp FROM (SELECT 'a' AS run, k, temp FROM field_n WHERE year(time) < 1998 UNION ALL SELECT 'b', k, temp FROM field_n WHERE year(time) >= 1998) GROUP BY run, k"))
 def u03(spark, d):
     f = X.field_n(spark, d)
     return rounded(W.union_runs({"a": f.where("year(time) < 1998"), "b": f.where("year(time) >= 1998")}).groupBy("run", "k").agg(F.avg("temp").alias("temp")), "temp")
 
 
-@query("d14_section_anomaly", sql("node_area thick field_n", f"""SELECT k, lat, round(a.temp - b.temp, 6) + 0.0 AS temp FROM
-  (SELECT k, round_even(lat / 4, 0) * 4 + 0.0 AS lat, {_WMEAN.format(w='w_A').replace('round(', '(').replace(', 6)', ')')} FROM wf WHERE year(time) >= 1998 GROUP BY 1, 2) a JOIN
-  (SELECT k, round_even(lat / 4, 0) * 4 + 0.0 AS lat, {_WMEAN.format(w='w_A').replace('round(', '(').replace(', 6)', ')')} FROM wf WHERE year(time) < 1998 GROUP BY 1, 2) b USING (k, lat)""", _WEIGHTED))
+@query("d14_section_anomaly", sql("node_area thick field_n", f"""SELECT k, lat, round(a.temp - b.temp + 1e-9, 6) + 0.0 AS temp FROM
+  (SELECT k, round_even(lat / 4, 0) * 4 + 0.0 AS lat, {_WMEAN.format(w='w_A').replace('round_even(', '(').replace(', 6)', ')')} FROM wf WHERE year(time) >= 1998 GROUP BY 1, 2) a JOIN
+  (SELECT k, round_even(lat / 4, 0) * 4 + 0.0 AS lat, {_WMEAN.format(w='w_A').replace('round_even(', '(').replace(', 6)', ')')} FROM wf WHERE year(time) < 1998 GROUP BY 1, 2) b USING (k, lat)""", _WEIGHTED))
 def d14(spark, d):
     f, m = _weighted(spark, d)
     f = f.withColumn("w_A", F.col("w_A") * 1e-10).join(m.nodes.select("node", "lat"), "node")
@@ -135,7 +135,7 @@ def _gradient(s: str, t: str, p: str) -> str:
     )
 
 
-@query("v08_potential_temperature", sql("mean_n thick", "SELECT node, k, round(t3 + (d4 - 2 * q3) / 6, 6) + 0.0 AS ptemp FROM (SELECT *, -p * " + _gradient("salt", "t3", "0.0::DOUBLE") + " AS d4 FROM s3)",
+@query("v08_potential_temperature", sql("mean_n thick", "SELECT node, k, round(t3 + (d4 - 2 * q3) / 6 + 1e-9, 6) + 0.0 AS ptemp FROM (SELECT *, -p * " + _gradient("salt", "t3", "0.0::DOUBLE") + " AS d4 FROM s3)",
   f"""s0 AS (SELECT node, k, salt, temp, -zmid AS p FROM mean_n JOIN thick USING (k)),
   s1 AS (SELECT *, temp + d1 / 2 AS t1, d1 AS q1 FROM (SELECT *, -p * {_gradient('salt', 'temp', 'p')} AS d1 FROM s0)),
   s2 AS (SELECT *, t1 + 0.29289322::DOUBLE * (d2 - q1) AS t2, 0.58578644::DOUBLE * d2 + 0.121320344::DOUBLE * q1 AS q2 FROM (SELECT *, -p * {_gradient('salt', 't1', '(p / 2)')} AS d2 FROM s1)),

@@ -23,9 +23,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def rn(c: Column | str, n: int) -> Column:
+    """``n`` decimals. A thousandth of the last place is added first, so that exact halves, whose last bit depends on the engine's order of summing, go up in any case."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + float(f"1e-{n + 3}"), n)
+
+
 def r6(c: Column | str) -> Column:
     """Six decimals, without a negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + 0.0
+    return rn(c, 6) + 0.0
 
 
 def rounded(df: DataFrame, *names: str, scale: float = 1.0) -> DataFrame:

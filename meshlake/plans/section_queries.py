@@ -13,13 +13,13 @@ from meshlake.operators import transport as D
 from meshlake.plans import fixtures as X
 from meshlake.plans.fixtures import with_tables as sql
 from meshlake.plans.mesh_queries import _ROT, _ROTATED
-from meshlake.plans.registry import query, rounded
+from meshlake.plans.registry import query, rn, rounded
 from meshlake.plans.transport_queries import _CUTS, _PATH, _cut
 
 _MEAN_PLACE = "mid AS (SELECT elem, avg(lat) AS lat FROM elem_node JOIN nodes USING (node) GROUP BY elem)"
 
 
-@query("a18_bottom_by_latitude", sql("elem_node levels", "SELECT round_even(lat / 4, 0) * 4 + 0.0 AS lat, max(abs(zlev)) AS botmax, round(avg(abs(zlev)), 6) + 0.0 AS botmean, max(e_iz) AS botmaxi FROM elems JOIN mid USING (elem) JOIN levels ON k = e_iz GROUP BY 1", _MEAN_PLACE))
+@query("a18_bottom_by_latitude", sql("elem_node levels", "SELECT round_even(lat / 4, 0) * 4 + 0.0 AS lat, max(abs(zlev)) AS botmax, round(avg(abs(zlev)) + 1e-9, 6) + 0.0 AS botmean, max(e_iz) AS botmaxi FROM elems JOIN mid USING (elem) JOIN levels ON k = e_iz GROUP BY 1", _MEAN_PLACE))
 def a18(spark, d):
     m = X.mesh(spark, d)
     place = G.elem_node(m.elems).join(m.nodes.select("node", "lat"), "node").groupBy("elem").agg(F.avg("lat").alias("lat"))
@@ -27,24 +27,24 @@ def a18(spark, d):
     return rounded(out.select((F.col("lat") + 0.0).alias("lat"), "botmax", "botmean", "botmaxi"), "botmean")
 
 
-@query("t03_section_points", sql("edges", "SELECT name, CAST(seg AS INTEGER) AS seg, CAST(rank AS INTEGER) AS rank, round(px, 6) + 0.0 AS px, round(py, 6) + 0.0 AS py FROM cuts WHERE NOT (seg > 0 AND rank = 1)", _CUTS))
+@query("t03_section_points", sql("edges", "SELECT name, CAST(seg AS INTEGER) AS seg, CAST(rank AS INTEGER) AS rank, round(px + 1e-9, 6) + 0.0 AS px, round(py + 1e-9, 6) + 0.0 AS py FROM cuts WHERE NOT (seg > 0 AND rank = 1)", _CUTS))
 def t03(spark, d):
     return rounded(T.section_points(_cut(spark, d)).select("name", "seg", "rank", "px", "py"), "px", "py")
 
 
-@query("t05_oriented_transport", sql("edges field_e thick", """SELECT name, seg, round(coalesce(sum((-u * dy + v * dx) * w_z * 1e-6 * if(ny < 0 OR (ny = 0 AND nx < 0), -1, 1)), 0), 4) + 0.0 AS transport
+@query("t05_oriented_transport", sql("edges field_e thick", """SELECT name, seg, round(coalesce(sum((-u * dy + v * dx) * w_z * 1e-6 * if(ny < 0 OR (ny = 0 AND nx < 0), -1, 1)), 0) + 1e-7, 4) + 0.0 AS transport
   FROM path JOIN (SELECT name, CAST(seg AS INTEGER) AS seg, nx, ny FROM seg) s USING (name, seg) JOIN field_e USING (elem) JOIN thick USING (k) GROUP BY name, seg""", _PATH))
 def t05(spark, d):
     m = X.mesh(spark, d)
     out = T.transect_transport(T.transport_path(_cut(spark, d, m)), X.field_e(m.elems), m, by=("name", "seg"), oriented=True)
-    return out.select("name", "seg", (F.round("transport", 4) + 0.0).alias("transport"))
+    return out.select("name", "seg", (rn("transport", 4) + 0.0).alias("transport"))
 
 
 _TURNED = _ROTATED.replace("field_e e", "(SELECT elem, name || ':' || seg || ':' || rank || ':' || sub AS k, dx * 1e-3 AS u, dy * 1e-3 AS v FROM path WHERE elem IS NOT NULL) e")
 
 
-@query("t06_rotated_path", sql("edges", """SELECT k AS piece, elem, round(-gx * sin(radians(lon)) + gy * cos(radians(lon)), 6) + 0.0 AS dx,
-  round(-gx * sin(radians(lat)) * cos(radians(lon)) - gy * sin(radians(lat)) * sin(radians(lon)) + gz * cos(radians(lat)), 6) + 0.0 AS dy FROM gxyz""", f"{_PATH}, {_TURNED}"))
+@query("t06_rotated_path", sql("edges", """SELECT k AS piece, elem, round(-gx * sin(radians(lon)) + gy * cos(radians(lon)) + 1e-9, 6) + 0.0 AS dx,
+  round(-gx * sin(radians(lat)) * cos(radians(lon)) - gy * sin(radians(lat)) * sin(radians(lon)) + gz * cos(radians(lat)) + 1e-9, 6) + 0.0 AS dy FROM gxyz""", f"{_PATH}, {_TURNED}"))
 def t06(spark, d):
     m = X.mesh(spark, d)
     lon, lat = [F.col(f"lon{k}") for k in range(3)], [F.col(f"lat{k}") for k in range(3)]
@@ -54,7 +54,7 @@ def t06(spark, d):
     return rounded(out.select(F.concat_ws(":", "name", "seg", "rank", "sub").alias("piece"), "elem", "dx", "dy"), "dx", "dy", scale=1e-3)
 
 
-@query("f04_section_bottom", sql("edges mean_n", """SELECT name, CAST(seg AS INTEGER) AS seg, CAST(rank AS INTEGER) AS rank, m.k, round(if(m.k <= n.n_iz, temp, NULL), 6) + 0.0 AS at_interfaces, round(if(m.k < n.n_iz, temp, NULL), 6) + 0.0 AS at_layers
+@query("f04_section_bottom", sql("edges mean_n", """SELECT name, CAST(seg AS INTEGER) AS seg, CAST(rank AS INTEGER) AS rank, m.k, round(if(m.k <= n.n_iz, temp, NULL) + 1e-9, 6) + 0.0 AS at_interfaces, round(if(m.k < n.n_iz, temp, NULL) + 1e-9, 6) + 0.0 AS at_layers
   FROM cuts c JOIN mean_n m ON m.node = c.n0 JOIN nodes n ON n.node = c.n0""", _CUTS))
 def f04(spark, d):
     line = _cut(spark, d).select("name", "seg", "rank", F.col("n0").alias("node")).join(X.mean_n(spark, d).select("node", "k", F.col("temp").alias("at_interfaces"), F.col("temp").alias("at_layers")), "node")
@@ -70,7 +70,7 @@ def _step(points: str, curve: str, at: str, x: str, y: str, keys: str, outside:
       ON s.node = p.node AND {x}1 > {x}0 AND {at} BETWEEN {x}0 AND {x}1 GROUP BY ALL"""
 
 
-@query("i13_classes_to_depths", sql("mean_n dens", "SELECT node, z, round(value, 4) + 0.0 AS value FROM remapped", f"""profile AS (SELECT node, k * 100.0::DOUBLE AS depth, 29.5::DOUBLE + k * 1.7::DOUBLE + temp / 40 AS rho FROM mean_n),
+@query("i13_classes_to_depths", sql("mean_n dens", "SELECT node, z, round(value + 1e-7, 4) + 0.0 AS value FROM remapped", f"""profile AS (SELECT node, k * 100.0::DOUBLE AS depth, 29.5::DOUBLE + k * 1.7::DOUBLE + temp / 40 AS rho FROM mean_n),
   classes AS (SELECT p.node, dens, CAST((p.node * 31 + nd * 17) % 201 - 100 AS DOUBLE) AS value FROM (SELECT DISTINCT node FROM mean_n) p, dens),
   placed AS ({_step("classes", "profile", "dens", "rho", "depth", "p.node, dens, value", "0")}),
   wanted AS (SELECT node, 50.0::DOUBLE + 100 * i AS z FROM (SELECT DISTINCT node FROM mean_n), (SELECT unnest(range(0, 6)) AS i)),
@@ -83,4 +83,4 @@ def i13(spark, d):
     classes = n.crossJoin(F.broadcast(X.dens_levels(spark))).select("node", "dens", ((F.col("node") * 31 + F.col("nd") * 17) % 201 - 100.0).alias("value"))  # eight classes
     depths = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5)))).select("node", (F.lit(50.0) + F.col("i") * 100).alias("z"))
     out = I.classes_to_depths(classes, profile.withColumnRenamed("depth", "z"), depths, ["node"], "value")
-    return out.select("node", "z", (F.round("value", 4) + 0.0).alias("value"))
+    return out.select("node", "z", (rn("value", 4) + 0.0).alias("value"))

@@ -31,6 +31,52 @@ def stream_region_index(field: DataFrame, cells: DataFrame, name: str, checkpoin
     return sums.select("region", "year", (F.col("total") / F.col("weight")).alias(value)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
 
 
+def write_updates(batch: DataFrame, batch_id: int, target: str) -> None:
+    """Store the rows that a batch has changed below ``batch=<id>``; a repeated batch replaces its own folder."""
+    batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+
+def latest(spark: SparkSession, target: str, keys: list[str], schema: str) -> DataFrame:
+    """The last state of every key among the stored updates; ``schema`` is that of an update."""
+    known = spark.read.schema(f"{schema}, batch long").option("basePath", target).parquet(f"{target}/batch=*")
+    return _last(known, keys)
+
+
+def _last(updates: DataFrame, keys: list[str]) -> DataFrame:
+    values = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+
+
+def stream_region_updates(field: DataFrame, cells: DataFrame, target: str, checkpoint: str, value: str = "temp") -> StreamingQuery:
+    """Running sums per region and year: every batch stores only the keys that it has changed, in update mode.
+
+    ``region, year, total, weight`` are sums since the start, so of several rows of a key the one of the last batch holds, and a batch that is
+    repeated after a failure writes the same rows to the same folder. ``latest`` reads the state; the ratio is taken there.
+    """
+    sums = region_sums(field, cells, value)
+    return sums.writeStream.outputMode("update").foreachBatch(lambda batch, number: write_updates(batch, number, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compact(spark: SparkSession, target: str, keys: list[str], schema: str, below: int) -> None:
+    """Put the updates of all batches below a number into one folder, that of the highest of them, and delete the others.
+
+    The new folder is written first under a name that no reader lists, ``_compacted``, then takes the place of the highest one.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    old = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch=") and int(n.split("=")[1]) < below)
+    if len(old) < 2:
+        return
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    known = spark.read.schema(f"{schema}, batch long").option("basePath", target).parquet(*(f"{target}/batch={n}" for n in old))
+    _last(known, keys).write.mode("overwrite").parquet(f"{target}/_compacted")
+    files.delete(hadoop(f"{target}/batch={old[-1]}"), True)
+    files.rename(hadoop(f"{target}/_compacted"), hadoop(f"{target}/batch={old[-1]}"))
+    for n in old[:-1]:
+        files.delete(hadoop(f"{target}/batch={n}"), True)
+
+
 def daily_sums(events: DataFrame, time: str = "ts", late: str = "30 days") -> DataFrame:
     """``station, variable, day, total, n``: partial sums per day; rows later than the watermark are dropped."""
     day = F.window(time, "1 day")
