@@ -69,23 +69,24 @@ def elem_sides(mesh: Mesh) -> DataFrame:
 
 
 def node_area(mesh: Mesh, per_level: bool = True) -> DataFrame:
-    """``node[, k], w_A``: a third of the area of the adjacent elements that reach below level ``k``; 0 where none does."""
+    """``node[, k], w_A``: a third of the area of the adjacent elements that hold water at level ``k``; 0 where none does.
+
+    That is below the first level under the ice, ``e_ic``, where the mesh has cavities.
+    """
     parts = elem_node(mesh.elems).join(elem_area(mesh), "elem")
     if not per_level:
         return parts.groupBy("node").agg((F.sum("area") / 3).alias("w_A"))
-    wet = parts.join(mesh.elems.select("elem", "e_iz"), "elem")
-    # levels above an element's bottom are a run from 0, so they are expanded in place
-    wet = wet.where("e_iz > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("e_iz").cast("int") - 1)))
+    top = F.coalesce(F.col("e_ic").cast("int"), F.lit(0)) if "e_ic" in mesh.elems.columns else F.lit(0)
+    wet = parts.join(mesh.elems.select("elem", "e_iz", top.alias("top")), "elem")
+    # an element's levels are a run, so they are expanded in place
+    wet = wet.where("e_iz > top").withColumn("k", F.explode(F.sequence(F.col("top"), F.col("e_iz").cast("int") - 1)))
     area = wet.groupBy("node", "k").agg((F.sum("area") / 3).alias("w_A"))
-    grid = mesh.nodes.select("node", F.explode(_level_array(mesh)).alias("k"))
+    # one row of tens of level numbers
+    numbers = mesh.levels.agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    grid = mesh.nodes.select("node").join(F.broadcast(numbers)).select("node", F.explode("ks").alias("k"))
     return grid.join(area, ["node", "k"], "left").withColumn("w_A", F.coalesce("w_A", F.lit(0.0)))
 
 
-def _level_array(mesh: Mesh) -> Column:
-    """The level numbers as a literal array: one number per model level, tens of entries."""
-    return F.array(*[F.lit(r["k"]) for r in mesh.levels.select("k").orderBy("k").collect()])
-
-
 def node_resolution(mesh: Mesh, how: str = "area") -> DataFrame:
     """``node, resol``: diameter of the circle of the node's area, or the area-weighted mean of the elements' resolution."""
     if how == "area":

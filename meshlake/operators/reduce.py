@@ -25,10 +25,10 @@ def reduce_many(field: DataFrame, hows: list[str], value: str, by: list[str]) ->
     return field.groupBy(*by).agg(*(statistic(how, value).alias(how) for how in hows))
 
 
-def select_time(field: DataFrame, months: list[int] | None = None, days: list[int] | None = None, record: int | None = None) -> DataFrame:
+def select_time(field: DataFrame, months: list[int] | None = None, days: list[int] | None = None, record: int | None = None, *, empty_keeps_all: bool = True) -> DataFrame:
     """Rows of the given months, days of the month, or of the n-th distinct time (from 0), which overrides the others.
 
-    A filter that would leave nothing is dropped.
+    With ``empty_keeps_all`` a list that no row fits is passed over; whether one does is part of the plan, not worked out beforehand.
     """
     if record is not None:
         times = field.select("time").distinct().orderBy("time").limit(record + 1)
@@ -36,12 +36,34 @@ def select_time(field: DataFrame, months: list[int] | None = None, days: list[in
         last = times.agg(F.max("time").alias("time"), F.count("*").alias("n")).where(F.col("n") == record + 1).select("time")
         return field.join(F.broadcast(last), "time", "left_semi")
     for chosen, part in ((months, F.month("time")), (days, F.dayofmonth("time"))):
-        if chosen:
-            kept = field.where(part.isin(chosen))
-            field = field if kept.isEmpty() else kept
+        if chosen and empty_keeps_all:
+            fits = field.agg(F.coalesce(F.max(part.isin(chosen)), F.lit(False)).alias("_fits"))  # one row
+            field = field.join(F.broadcast(fits)).where(part.isin(chosen) | ~F.col("_fits")).drop("_fits")
+        elif chosen:
+            field = field.where(part.isin(chosen))
     return field
 
 
+def keep_where(field: DataFrame, condition: Column, values: list[str] | None = None) -> DataFrame:
+    """Rows that meet a condition, or, with ``values``, all rows with those columns missing where it is not met."""
+    if values is None:
+        return field.where(condition)
+    return field.withColumns({v: F.when(condition, F.col(v)) for v in values})
+
+
+def extremes(df: DataFrame, by: list[str], **parts: tuple[str, str, Column]) -> DataFrame:
+    """``by..`` and one column per part ``name=(how, value, condition)``: the ``max`` or ``min`` of a value among the rows that meet a condition."""
+    if bad := [how for how, _, _ in parts.values() if how not in ("max", "min")]:
+        raise ValueError(f"how must be 'max' or 'min', not {bad[0]!r}")
+    take = {"max": F.max, "min": F.min}
+    return df.groupBy(*by).agg(*(take[how](F.when(condition, F.col(value))).alias(name) for name, (how, value, condition) in parts.items()))
+
+
+def distinct_counts(df: DataFrame, **columns: Column | str) -> DataFrame:
+    """One row with the number of distinct values of each named column or expression."""
+    return df.agg(*(F.count_distinct(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()))
+
+
 def level_bracket(levels: DataFrame, depths: list[float], nearest: bool = False) -> DataFrame:
     """``k`` of the levels around each depth (negative numbers), or of the nearest level. ``levels(k, z)``."""
     wanted = F.explode(F.array(*[F.lit(float(d)) for d in depths]))
@@ -68,6 +90,15 @@ def mask_bottom(field: DataFrame, cells: DataFrame, cell: str, iz: str, values:
     return joined.withColumns({v: F.when(wet, F.col(v)) for v in values}).drop(iz)
 
 
+def mask_cavity(field: DataFrame, cells: DataFrame, cell: str, ic: str, values: list[str], *, drop: bool = False) -> DataFrame:
+    """Values above the first level under the ice, ``k < ic``, become NULL (or the rows go); cells without that level have no cavity."""
+    wet = F.col("k") >= F.coalesce(F.col(ic), F.lit(0))
+    joined = field.join(cells.select(cell, ic), cell)
+    if drop:
+        return joined.where(wet).drop(ic)
+    return joined.withColumns({v: F.when(wet, F.col(v)) for v in values}).drop(ic)
+
+
 def clamp(value: Column, low: float, high: float, land: float = 0.0) -> Column:
     """Value limited to a range; missing becomes ``land`` first."""
     return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(value, F.lit(land))))

@@ -23,6 +23,13 @@ def boxes_to_regions(spark: SparkSession, boxes: dict[str, list]) -> DataFrame:
     return spark.createDataFrame(rows, "region string, part int, seq int, x double, y double")
 
 
+def rectangles(boxes: DataFrame) -> DataFrame:
+    """``region, part, seq, x, y``: closed rings of a table of rectangles ``(region, x0, x1, y0, y1)`` of any size."""
+    corners = (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))
+    ring = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in corners))
+    return boxes.select("region", F.lit(0).alias("part"), F.posexplode(ring).alias("seq", "p")).select("region", "part", "seq", "p.x", "p.y")
+
+
 def in_box(x: Column, y: Column, box: tuple[float, float, float, float]) -> Column:
     """Inclusive test against ``(x0, x1, y0, y1)``."""
     return x.between(box[0], box[1]) & y.between(box[2], box[3])
@@ -70,6 +77,35 @@ def basin(mesh: Mesh, regions: DataFrame, name: str, exclude: str | None = None,
     return elem_node(mesh.elems).join(nodes, "node", "left_semi").select("elem").distinct() if on_elems else nodes
 
 
+#: Basins that overturning is worked out for. Each is the union of regions of these names; an empty list stands for all nodes.
+#: The last one takes what lies north of 65 degrees as well. Fixed values.
+MOC_BASINS = {"gmoc": [], "amoc": ["amoc"], "pmoc": ["pmoc"], "ipmoc": ["ipmoc"], "imoc": ["imoc"], "aamoc": ["amoc"]}
+ARCTIC = (-180.0, 180.0, 65.0, 90.0)
+
+
+def moc_basin(mesh: Mesh, regions: DataFrame, which: str, exclude: str | None = None, on_elems: bool = True) -> DataFrame:
+    """``elem`` (with any node) or ``node`` of a named basin, or of a region of that name, without the nodes of the region ``exclude``.
+
+    For the whole ocean an element goes with any of its nodes in the excluded region; for a basin it stays as long as it has another node there.
+    """
+    corners = elem_node(mesh.elems)
+    out = None if exclude is None else in_regions(mesh.nodes, regions.where(F.col("region") == exclude), "node", "lon", "lat").select("node")
+    names = MOC_BASINS.get(which, [which])
+    if not names:
+        nodes = mesh.nodes.select("node")
+        if on_elems:
+            whole = mesh.elems.select("elem")
+            return whole if out is None else whole.join(corners.join(out, "node", "left_semi").select("elem").distinct(), "elem", "left_anti")
+    else:
+        nodes = in_regions(mesh.nodes, regions.where(F.col("region").isin(names)), "node", "lon", "lat").select("node")
+        if which == "aamoc":
+            nodes = nodes.unionByName(mesh.nodes.where(in_box(F.col("lon"), F.col("lat"), ARCTIC)).select("node"))
+        nodes = nodes.distinct()
+    if out is not None:
+        nodes = nodes.join(out, "node", "left_anti")
+    return corners.join(nodes, "node", "left_semi").select("elem").distinct() if on_elems else nodes
+
+
 def elems_in_regions(mesh: Mesh, regions: DataFrame) -> DataFrame:
     """``elem, region`` by the cyclic-corrected centroid."""
     return in_regions(centroids(mesh, cyclic=True), regions, "elem")

@@ -58,6 +58,40 @@ def dmoc(inputs: DataFrame, place: DataFrame, terms: list[str], dlat: float = 1.
     return bins
 
 
+def density_bins(inputs: DataFrame, place: DataFrame, terms: list[str], means: list[str], dlat: float) -> DataFrame:
+    """``lat, nd``: sums of ``terms`` in Sv, and means of ``means`` weighted by ``w_A`` over the elements where the class is there (``h`` is not 0).
+
+    Latitudes are dense from the lowest to the highest bin; sums of empty bins are 0 and their means missing.
+    """
+    rows = inputs.join(place, "elem").withColumn("i", F.rint(F.col("lat") / dlat).cast("int"))
+    there = F.when(F.col("h") != 0, F.col("w_A"))
+    sums = rows.groupBy("i", "nd").agg(*(F.coalesce(F.sum(t) * SV, F.lit(0.0)).alias(t) for t in terms), *(F.try_divide(F.sum(F.col(m) * there), F.sum(there)).alias(m) for m in means))
+    ends = sums.agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    grid = sums.select("nd").distinct().join(F.broadcast(ends)).select("nd", F.explode(F.sequence("lo", "hi")).alias("i"))
+    out = grid.join(sums, ["nd", "i"], "left")
+    return out.select((F.col("i") * dlat).alias("lat"), "nd", *(F.coalesce(t, F.lit(0.0)).alias(t) for t in terms), *means)
+
+
+def density_overturning(inputs: DataFrame, place: DataFrame, *, dlat: float = 1.0, bolus: bool = True) -> DataFrame:
+    """Overturning and transformations in density space in Sv: ``lat, nd, moc, fh, fw, fr, srf, inner, h, z, z_top``.
+
+    ``inputs(elem, nd, fh, fw, fr, div, bolus, h, z, w_A)`` are surface terms of heat, fresh water and restoring and divergences, times the
+    element's area, and thickness and depth of the class. Sums run from north, negated; the divergences also from dense to light.
+    ``moc`` has the bolus part unless told otherwise, ``srf`` is minus the sum of the surface terms, ``inner`` is ``moc`` plus that sum,
+    and ``z_top`` the depth of a class from the thickness of those above.
+    """
+    terms = ["fh", "fw", "fr", "div", "bolus"]
+    bins = density_bins(inputs, place, terms, ["h", "z"], dlat)
+    for t in terms:
+        bins = cumulate(bins, "lat", t, ["nd"], descending=True, negate=True)
+    for t in ("div", "bolus"):
+        bins = cumulate(bins, "nd", t, ["lat"], descending=True)
+    bins = cumulate(bins.withColumn("z_top", F.col("h")), "nd", "z_top", ["lat"], exclusive=True)
+    moc = F.col("div") + F.col("bolus") if bolus else F.col("div")
+    surface = F.col("fh") + F.col("fw") + F.col("fr")
+    return bins.select("lat", "nd", moc.alias("moc"), "fh", "fw", "fr", (-surface).alias("srf"), (moc + surface).alias("inner"), "h", "z", "z_top")
+
+
 def diapycnal(inputs: DataFrame, classes: DataFrame, term: str, dens: float) -> DataFrame:
     """``elem, w``: sum of a term from the densest class to the one nearest to ``dens``."""
     chosen = classes.agg(F.min_by("nd", F.struct(F.abs(F.col("dens") - dens), "nd")).alias("first"))

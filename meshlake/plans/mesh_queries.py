@@ -204,8 +204,9 @@ def v07(spark, d):
 @query("v09_product", sql("field_n", "SELECT a.time, a.node, a.k, round(a.temp * b.salt + 1e-9, 6) + 0.0 AS product, round(a.temp + b.salt + 1e-9, 6) + 0.0 AS total FROM field_n a JOIN field_n b USING (time, node, k)"))
 def v09(spark, d):
     f = X.field_n(spark, d)
-    both = f.select("time", "node", "k", "temp").join(f.select("time", "node", "k", F.col("salt").alias("s2")), ["time", "node", "k"])
-    return both.select("time", "node", "k", r6(F.col("temp") * F.col("s2")).alias("product"), r6(F.col("temp") + F.col("s2")).alias("total"))
+    product = R.derive(f, "product", ["temp", "salt"]).withColumnRenamed("value", "product")
+    both = R.derive(product, "total", ["temp", "salt"])
+    return both.select("time", "node", "k", r6("product").alias("product"), r6("value").alias("total"))
 
 
 @query("v10_decimal_year", "SELECT o_orderkey, round(year(o_orderdate) + (dayofyear(o_orderdate) - 1) / if(year(o_orderdate) % 4 = 0, 366.0::DOUBLE, 365.0::DOUBLE) + 1e-9, 6) + 0.0 AS y FROM orders")
@@ -283,9 +284,9 @@ def f20(spark, d):
 
 @query("s12_boxes_to_regions", "SELECT p_partkey AS region, seq, CAST(if(seq IN (1, 2), 10, 0) + p_partkey AS DOUBLE) AS x, CAST(if(seq IN (2, 3), 5, 0) AS DOUBLE) AS y FROM part, (SELECT unnest(range(0, 5)) AS seq)")
 def s12(spark, d):
-    part = X.table(spark, d, "part").select(F.col("p_partkey").alias("region"), F.col("p_partkey").cast("double").alias("x0"))
-    ring = F.array(*[F.struct(F.lit(k).cast("long").alias("seq"), (F.col("x0") + a).alias("x"), F.lit(float(b)).alias("y")) for k, (a, b) in enumerate(((0, 0), (10, 0), (10, 5), (0, 5), (0, 0)))])
-    return part.select("region", F.explode(ring).alias("p")).select("region", "p.*")
+    x = F.col("p_partkey").cast("double")
+    boxes = X.table(spark, d, "part").select(F.col("p_partkey").alias("region"), x.alias("x0"), (x + 10).alias("x1"), F.lit(0.0).alias("y0"), F.lit(5.0).alias("y1"))
+    return S.rectangles(boxes).select("region", F.col("seq").cast("long").alias("seq"), "x", "y")
 
 
 @query("w13_smooth_cells", sql("edge_table mean_n", """SELECT n.node, round((s + c * v) / (c + c) + 1e-9, 6) + 0.0 AS temp FROM sfc n JOIN (

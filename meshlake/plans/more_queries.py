@@ -61,12 +61,12 @@ def a08(spark, d):
 @query("a23_extremes", sql("nodes field_n", "SELECT k, round(max(if(lat > 20, temp, NULL)) + 1e-9, 6) + 0.0 AS north, round(min(if(lat < -20, temp, NULL)) + 1e-9, 6) + 0.0 AS south FROM field_n JOIN nodes USING (node) GROUP BY k"))
 def a23(spark, d):
     f = X.field_n(spark, d).join(X.nodes(spark, d).select("node", "lat"), "node")
-    return rounded(f.groupBy("k").agg(F.max(F.when(F.col("lat") > 20, F.col("temp"))).alias("north"), F.min(F.when(F.col("lat") < -20, F.col("temp"))).alias("south")), "north", "south")
+    return rounded(R.extremes(f, ["k"], north=("max", "temp", F.col("lat") > 20), south=("min", "temp", F.col("lat") < -20)), "north", "south")
 
 
 @query("a25_distinct", sql("field_n", "SELECT count(DISTINCT time) AS times, count(DISTINCT node) AS nodes, count(DISTINCT month(time)) AS months FROM field_n"))
 def a25(spark, d):
-    return X.field_n(spark, d).agg(F.countDistinct("time").alias("times"), F.countDistinct("node").alias("nodes"), F.countDistinct(F.month("time")).alias("months"))
+    return R.distinct_counts(X.field_n(spark, d), times="time", nodes="node", months=F.month("time"))
 
 
 @query("w01_cumulate_north_south", sql("nodes mean_n", "SELECT k, lat + 0.0 AS lat, round(-sum(s) OVER (PARTITION BY k ORDER BY lat DESC) + 1e-9, 6) + 0.0 AS temp FROM (SELECT k, round_even(lat / 4, 0) * 4 AS lat, sum(temp) AS s FROM mean_n JOIN nodes USING (node) GROUP BY 1, 2)"))
