@@ -4,7 +4,8 @@ Only DataFrame and SQL functions are used.
 
 Method
     1. Calls and results are hash-joined by (conversation, identifier), each side first reduced to one row per identifier
-       (the earliest turn), so that no identifier multiplies rows.
+       (the earliest turn), so that no identifier multiplies rows. What else carries the identifier is joined to that one row
+       and returned with a status of its own.
     2. Order: a result comes after its call, a call after the results that it names in ``after``. Positions start as turns;
        in the end ``position = max(own, predecessor + 1)``. Conversations in which no edge goes against the turns need no
        round. In the others each round hands the positions of nodes without open predecessors on and takes their edges
@@ -18,9 +19,12 @@ Method
     4. Each message is one JSON object with sorted keys, no white space and arguments in canonical form.
 
 Defined results
-    Repeated rows collapse to one. Calls without a result are ``unanswered``, results without a call ``orphan``. Calls in a
+    Repeated rows collapse to one. Further calls with an identifier that an earlier call has are ``repeated call``, further
+    results ``second result``; they stay at their turn and take no part in links or order. Calls without a result are ``unanswered``, results without a call ``orphan``. Calls in a
     cycle keep their turn as position and are marked ``cyclic``. Rows with a null conversation, turn or identifier are left
     out. What depends on a cycle is marked like it. Null contents are null in the JSON; null or malformed arguments fail validation and appear as null.
+    A number of any size without a fraction is an integer, however it is written; beyond 38 digits JSON numbers are doubles.
+    Texts of any length are used whole. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ SPREAD = 1 << 20
 #: More steps than any chain without a cycle can have.
 MOST_STEPS = 1 << 40
 #: Types of a parameter, and the variant types that stand for them. Fixed values.
-TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT<.*>", "array": "ARRAY<.*>"}
+TYPES = {"string": "STRING", "integer": r"(BIGINT|DECIMAL\(\d+,0\))", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT<.*>", "array": "ARRAY<.*>"}
 
 
 def argument_errors(name: Column, arguments: Column, tools: dict[str, dict[str, tuple[str, bool]]]) -> Column:
@@ -48,7 +52,11 @@ def argument_errors(name: Column, arguments: Column, tools: dict[str, dict[str,
         for parameter, (type_name, required) in sorted(tools[tool].items()):
             value = F.try_variant_get(parsed, f"$.{parameter}", "variant")
             absent = value.isNull() | F.is_variant_null(value)
-            wrong = ~F.schema_of_variant(value).rlike(f"^{TYPES[type_name]}$")
+            fits = F.schema_of_variant(value).rlike(f"^{TYPES[type_name]}$")
+            if type_name == "integer":
+                real = F.try_variant_get(parsed, f"$.{parameter}", "double")
+                fits |= (F.schema_of_variant(value) == "DOUBLE") & F.coalesce(real == F.rint(real), F.lit(False))
+            wrong = ~fits
             found.append(F.when(absent, F.lit(f"missing {parameter}") if required else F.lit(None)).when(wrong, F.lit(f"wrong type {parameter}")))
         keys = F.array_except(F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>")), F.array(*map(F.lit, sorted(tools[tool]))).cast("array<string>"))
         checks = F.array_sort(F.array_compact(F.concat(F.array(*found).cast("array<string>"), F.transform(keys, lambda k: F.concat(F.lit("unexpected "), k)))))
@@ -100,8 +108,9 @@ def link(calls: DataFrame, results: DataFrame, tools: dict, *, max_rounds: int |
     scratch = Scratch(calls.sparkSession, "chat")
     key = ["conv_id", "call_id"]
     some = "conv_id is not null and turn is not null and call_id is not null"
-    calls = calls.where(some).groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("call"))
-    results = results.where(some).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("result"))
+    all_calls = calls.where(some).select(*key, F.struct("turn", "name", "arguments", "after").alias("call")).distinct()
+    all_results = results.where(some).select(*key, F.struct("turn", "content").alias("result")).distinct()
+    calls, results = all_calls.groupBy(*key).agg(F.min("call").alias("call")), all_results.groupBy(*key).agg(F.min("result").alias("result"))
     both = scratch.keep(calls.join(results, key, "full"))
 
     nodes = both.select("conv_id", F.explode(F.filter(F.array(
@@ -113,21 +122,38 @@ def link(calls: DataFrame, results: DataFrame, tools: dict, *, max_rounds: int |
     used = used.select("conv_id", F.concat(F.lit("r:"), "e").alias("earlier"), F.concat(F.lit("c:"), "call_id").alias("node"))
     placed = _positions(nodes, answered.unionByName(used), scratch)
 
+    linked = from_calls(both.where("call is not null"), F.when(F.col("result").isNull(), "unanswered").otherwise("linked"), tools)
+    linked = linked.unionByName(from_results(both.where("result is not null"), F.when(F.col("call").isNull(), "orphan").otherwise("linked")))
+    out = linked.join(placed, ["conv_id", "node"])
+    out = out.withColumn("status", F.when(F.col("cyclic"), "cyclic").otherwise(F.col("status")))
+    # what shares an identifier with an earlier call or result
+    first = both.select(*key, F.col("call").alias("call_1"), F.col("result").alias("result_1"))
+    more = from_calls(all_calls.join(first, key).where("call <> call_1"), F.lit("repeated call"), tools)
+    also = all_results.join(first, key).where("result <> result_1").select(*key, F.col("call_1").alias("call"), "result")
+    more = more.unionByName(from_results(also, F.lit("second result")))
+    columns = ["conv_id", "position", "kind", "turn", "call_id", "name", "status", "errors", "json"]
+    return out.select(*columns).unionByName(more.withColumn("position", F.col("turn").cast("long") * SPREAD).select(*columns))
+
+
+def from_calls(rows: DataFrame, status: Column, tools: dict) -> DataFrame:
+    """Rows with ``call`` as messages."""
     arguments = F.to_json(F.try_parse_json(F.col("call.arguments")))
-    from_calls = both.where("call is not null").select(
-        *key, F.concat(F.lit("c:"), "call_id").alias("node"), F.lit("call").alias("kind"), F.col("call.turn").alias("turn"), F.col("call.name").alias("name"),
-        F.when(F.col("result").isNull(), "unanswered").otherwise("linked").alias("status"),
+    return rows.select(
+        "conv_id", "call_id", F.concat(F.lit("c:"), "call_id").alias("node"), F.lit("call").alias("kind"), F.col("call.turn").alias("turn"), F.col("call.name").alias("name"),
+        status.alias("status"),
         argument_errors(F.col("call.name"), F.col("call.arguments"), tools).alias("errors"),
         F.concat(F.lit('{"arguments":'), F.coalesce(arguments, F.lit("null")), F.lit(',"call_id":'), _text("call_id"), F.lit(',"name":'), _text("call.name"), F.lit(',"type":"call"}')).alias("json"),
-    )
-    from_results = both.where("result is not null").select(
-        *key, F.concat(F.lit("r:"), "call_id").alias("node"), F.lit("result").alias("kind"), F.col("result.turn").alias("turn"), F.col("call.name").alias("name"),
-        F.when(F.col("call").isNull(), "orphan").otherwise("linked").alias("status"),
+    )
+
+
+def from_results(rows: DataFrame, status: Column) -> DataFrame:
+    """Rows with ``result``, and their ``call`` if there is one, as messages."""
+    return rows.select(
+        "conv_id", "call_id", F.concat(F.lit("r:"), "call_id").alias("node"), F.lit("result").alias("kind"), F.col("result.turn").alias("turn"), F.col("call.name").alias("name"),
+        status.alias("status"),
         F.array().cast("array<string>").alias("errors"),
         F.concat(F.lit('{"call_id":'), _text("call_id"), F.lit(',"content":'), _text("result.content"), F.lit(',"type":"result"}')).alias("json"),
-    )
-    out = from_calls.unionByName(from_results).join(placed, ["conv_id", "node"])
-    return out.select("conv_id", "position", "kind", "turn", "call_id", "name", F.when(F.col("cyclic"), "cyclic").otherwise(F.col("status")).alias("status"), "errors", "json")
+    )
 
 
 def _text(column: str) -> Column:

@@ -74,23 +74,26 @@ def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-WITH c AS (
-  SELECT conv_id, conv_id || ':' || turn AS call_id, min(turn) AS turn, arg_min(coalesce(text, ''), (turn, coalesce(text, ''))) AS prompt
-  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
-), r AS (
-  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, min(turn) AS turn, arg_min(text, (turn, text)) AS content
-  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
-), j AS (
+WITH ac AS (
+  SELECT DISTINCT conv_id, conv_id || ':' || turn AS call_id, turn, coalesce(text, '') AS prompt FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), ar AS (
+  SELECT DISTINCT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, text AS content FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), c AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, to_json(prompt)) AS nth FROM ac
+), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, content NULLS FIRST) AS nth FROM ar),
+j AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS ct, r.turn AS rt, prompt, content
-  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+  FROM (SELECT * FROM c WHERE nth = 1) c FULL JOIN (SELECT * FROM r WHERE nth = 1) r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+), m AS (
+  SELECT conv_id, call_id, 'call' AS kind, ct AS turn, 'reply' AS name, if(rt IS NULL, 'unanswered', 'linked') AS status, prompt, NULL AS content FROM j WHERE ct IS NOT NULL
+  UNION ALL SELECT conv_id, call_id, 'call', turn, 'reply', 'repeated call', prompt, NULL FROM c WHERE nth > 1
+  UNION ALL SELECT conv_id, call_id, 'result', rt, if(ct IS NULL, NULL, 'reply'), if(ct IS NULL, 'orphan', 'linked'), NULL, content FROM j WHERE rt IS NOT NULL
+  UNION ALL SELECT r.conv_id, r.call_id, 'result', r.turn, if(ct IS NULL, NULL, 'reply'), 'second result', NULL, r.content FROM r JOIN j ON j.conv_id = r.conv_id AND j.call_id = r.call_id WHERE nth > 1
 )
-SELECT conv_id, ct * 1048576 AS position, 'call' AS kind, ct AS turn, call_id, 'reply' AS name, if(rt IS NULL, 'unanswered', 'linked') AS status, '' AS errors,
-  md5('{"arguments":{"prompt":' || CAST(to_json(prompt) AS VARCHAR) || ',"turn":' || ct || '},"call_id":' || CAST(to_json(call_id) AS VARCHAR) || ',"name":"reply","type":"call"}') AS json_md5
-FROM j WHERE ct IS NOT NULL
-UNION ALL
-SELECT conv_id, rt * 1048576, 'result', rt, call_id, if(ct IS NULL, NULL, 'reply'), if(ct IS NULL, 'orphan', 'linked'), '',
-  md5('{"call_id":' || CAST(to_json(call_id) AS VARCHAR) || ',"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"type":"result"}')
-FROM j WHERE rt IS NOT NULL
+SELECT conv_id, turn * 1048576 AS position, kind, turn, call_id, name, status, '' AS errors, md5(if(kind = 'call',
+  '{"arguments":{"prompt":' || CAST(to_json(prompt) AS VARCHAR) || ',"turn":' || turn || '},"call_id":' || CAST(to_json(call_id) AS VARCHAR) || ',"name":"reply","type":"call"}',
+  '{"call_id":' || CAST(to_json(call_id) AS VARCHAR) || ',"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"type":"result"}')) AS json_md5
+FROM m
 """
 
 
@@ -112,7 +115,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlake.llm.topk_search import top_k
 
     vectors = _table(spark, sf_dir, "embeddings")
-    return top_k(spark, vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+    return top_k(spark, vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256).drop("read_share")
 
 
 #: On check_l-sized tables this is a join of every query with every row; DuckDB evaluates it at sf0.01.

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import bound_batches
+from meshlake.llm.common import Scratch
 
 #: Candidates of one block of sorted lists, and of one group.
 BLOCK, GROUP_ROWS = 4096, 8192
 #: Queries that a task reads for at once.
 QUERY_BLOCK = 256
 #: Shares of the lists at which the bounds are looked at.
-DEPTHS = (0.125, 0.25, 0.5, 0.75)
+DEPTHS = (0.25, 0.5, 0.75, 0.875, 0.9375)
 
 
 class BestLists:
@@ -91,13 +91,14 @@ class SortedLists:
         least = np.hstack([ascending[0], ascending[-1]])
         zero = vectors.dtype.type(0)
         #: Entries of each portion, and the cursor and the least value in the place of entries that are still unread.
-        self.portions = []
+        self.portions, self.ends = [], []
         done = 0
         for end in sorted({min(n, max(1, int(n * share))) for share in depths} | {n}):
             entries = np.where((places >= done) & (places < end), values, zero)
             cursor = np.hstack([ascending[n - end], ascending[end - 1]])
             unread = places >= end
             self.portions.append((entries, np.where(unread, cursor, zero), np.where(unread, least, zero)))
+            self.ends.append(end)
             done = end
 
     def _kth(self, bounds: np.ndarray, k: int) -> np.ndarray | None:
@@ -109,9 +110,11 @@ class SortedLists:
             bounds = np.maximum.reduceat(bounds[:, self.by_id], self.first_of_id, axis=1)
         return np.partition(bounds, n - k, axis=1)[:, n - k]
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, best: BestLists) -> None:
-        """Read for all queries until each one's best are known."""
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, best: BestLists) -> np.ndarray:
+        """Read for all queries until each one's best are known; returns how many entries were read for each query."""
         k = best.score.shape[1]
+        dims, n = queries.shape[1], len(self.ids)
+        read = np.zeros(len(queries), dtype=np.int64)
         bar, reading = best.bar(), np.arange(len(queries))
         # positive components read from the top, negative ones from the bottom
         split = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
@@ -119,7 +122,8 @@ class SortedLists:
         partial = np.zeros((len(queries), len(self.ids)), dtype=queries.dtype)
         for turn, (entries, cursor, least) in enumerate(self.portions):
             if not len(reading):
-                return
+                break
+            read[reading] = dims * self.ends[turn]
             q, mine = split[reading], own[reading]
             partial += q @ entries.T
             upper, lower = partial + q @ cursor.T, partial + q @ least.T
@@ -132,10 +136,13 @@ class SortedLists:
             stop = left.sum(axis=1) <= max(8 * k, len(self.ids) // 16) if not last else np.ones(len(reading), dtype=bool)
             row, column = np.nonzero(left[stop])
             score, at = partial[stop][row, column], reading[stop][row]
+            # for those that are left the lists are read on to where each one's last entry stands
+            read[reading[stop]] += dims * (n - self.ends[turn]) * left[stop].sum(axis=1) // max(n, 1)
             for more, _, _ in self.portions[turn + 1 :]:
                 score += np.einsum("ij,ij->i", split[at], more[column])
             best.offer(at, score, self.ids[column])
             reading, partial = reading[~stop], partial[~stop]
+        return read
 
 
 def _vectors(table: pa.Table, dim: int) -> np.ndarray:
@@ -143,7 +150,7 @@ def _vectors(table: pa.Table, dim: int) -> np.ndarray:
 
 
 def _search(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("read", pa.int64()), ("entries", pa.int64())])
 
     def run(candidates: pa.Table, asked: pa.Table) -> pa.Table:
         if not candidates.num_rows or not asked.num_rows:
@@ -155,15 +162,19 @@ def _search(k: int):
         if most >= 2.0**63:
             raise OverflowError("inner products do not fit a long")
         kind = np.float64 if most < 2.0**52 else np.longdouble
-        best = BestLists(len(q), k, kind)
+        best, read = BestLists(len(q), k, kind), np.zeros(len(q), dtype=np.int64)
         for a in range(0, len(x), BLOCK):
             lists = SortedLists(x[a : a + BLOCK].astype(kind), ids[a : a + BLOCK])
             for b in range(0, len(q), QUERY_BLOCK):
                 part = BestLists(0, k, kind)
                 part.score, part.id = best.score[b : b + QUERY_BLOCK], best.id[b : b + QUERY_BLOCK]
-                lists.search(q[b : b + QUERY_BLOCK].astype(kind), query_ids[b : b + QUERY_BLOCK], part)
+                read[b : b + QUERY_BLOCK] += lists.search(q[b : b + QUERY_BLOCK].astype(kind), query_ids[b : b + QUERY_BLOCK], part)
         row, place = np.nonzero(np.isfinite(best.score))
-        return pa.table([query_ids[row], best.id[row, place], best.score[row, place].astype(np.int64)], schema=schema)
+        none = np.zeros(len(row), dtype=np.int64)
+        found = pa.table([query_ids[row], best.id[row, place], best.score[row, place].astype(np.int64), none, none], schema=schema)
+        # one more row per query tells what was read for it
+        nulls = pa.nulls(len(q), pa.int64())
+        return pa.concat_tables([found, pa.table([query_ids, nulls, nulls, read, np.full(len(q), x.size)], schema=schema)])
 
     return run
 
@@ -179,14 +190,13 @@ def top_k(
     vector_col: str = "embedding",
     queries_at_once: int = 8192,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the ``k`` best candidates of each query.
+    """``query_id, rank, vec_id, score, read_share`` of the ``k`` best candidates of each query.
 
-    Components are turned into ``floor(scale * x)``; the score is the whole-number inner product. A task meets about
+    ``read_share`` is the share of all list entries that was read for the query. Components are turned into ``floor(scale * x)``; the score is the whole-number inner product. A task meets about
     ``GROUP_ROWS`` candidates and ``queries_at_once`` queries.
     """
     if k < 1 or queries_at_once < 1:
         raise ValueError("k and queries_at_once must be positive")
-    bound_batches(spark)
 
     def whole(df: DataFrame) -> DataFrame:
         x = F.col(vector_col).cast("array<double>")
@@ -203,7 +213,10 @@ def top_k(
     left = candidates.distinct().join(sizes, "dim").withColumn("g", F.expr("cast(pmod(xxhash64(vec_id, vector), gs) as int)")).withColumn("h", F.explode(F.expr("sequence(0, hs - 1)")))
     right = asked.distinct().join(sizes, "dim").withColumn("h", F.expr("cast(pmod(xxhash64(vec_id, vector), hs) as int)")).withColumn("g", F.explode(F.expr("sequence(0, gs - 1)")))
     left, right = (df.select(*(F.col(c).alias(c) for c in (*key, "vec_id", "vector"))) for df in (left, right))
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search(k), "query_id long, vec_id long, score long, read long, entries long")
+    found = Scratch(spark, "topk").keep(found)
+    shares = found.groupBy(F.col("query_id").alias("asked")).agg((F.sum("read") / F.sum("entries")).alias("read_share"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.where("vec_id is not null").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.join(shares, F.col("query_id") == F.col("asked")).select("query_id", "rank", "vec_id", "score", "read_share")

@@ -294,3 +294,73 @@ def test_repair_odd_rows(spark, tmp_path):
     got = repairs(queries.op13_conversation_repair(spark, str(tmp_path)))
     assert got == expected_repairs(rows)
     assert conversation_repair.repair(frame.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- tool calls
+
+
+def test_repeated_calls_and_second_results(spark):
+    from meshlake.llm import chat_tools
+
+    tools = {"add": {"x": ("integer", True), "y": ("number", False)}}
+    big = "12345678901234567890"
+    calls = [
+        ("c", 1, "k", "add", '{"x":1}', []), ("c", 4, "k", "add", '{"x":2}', []), ("c", 4, "k", "add", '{"x":2}', []), ("c", 5, "k", "add", None, ["k"]),
+        ("c", 6, "m", "add", f'{{"x":{big}}}', []), ("c", 7, "n", "add", '{"x":1.0}', []), ("c", 8, "o", "add", '{"x":1.5}', []), ("c", 9, "p", "add", '{"x":1e60}', []), ("c", 10, "q", "add", '{"x":"1"}', []), ("c", 11, "r", "add", '{"x":true}', []),
+    ]
+    results = [("c", 2, "k", "one"), ("c", 3, "k", "two"), ("c", 3, "k", "two"), ("c", 12, "z", None), ("c", 13, "z", "late"), ("c", 20, "m", "é" * 40_000)]
+    c = spark.createDataFrame([(*r, 1, "x") for r in calls], "conv_id string, turn int, call_id string, name string, arguments string, after array<string>, position int, status string")
+    r = spark.createDataFrame([(*r, 1, "x") for r in results], "conv_id string, turn int, call_id string, content string, node int, call string")
+    got = chat_tools.link(c, r, tools).collect()
+    status = sorted((x.kind, x.call_id, x.turn, x.status) for x in got)
+    assert status == sorted(
+        [("call", "k", 1, "linked"), ("call", "k", 4, "repeated call"), ("call", "k", 5, "repeated call"), ("result", "k", 2, "linked"), ("result", "k", 3, "second result"), ("result", "z", 12, "orphan"), ("result", "z", 13, "second result")]
+        + [("call", i, t, "unanswered") for t, i in ((7, "n"), (8, "o"), (9, "p"), (10, "q"), (11, "r"))] + [("call", "m", 6, "linked"), ("result", "m", 20, "linked")]
+    )
+    errors = {x.call_id: x.errors for x in got if x.kind == "call" and x.call_id != "k"}
+    assert errors == {"m": [], "n": [], "o": ["wrong type x"], "p": [], "q": ["wrong type x"], "r": ["wrong type x"]}
+    assert next(x.json for x in got if x.call_id == "m" and x.kind == "call") == f'{{"arguments":{{"x":{big}}},"call_id":"m","name":"add","type":"call"}}'
+    assert {x.turn: x.position for x in got if x.status in ("repeated call", "second result")} == {t: t * chat_tools.SPREAD for t in (3, 4, 5, 13)}
+    assert {x.name for x in got if x.status == "second result"} == {"add", None}
+
+
+def test_repeated_calls_match_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "b\n\"é\""), (1, 0, "user", None), (1, 1, "assistant", "r"), (1, 1, "assistant", None), (1, 1, "assistant", "r"), (2, 1, "assistant", "lost"), (2, 1, "assistant", "also"), (None, 0, "user", "x"), (3, None, "user", "x"), (4, 2, "system", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(queries.OP6_SQL)
+    got = queries.op6_tool_calls(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+# ---------------------------------------------------------------- share of the lists that exact top-k search reads
+
+
+def test_share_of_lists_read(spark):
+    from meshlake.llm import topk_search
+
+    rng = np.random.RandomState(3)
+    centres = rng.standard_normal((40, 16)) * 2
+    x = centres[rng.randint(0, 40, 4000)] + rng.standard_normal((4000, 16)) * 0.05
+    frame = spark.createDataFrame([(i, [float(v) for v in x[i]], 0.5) for i in range(4000)], "vec_id long, embedding array<double>, read_share double")
+    got = topk_search.top_k(spark, frame, frame.where("vec_id % 100 = 0"), k=5).collect()
+    whole = np.floor(256 * x)
+    for q in range(0, 4000, 100):
+        score = whole @ whole[q]
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(4000), -score))[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(k + 1, int(i), int(score[i])) for k, i in enumerate(best)]
+    shares = {r.query_id: r.read_share for r in got}
+    assert len(shares) == 40 and np.mean(list(shares.values())) < 0.7 and max(shares.values()) < 1
+
+
+def test_share_on_the_given_vectors(spark, sf):
+    from meshlake.llm import topk_search
+
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    shares = [r.read_share for r in topk_search.top_k(spark, vectors, vectors.where("vec_id % 50 = 0"), k=5).select("query_id", "read_share").distinct().collect()]
+    # directions are independent here, so the bounds tell little before the ends are near
+    assert 0 < np.mean(shares) < 1
