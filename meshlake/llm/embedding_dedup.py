@@ -41,6 +41,8 @@ SAMPLE = 32_768
 CELL_ROWS, LEAST_CELLS, MAX_CELLS = 8192, 4, 4096
 #: Rows and bytes on each side of a block, and rows on each side of one product.
 BLOCK, BLOCK_BYTES, TILE = 16_384, 8 << 20, 2048
+#: Vectors that are held against all centroids at once, and bytes of the placements that are handed on at once.
+STRIP, PLACED_BYTES = 512, 8 << 20
 
 
 def valid_vector(column: str) -> F.Column:
@@ -68,7 +70,7 @@ def fit_centroids(vectors: np.ndarray, k: int, rounds: int = 12, seed: int = 7)
         picked.append(int(np.searchsorted(np.cumsum(far), rng.rand() * total, side="right").clip(max=len(vectors) - 1)))
     centroids = vectors[picked]
     for _ in range(rounds):
-        nearest = (vectors @ centroids.T).argmax(axis=1)
+        nearest = np.concatenate([(vectors[a : a + STRIP] @ centroids.T).argmax(axis=1) for a in range(0, len(vectors), STRIP)])
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, vectors)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -86,8 +88,8 @@ def cells_of(x: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     score = x @ centroids.T
     home = score.argmax(axis=1)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
-    row, cell = np.nonzero(score.max(axis=1, keepdims=True) - score <= reach * apart[home] + 1e-12)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centroids[home] @ centroids.T))
+    row, cell = np.nonzero(score.max(axis=1, keepdims=True) - score <= reach * apart + 1e-12)
     return row, cell.astype(np.int32), home[row] == cell
 
 
@@ -101,13 +103,16 @@ def _assign(shared, threshold: float):
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 x = unit(_dense(part.column("embedding"), int(dim)))
-                row, cell, home = cells_of(x, fitted[int(dim)], threshold)
-                raw = [v.tobytes() for v in x]
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(take) for c in ("label", "dim", "node", "weight")), pa.array([raw[i] for i in row], pa.binary()), pa.array(cell), pa.array(home)],
-                    names,
-                )
+                most = max(1, PLACED_BYTES // (8 * int(dim)))
+                for a in range(0, len(x), STRIP):
+                    row, cell, home = cells_of(x[a : a + STRIP], fitted[int(dim)], threshold)
+                    raw = [v.tobytes() for v in x[a : a + STRIP]]
+                    for p in range(0, len(row), most):
+                        r, take = row[p : p + most], pa.array(a + row[p : p + most])
+                        yield pa.RecordBatch.from_arrays(
+                            [*(part.column(c).take(take) for c in ("label", "dim", "node", "weight")), pa.array([raw[i] for i in r], pa.binary()), pa.array(cell[p : p + most]), pa.array(home[p : p + most])],
+                            names,
+                        )
 
     return run
 

@@ -364,3 +364,47 @@ def test_share_on_the_given_vectors(spark, sf):
     shares = [r.read_share for r in topk_search.top_k(spark, vectors, vectors.where("vec_id % 50 = 0"), k=5).select("query_id", "read_share").distinct().collect()]
     # directions are independent here, so the bounds tell little before the ends are near
     assert 0 < np.mean(shares) < 1
+
+
+# ---------------------------------------------------------------- memory of embedding near-dedup
+
+
+def test_assignment_to_many_cells_is_bounded():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from meshlake.llm import embedding_dedup
+
+    rng = np.random.RandomState(1)
+    dim, rows, cells = 64, 4000, 4096
+    x = rng.standard_normal((rows, dim))
+    centroids = embedding_dedup.unit(rng.standard_normal((cells, dim)))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["l"] * rows), pa.array(np.full(rows, dim, np.int32)), pa.array(np.arange(rows)), pa.array(np.ones(rows, np.int64)), pa.array(list(x), pa.list_(pa.float64()))],
+        ["label", "dim", "node", "weight", "embedding"],
+    )
+    tracemalloc.start()
+    placed, homes = 0, []
+    for out in embedding_dedup._assign(SimpleNamespace(value={dim: centroids}), 0.98)(iter([batch])):
+        assert out.num_rows * dim * 8 <= embedding_dedup.PLACED_BYTES
+        placed += out.num_rows
+        homes += out.filter(out.column("home")).column("node").to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert placed > 100 * rows and sorted(homes) == list(range(rows))
+    assert peak < 200 << 20
+
+
+def test_centroids_are_fitted_in_strips():
+    import tracemalloc
+
+    from meshlake.llm import embedding_dedup
+
+    x = embedding_dedup.unit(np.random.RandomState(2).standard_normal((6000, 16)))
+    tracemalloc.start()
+    centroids = embedding_dedup.fit_centroids(x, 1024, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert centroids.shape == (1024, 16) and peak < 30 << 20
