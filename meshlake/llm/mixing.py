@@ -15,10 +15,11 @@ Method
        falls into. A source that holds most rows is thus spread over ``SLICES`` groups.
 
 Defined results
-    Null or empty texts have no tokens: they cost nothing and come with every block. A null source is a source of its own.
-    Repeated rows are documents of their own. An empty table gives an empty result. The cut keeps a prefix of the
+    Null or empty texts have no tokens: they cost nothing and come with every block, the one that is cut included and
+    wherever the cut falls; those of a source without any block come once. A null source is a source of its own.
+    Repeated rows are documents of their own. An empty table gives an empty result. Texts of any length count whole. The cut keeps a prefix of the
     permutation whose sum does not pass what is left, so at most one document's tokens per source are missed; ties of the
-    hash are broken by id.
+    hash are broken by id, then by tokens. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,14 +103,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     blocks = rows.withColumn("block", F.explode(F.expr("sequence(0L, passes)")))
     blocks = blocks.withColumn("place", _place(F.col("block"), "doc_id"))
     full = blocks.where("block < passes")
-    last = blocks.where("block = passes and (rest > 0 or tokens = 0)").withColumn("slice", F.expr(f"place div {(1 << 60) // SLICES}"))
+    # what costs nothing is in the last block too, if one is begun or there is no other
+    free = blocks.where("block = passes and tokens = 0 and (rest > 0 or passes = 0)")
+    last = blocks.where("block = passes and rest > 0 and tokens > 0").withColumn("slice", F.expr(f"place div {(1 << 60) // SLICES}"))
     slices = last.groupBy("source", "slice", "rest").agg(F.sum("tokens").alias("sum"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slices = slices.withColumn("upto", F.sum("sum").over(before)).select(
         F.col("source").alias("s"), F.col("slice").alias("l"), (F.col("upto") - F.col("sum")).alias("before"), F.expr("upto <= rest").alias("whole")
     )
     last = last.join(slices, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("l"))).where("whole or before <= rest").drop("s", "l")
-    inside = Window.partitionBy("source", "slice").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "slice").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = last.where("not whole").withColumn("upto", F.col("before") + F.sum("tokens").over(inside)).where("upto <= rest")
     columns = ["doc_id", "source", "block", "place", "tokens", "weight"]
-    return full.select(*columns).unionByName(last.where("whole").select(*columns)).unionByName(cut.select(*columns))
+    return full.select(*columns).unionByName(free.select(*columns)).unionByName(last.where("whole").select(*columns)).unionByName(cut.select(*columns))

@@ -56,9 +56,9 @@ o AS (
 t AS (
   SELECT doc_id, source, tokens, weight, passes, rest, block, CAST('0x' || substr(md5(block || ':' || doc_id), 1, 15) AS BIGINT) AS place
   FROM (SELECT d.*, weight, passes, rest, unnest(range(0, passes + 1)) AS block FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source)
-), c AS (SELECT *, sum(tokens) OVER (PARTITION BY source, block ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM t)
+), c AS (SELECT *, sum(tokens) OVER (PARTITION BY source, block ORDER BY place, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM t)
 SELECT doc_id, source, block, place, tokens, round(weight, 9) AS weight FROM c
-WHERE block < passes OR (block = passes AND rest > 0 AND upto <= rest)
+WHERE block < passes OR (block = passes AND if(tokens = 0, rest > 0 OR passes = 0, rest > 0 AND upto <= rest))
 """
 
 

@@ -408,3 +408,27 @@ def test_centroids_are_fitted_in_strips():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert centroids.shape == (1024, 16) and peak < 30 << 20
+
+
+# ---------------------------------------------------------------- the cut of a mixture
+
+
+def test_empty_texts_come_with_every_block(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(5)
+    rows = [(k, "w " * n, "a") for k, n in enumerate([10, 0, 200, 0, 0, 30])] + [(10 + k, "", "empty") for k in range(2)] + [(20, None, None), (21, "x y z", None)]
+    rows += [(100 + k % 30, "t " * rng.choice([0, 1, 5, 50]), rng.choice("bcd")) for k in range(200)] + [(500, "z " * 20_000, "long"), (501, "z", "long")]
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, source string, tokens int, block int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.OP5_SQL)
+    columns = want.columns
+    got = queries.op5_mixing(spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+    from meshlake.llm import mixing
+
+    # a small budget: every empty text is there once, wherever the cut falls
+    taken = mixing.mix(docs, entropy=0.97, max_repeats=1.0, budget_share=0.05).where("tokens = 0")
+    assert {(r.source, r.doc_id) for r in taken.collect()} >= {("a", 1), ("a", 3), ("a", 4), ("empty", 10), ("empty", 11), (None, 20)}
