@@ -32,6 +32,13 @@ def t03(spark, d):
     return rounded(T.section_points(_cut(spark, d)).select("name", "seg", "rank", "px", "py"), "px", "py")
 
 
+@query("t03_section_distance", sql("edges", """SELECT name, CAST(seg AS INTEGER) AS seg, CAST(rank AS INTEGER) AS rank, round(sum(step) OVER (PARTITION BY name ORDER BY seg, rank ROWS UNBOUNDED PRECEDING) + 1e-6, 3) + 0.0 AS dist FROM (
+  SELECT name, seg, rank, if(lag(px) OVER w IS NULL, 0, greatest(1, acos(least(1, cos(radians(lag(py) OVER w)) * cos(radians(lag(px) OVER w)) * cos(radians(py)) * cos(radians(px))
+    + cos(radians(lag(py) OVER w)) * sin(radians(lag(px) OVER w)) * cos(radians(py)) * sin(radians(px)) + sin(radians(lag(py) OVER w)) * sin(radians(py)))) * 6367.5)) AS step FROM (SELECT * FROM cuts WHERE NOT (seg > 0 AND rank = 1)) WINDOW w AS (PARTITION BY name ORDER BY seg, rank))""", _CUTS))
+def t03_distance(spark, d):
+    return T.path_distance(T.section_points(_cut(spark, d))).select("name", "seg", "rank", (rn("dist", 3) + 0.0).alias("dist"))
+
+
 @query("t05_oriented_transport", sql("edges field_e thick", """SELECT name, seg, round(coalesce(sum((-u * dy + v * dx) * w_z * 1e-6 * if(ny < 0 OR (ny = 0 AND nx < 0), -1, 1)), 0) + 1e-7, 4) + 0.0 AS transport
   FROM path JOIN (SELECT name, CAST(seg AS INTEGER) AS seg, nx, ny FROM seg) s USING (name, seg) JOIN field_e USING (elem) JOIN thick USING (k) GROUP BY name, seg""", _PATH))
 def t05(spark, d):
