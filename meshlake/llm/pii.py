@@ -10,8 +10,10 @@ Method
        of the format (lengths, digit groups, gaps, checks) and of ``CONTEXT`` characters on either side.
     3. The trees are fitted on a bounded sample of texts: for each kind ``SAMPLE_OF_KIND`` texts that hold base spans of it,
        found over all data, and ``SAMPLE`` of all texts, each with the smallest hashes; of each text at most ``SPANS_OF_TEXT``
-       places. A base span is rewritten with other gaps and groups or put beside another number; in what the generators
-       then propose there, the span itself is positive and all else negative. Negative are further all that the generators
+       places. A base span, or more often a made-up one with a name, host or number of any style, is rewritten with other signs,
+       gaps and groups or put beside another number; in what the generators then propose there, the span itself is positive
+       and all else negative. Texts without base spans take made-up ones. No feature tells names or values, only forms, checks
+       and context, so that the house style of the texts is not what is learnt. Negative are further all that the generators
        propose in the text as it stands outside base spans, and around dates, times, versions, prices and numbers put in.
        Examples are made in tasks; only their features reach the driver. Half of the texts calibrate one threshold per kind
        and way of proposing: the lowest score at which the precision on that half, one mistake apart, is at least ``PRECISION``.
@@ -182,7 +184,8 @@ def more_candidates(text: str) -> list[tuple[str, int, int]]:
                     break
                 if digits >= 13 and (tuple(sizes) in CARD_SHAPES or luhn(_digits(text[first:e]))):
                     out.append(("card", first, e))
-                if 7 <= digits <= 15 and 2 <= len(sizes) and sizes[-1] in (2, 3, 4) and max(sizes) <= 5:
+                led = text[first] == "0" or text[max(0, first - 1) : first] in ("(", "+")
+                if 7 <= digits <= 15 and 2 <= len(sizes) and (sizes[-1] in (2, 3, 4) and max(sizes) <= 5 or led and max(sizes) <= 8):
                     # brackets and signs before the first group belong to the span
                     start = first
                     while start > max(0, first - 2) and text[start - 1] in "(+":
@@ -190,11 +193,13 @@ def more_candidates(text: str) -> list[tuple[str, int, int]]:
                     out.append(("phone", start, e))
                 if len(sizes) == 4 and max(sizes) <= 3:
                     gaps = [text[a[1] : b[0]] for a, b in zip(chain[k : k + 3], chain[k + 1 : k + 4], strict=True)]
-                    if any(c in gaps[0].lower() for c in (".", "dot")) and all(int(text[a:b]) <= 255 for a, b in chain[k : k + 4]) and len(set(gaps)) == 1:
+                    if all("." in g or "dot" in g.lower() for g in gaps) and all(int(text[a:b]) <= 255 for a, b in chain[k : k + 4]):
                         out.append(("ip", first, e))
     return out
 
 
+#: Dates written with the year in front or behind.
+_DATE = re.compile(r"(?<![0-9])(?:(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2})(?![0-9])").search
 _DIGITS_OF = {"card": (13, 19), "phone": (9, 15)}
 
 
@@ -239,7 +244,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     groups = [len(g) for g in re.findall("[0-9]+", span)] or [0]
     left, right = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     before = re.findall(r"[a-z-]+", left.lower())
-    values = [int(g) if len(g) < 6 else 999999 for g in re.findall("[0-9]+", span)] or [0]
+    labels = re.findall("[A-Za-z0-9-]+", _AT.split(span, maxsplit=1)[-1]) if kind == "email" else []
+    labels = [x for x in labels if x.lower() != "dot"]
+    last = labels[-1] if labels else ""
     return [
         KINDS.index(kind),
         len(span),
@@ -248,9 +255,18 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         max(groups),
         min(groups),
         float(len(set(groups)) == 1),
-        max(values),
         float(luhn(digits)) if digits else -1,
-        len(set(digits)),
+        float(tuple(groups) in CARD_SHAPES),
+        float(tuple(groups) in CARD_SHAPES and luhn(digits)),
+        float(bool(_DATE(span))),
+        float(bool(_DATE(left[-14:])) or bool(_DATE(right[:14]))),
+        float(last.isalpha()),
+        min(len(last), 8),
+        min(len(labels), 4),
+        float(span[:1].isalpha()),
+        sum(c in "<>" for c in span),
+        float(span[:1] == "(" or span[:1] == "+"),
+        float(span[:1] == "0"),
         sum(c in "()" for c in span),
         sum(c in "[]{}" for c in span),
         sum(c == "." for c in span),
@@ -262,7 +278,6 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         max(map(len, gaps), default=0),
         float(span.startswith("00")),
         float(digits[:1] in ("3", "4", "5", "6")),
-        len(span.split("@")[0].split("(")[0].split("[")[0]) if kind == "email" else 0,
         float(left[-1:].isalnum()),
         float(right[:1].isalnum()),
         float(left[-1:] in "\"'=:/#"),
@@ -277,7 +292,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
 class BoostedTrees:
     """Gradient boosting of small regression trees on the logistic loss, with quantile bins."""
 
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 16, least: int = 8, ridge: float = 1.0):
+    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 16, least: int = 8, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.least, self.ridge = rounds, depth, rate, bins, least, ridge
         self.trees: list[dict] = []
         self.start = 0.0
@@ -383,6 +398,8 @@ class Taken:
 #: What is put between groups when a span is rewritten, and signs that stand for @ and the dot. Fixed values.
 GAPS = (" ", "-", ".", "/", "_", " - ", " / ", ". ", "\xb7", "--", ":")
 AT_SIGNS = (" (at) ", "(at)", "[at]", " [at] ", "{at}", " <at> ", " at ", " @ ")
+IP_DOTS = ("[.]", "(.)", "{.}", " . ", ". ", " .", "[dot]", "(dot)", " dot ", " [dot] ")
+PHONE_GAPS = (" ", " ", "-", "-", ".", "/", " - ", "\xb7")
 DOT_SIGNS = (" (dot) ", "(dot)", "[dot]", " [dot] ", "{dot}", " dot ", ".")
 
 
@@ -397,28 +414,74 @@ def _no_card(rng: np.random.RandomState) -> str:
     return digits
 
 
+def _pick(rng: np.random.RandomState, options):
+    return options[rng.randint(len(options))]
+
+
+def _letters(rng: np.random.RandomState, low: int, high: int) -> str:
+    return "".join(chr(97 + c) for c in rng.randint(0, 26, rng.randint(low, high + 1)))
+
+
+def _card_number(rng: np.random.RandomState) -> str:
+    """A number of one of the usual lengths that passes the check."""
+    head = _pick(rng, ("3", "4", "5", "6")) + _number(rng, _pick(rng, (14, 14, 14, 13, 17)))
+    return next(head + str(d) for d in range(10) if luhn(head + str(d)))
+
+
+def _made_up(rng: np.random.RandomState, kind: str) -> str:
+    """A span of the base form with a name, host, number or address of any style, not only those that the texts hold."""
+    if kind == "email":
+        name = _pick(rng, (_letters(rng, 2, 10), f"{_letters(rng, 1, 8)}{_pick(rng, '._-+')}{_letters(rng, 2, 9)}", f"{_letters(rng, 2, 7)}{_number(rng, rng.randint(1, 5))}"))
+        if rng.rand() < 0.3:
+            name = name.title() if rng.rand() < 0.7 else name.upper()
+        hosts = [_letters(rng, 2, 11) + (_number(rng, 1) if rng.rand() < 0.15 else "") for _ in range(_pick(rng, (1, 1, 1, 2, 2, 3)))]
+        return f"{name}@{'.'.join([*hosts, _pick(rng, ('com', 'org', 'net', 'edu', _letters(rng, 2, 2), _letters(rng, 3, 4)))])}"
+    if kind == "ip":
+        return ".".join(str(rng.randint(0, _pick(rng, (10, 100, 256)))) for _ in range(4))
+    if kind == "card":
+        return _card_number(rng)
+    return "+" + str(rng.randint(1, _pick(rng, (10, 100, 1000)))) + str(rng.randint(1, 10)) + _number(rng, rng.randint(7, 10))
+
+
+def _grouped(rng: np.random.RandomState, digits: str) -> list[str]:
+    """Digits in two to five groups of one to eight, short ones more often."""
+    n, out = len(digits), []
+    count = min(n, _pick(rng, (2, 2, 3, 3, 3, 4, 5)))
+    cuts = sorted(rng.choice(np.arange(1, n), count - 1, replace=False))
+    out = [digits[a:b] for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+    return out if max(map(len, out)) <= 8 and len(out[-1]) > 1 else _grouped(rng, digits)
+
+
 def _rewritten(rng: np.random.RandomState, kind: str, span: str) -> str:
-    """A base span with other signs, gaps and groups."""
-    pick = lambda options: options[rng.randint(len(options))]
+    """A span of the base form with other signs, gaps and groups."""
     if kind == "email":
         name, host = span.split("@")[:2]
-        return name + pick(AT_SIGNS) + host.replace(".", pick(DOT_SIGNS))
+        return name + _pick(rng, AT_SIGNS) + host.replace(".", _pick(rng, DOT_SIGNS))
     if kind == "ip":
-        return pick(("[.]", "(.)", "{.}", " . ", ". ", "[dot]", "(dot)", " dot ")).join(span.split("."))
-    digits, gap = _digits(span), pick(GAPS)
+        dot, parts = _pick(rng, IP_DOTS), span.split(".")
+        dots = [dot] * 3 if rng.rand() < 0.7 else [dot if k == rng.randint(3) or rng.rand() < 0.3 else "." for k in range(3)]
+        if dots == [".", ".", "."]:
+            dots[rng.randint(3)] = dot
+        return "".join(x for pair in zip(parts, [*dots, ""], strict=True) for x in pair)
+    digits, gap = _digits(span), _pick(rng, GAPS)
     if kind == "card":
         sizes = {16: (4, 4, 4, 4), 15: (4, 6, 5)}.get(len(digits), (4,) * (len(digits) // 4) + (len(digits) % 4,))
-    else:
-        country, local = digits[:-10], digits[-10:]
-        sizes = pick(((3, 3, 4), (3, 3, 2, 2), (2, 4, 4), (3, 4, 3), (4, 3, 3)))
-        digits, head = (local, "") if rng.rand() < 0.5 or not country else (local, pick((f"00{country} ", f"{country} ", f"{country}-", f"+{country}/")))
-    cuts = np.cumsum((0, *sizes))
-    groups = [digits[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if digits[a:b]]
-    if kind == "card":
-        return gap.join(groups)
-    if rng.rand() < 0.4:
-        return head + f"({groups[0]})" + pick((" ", "", "-")) + gap.join(groups[1:])
-    return head + gap.join(groups)
+        cuts = np.cumsum((0, *sizes))
+        return gap.join(digits[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if digits[a:b])
+    n = _pick(rng, (8, 9, 10, 10, 10))
+    country, local = digits[:-n] or "1", digits[-n:]
+    groups = [local[:3], local[3:6], local[6:]] if n == 10 and rng.rand() < 0.4 else _grouped(rng, local)
+    gap = _pick(rng, PHONE_GAPS)
+    style = rng.randint(5)
+    if style == 0:
+        return _pick(rng, (f"00{country}", f"+{country}/", f"{country}-", f"00{country} (0)")).rstrip() + _pick(rng, (" ", "-")) + gap.join(groups)
+    if style == 1:
+        return f"({_pick(rng, ('', '0'))}{groups[0]})" + _pick(rng, (" ", "", "-")) + gap.join(groups[1:])
+    if style == 2:
+        return "0" + groups[0] + _pick(rng, ("/", " ", "-", " / ")) + _pick(rng, (gap.join(groups[1:]), "".join(groups[1:])[:8]))
+    if style == 3:
+        return "0" + gap.join(groups)
+    return gap.join((local[:-7], local[-7:-4], local[-4:])) if len(local) > 8 else "0" + gap.join(groups)
 
 
 def _decoy(rng: np.random.RandomState, kind: str) -> str:
@@ -476,19 +539,24 @@ def examples(text: str) -> Iterator[list[float]]:
     for kind, s, e in places:
         left, right = text[max(0, s - 3 * CONTEXT) : s], text[e : e + 3 * CONTEXT]
         at = len(left)
-        made = [(left, _rewritten(rng, kind, text[s:e]), right)]
+        made = [(left, _rewritten(rng, kind, text[s:e] if rng.rand() < 0.2 else _made_up(rng, kind)), right) for _ in range(3)]
         if kind != "email":
             before, after = _beside(rng, kind)
-            made.append((left + before, text[s:e], after + right))
+            made.append((left + before, text[s:e] if rng.rand() < 0.5 else _made_up(rng, kind), after + right))
         for a, b, c in made:
             yield from judged(a + b + c, at, len(a + b + c) - len(right), (kind, len(a), len(a + b)))
-        for _ in range(2):
+        for _ in range(3):
             decoy = _decoy(rng, kind)
             yield from judged(left + decoy + right, at, at + len(decoy), None)
     for kind in KINDS if not places else ():
         s = rng.randint(0, len(text) + 1)
         left, right, decoy = text[max(0, s - 3 * CONTEXT) : s], text[s : s + 3 * CONTEXT], " " + _decoy(rng, kind) + " "
         yield from judged(left + decoy + right, len(left), len(left) + len(decoy), None)
+        # texts without base spans take made-up ones, so that there are as many in small tables
+        span = _rewritten(rng, kind, _made_up(rng, kind))
+        before, after = _pick(rng, (" ", ": ", ", ", " (", "\n")), _pick(rng, (" ", ", ", ".", ") ", "\n"))
+        at = len(left + before)
+        yield from judged(left + before + span + after + right, at, at + len(span), (kind, at, at + len(span)))
     # as the text stands: a window around a random place, and around places with digits
     spots = [m.start() for m in _GROUP.finditer(text)]
     for s in (spots[k] for k in (rng.choice(len(spots), min(len(spots), SPANS_OF_TEXT), replace=False) if spots else ())):

@@ -432,3 +432,73 @@ def test_empty_texts_come_with_every_block(spark, tmp_path):
     # a small budget: every empty text is there once, wherever the cut falls
     taken = mixing.mix(docs, entropy=0.97, max_repeats=1.0, budget_share=0.05).where("tokens = 0")
     assert {(r.source, r.doc_id) for r in taken.collect()} >= {("a", 1), ("a", 3), ("a", 4), ("empty", 10), ("empty", 11), (None, 20)}
+
+
+# ---------------------------------------------------------------- personal data in forms that the texts do not hold
+
+
+def foreign_forms(rng):
+    """Spans in forms, with names, hosts and numbers, that neither the texts nor the training hold, and numbers that are none."""
+    from meshlake.llm import pii
+
+    word = lambda low, high: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card(gap, sizes):
+        while True:
+            digits = rng.choice("3456") + n(sum(sizes) - 1)
+            if pii.luhn(digits):
+                break
+        out = []
+        for k in sizes:
+            out.append(digits[:k])
+            digits = digits[k:]
+        return gap.join(out)
+
+    person = rng.choice([f"{word(3, 7)}.{word(3, 8)}", f"{word(1, 1)}{word(4, 9)}", f"{word(3, 6)}_{word(3, 6)}", word(3, 8).title()])
+    host, tld = rng.choice([word(4, 10), f"{word(2, 5)}-{word(3, 6)}"]), rng.choice(["com", "org", "io", "co", "dev"])
+    octets = [str(rng.randint(0, 255)) for _ in range(4)]
+    spans = [
+        ("email", f"{person} (At) {host} (Dot) {tld}"), ("email", f"{person}[AT]{host}.{tld}"), ("email", f"{person} at {host} dot {tld}"), ("email", f"{person} <AT> {host}.{tld}"),
+        ("ip", "[.]".join(octets)), ("ip", " . ".join(octets)), ("ip", f"{octets[0]}.{octets[1]}.{octets[2]}[.]{octets[3]}"), ("ip", f"{octets[0]}[.]{octets[1]}.{octets[2]}.{octets[3]}"),
+        ("card", card("/", (4, 4, 4, 4))), ("card", card(".", (4, 4, 4, 4))), ("card", card("_", (4, 4, 4, 4))), ("card", card("/", (4, 6, 5))),
+        ("phone", f"({n(3)}) {n(3)}-{n(4)}"), ("phone", f"0{rng.randint(20, 99)} {n(4)} {n(4)}"), ("phone", f"0{rng.randint(30, 99)}/{n(7)}"), ("phone", f"0{rng.randint(30, 999)}-{n(3)} {n(2)} {n(2)}"),
+    ]
+    year = rng.randint(1990, 2030)
+    decoys = [
+        f"{year}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {rng.randint(10, 23)}:{n(2)}:{n(2)}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{year}", f"{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}",
+        f"meet at {rng.randint(1, 12)}.30", f"looked at them", f"{rng.randint(1, 9)},{n(3)},{n(3)}", f"page {rng.randint(1, 400)} of {rng.randint(400, 900)}", f"{n(4)} {n(4)}", f"{year} - {year + 1}",
+    ]
+    return spans, decoys
+
+
+def test_personal_data_in_foreign_forms():
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from meshlake.llm import pii
+
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables here")
+    texts = [t for t in pq.read_table(path, columns=["text"]).column("text").to_pylist() if t]
+    detector = pii.train(texts)
+    rng = random.Random(11)
+    hit = wrong = whole = 0
+    for _ in range(60):
+        spans, decoys = foreign_forms(rng)
+        for kind, span in spans:
+            left = rng.choice(["Please note ", "Lorem ipsum, ", "as it says: ", "and then "])
+            text = left + span + rng.choice([" for later.", ", thanks.", " et cetera", "."])
+            base, added = detector.spans(text)
+            found = base + added
+            right = (kind, len(left), len(left) + len(span)) in found
+            hit += right
+            whole += 1
+            wrong += len(found) - right
+        for decoy in decoys:
+            base, added = detector.spans(f"Please note {decoy} and so on.")
+            wrong += len(base + added)
+    assert hit / whole >= 0.8, (hit, wrong, whole)
+    assert hit / (hit + wrong) >= 0.9, (hit, wrong, whole)
