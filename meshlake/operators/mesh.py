@@ -8,7 +8,7 @@ dx_l, dy_l, dx_r, dy_r)`` with a null ``tri_r`` on the boundary. ``*_iz`` is the
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,13 +18,36 @@ from meshlake.functions import expr
 
 @dataclass(frozen=True)
 class Mesh:
+    """The three tables of a mesh; ``derived`` holds what ``prepare`` has worked out and stored, by name."""
+
     nodes: DataFrame
     elems: DataFrame
     levels: DataFrame
+    derived: dict[str, DataFrame] = field(default_factory=dict)
+
+
+def prepare(mesh: Mesh, path: str) -> Mesh:
+    """The mesh with its derived tables written once below ``path``: corners, areas of elements and nodes, edges.
+
+    All operators read these instead of joining the mesh again; each table is sorted by its key within files, so that pruning and merge
+    joins find runs of keys. Existing tables of that path are replaced.
+    """
+    spark, derived = mesh.nodes.sparkSession, {}
+    tables = {"nodes": ("node", mesh.nodes), "elems": ("elem", mesh.elems), "levels": ("k", mesh.levels)}
+    for name, (key, df) in tables.items():
+        df.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    base = Mesh(read("nodes"), read("elems"), read("levels"))
+    for name, key, make in (("corners", "elem", corners), ("elem_area", "elem", elem_area), ("node_area", "node", node_area), ("node_area_flat", "node", lambda m: node_area(m, per_level=False)), ("edges", "n0", edge_geometry)):
+        make(Mesh(base.nodes, base.elems, base.levels, derived)).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
+        derived = derived | {name: read(name)}
+    return Mesh(base.nodes, base.elems, base.levels, derived)
 
 
 def corners(mesh: Mesh) -> DataFrame:
     """``elems`` with longitude and latitude of the three nodes (``lon0 .. lat2``): three equi-joins."""
+    if "corners" in mesh.derived:
+        return mesh.derived["corners"]
     out = mesh.elems
     for k in range(3):
         out = out.join(mesh.nodes.select(F.col("node").alias(f"n{k}"), F.col("lon").alias(f"lon{k}"), F.col("lat").alias(f"lat{k}")), f"n{k}")
@@ -51,6 +74,8 @@ def centroids(mesh: Mesh, cyclic: bool = False) -> DataFrame:
 
 def elem_area(mesh: Mesh) -> DataFrame:
     """``elem, area`` in square metres."""
+    if "elem_area" in mesh.derived:
+        return mesh.derived["elem_area"]
     return corners(mesh).select("elem", expr.triangle_area(_cols("lon"), _cols("lat")).alias("area"))
 
 
@@ -73,6 +98,8 @@ def node_area(mesh: Mesh, per_level: bool = True) -> DataFrame:
 
     That is below the first level under the ice, ``e_ic``, where the mesh has cavities.
     """
+    if (known := "node_area" if per_level else "node_area_flat") in mesh.derived:
+        return mesh.derived[known]
     parts = elem_node(mesh.elems).join(elem_area(mesh), "elem")
     if not per_level:
         return parts.groupBy("node").agg((F.sum("area") / 3).alias("w_A"))
@@ -159,6 +186,8 @@ def periodic_elems(mesh: Mesh, cyclic: float = 360.0) -> DataFrame:
 
 def edge_geometry(mesh: Mesh) -> DataFrame:
     """``edges`` with cross-edge vectors in metres: from the edge's middle to the centroid of each side; a null right side is 0."""
+    if "edges" in mesh.derived:
+        return mesh.derived["edges"]
     ends = edge_table(mesh.elems)
     for k in range(2):
         ends = ends.join(mesh.nodes.select(F.col("node").alias(f"n{k}"), F.col("lon").alias(f"x{k}"), F.col("lat").alias(f"y{k}")), f"n{k}")

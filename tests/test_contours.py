@@ -328,3 +328,17 @@ def test_results_and_year_tables(spark, tmp_path):
     (tmp_path / "y.txt").write_text("# a comment\n2001 " + " ".join(str(float(k)) for k in range(1, 13)) + " 6.5\n2002 " + " ".join("1" for _ in range(12)) + "\n")
     got = {(r.year, r.month): (r.value, r.annual) for r in tables.read_year_table(spark, str(tmp_path / "y.txt")).collect()}
     assert len(got) == 24 and got[2001, 12] == (12.0, 6.5) and got[2002, 1] == (1.0, None)
+
+
+def test_prepared_meshes_are_read_not_joined(spark, strip, tmp_path):
+    from meshlake.operators import transport
+
+    ready = mesh.prepare(strip, str(tmp_path / "mesh"))
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=str)
+    for make in (mesh.corners, mesh.elem_area, mesh.node_area, lambda m: mesh.node_area(m, per_level=False), mesh.edge_geometry, mesh.node_resolution, mesh.centroids):
+        assert rows(make(ready)) == rows(make(strip))
+    field = spark.createDataFrame([(n, k, 0.1 * n - 0.2 * k) for n in range(6) for k in range(2)], "node int, k int, w double")
+    moc = transport.zmoc(field, ready, dlat=1.0)
+    assert rows(moc) == rows(transport.zmoc(field, strip, dlat=1.0))
+    plan = moc._jdf.queryExecution().optimizedPlan().toString()
+    assert "lon0" not in plan and "sum(area" not in plan
