@@ -69,6 +69,20 @@ def in_regions(points: DataFrame, regions: DataFrame, key: str, x: str = "x", y:
     return near.where(odd).select(key, "region").distinct()
 
 
+def in_large_regions(points: DataFrame, regions: DataFrame, key: str, x: str = "x", y: str = "y", strip: float = 0.25) -> DataFrame:
+    """The result of ``in_regions`` for regions of any number of vertices: nothing is broadcast or gathered.
+
+    Edges list the strips of latitude that they reach and meet the points of those strips by an equi-join.
+    """
+    w = Window.partitionBy("region", "part").orderBy("seq")
+    edges = regions.withColumns({"x1": F.lead("x").over(w), "y1": F.lead("y").over(w)}).where("y1 is not null and y1 <> y")
+    edges = edges.select("region", "part", F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
+    edges = edges.withColumn("strip", F.explode(F.sequence(F.floor(F.least("y0", "y1") / strip), F.floor(F.greatest("y0", "y1") / strip))))
+    near = points.select(key, F.col(x).alias("px"), F.col(y).alias("py"), F.floor(F.col(y) / strip).alias("strip")).join(edges, "strip")
+    crossed = F.expr("(y0 > py) <> (y1 > py) and px < x0 + (py - y0) * (x1 - x0) / (y1 - y0)")
+    return near.where(crossed).groupBy(key, "region", "part").agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, "region").distinct()
+
+
 def basin(mesh: Mesh, regions: DataFrame, name: str, exclude: str | None = None, on_elems: bool = False) -> DataFrame:
     """``node`` (or ``elem`` with any node) of a named basin, without those of another region."""
     nodes = in_regions(mesh.nodes, regions.where(F.col("region") == name), "node", "lon", "lat").select("node")

@@ -10,7 +10,7 @@ from meshlake.operators import regions as S
 from meshlake.operators import transport as D
 from meshlake.plans import fixtures as X
 from meshlake.plans.fixtures import with_tables as sql
-from meshlake.plans.mesh_queries import _inside_sql, _ring
+from meshlake.plans.mesh_queries import _HITS, REGIONS, _inside_sql, _ring
 from meshlake.plans.registry import query, r6, rn, rounded
 from meshlake.plans.transport_queries import _PLACE
 
@@ -37,6 +37,11 @@ def f10_named(spark, d):
     return out
 
 
+@query("f08_large_regions", sql("nodes", "SELECT node, region FROM hits", _HITS))
+def f08_large(spark, d):
+    return S.in_large_regions(X.nodes(spark, d), S.boxes_to_regions(spark, REGIONS), "node", "lon", "lat")
+
+
 #: Ice covers the south of the stand-in mesh, down to different levels.
 _ICE = "CAST(if(lat < -50, node % 4, 0) AS INTEGER)"
 

@@ -342,3 +342,16 @@ def test_prepared_meshes_are_read_not_joined(spark, strip, tmp_path):
     assert rows(moc) == rows(transport.zmoc(field, strip, dlat=1.0))
     plan = moc._jdf.queryExecution().optimizedPlan().toString()
     assert "lon0" not in plan and "sum(area" not in plan
+
+
+def test_large_regions_equal_the_plain_ones(spark):
+    from meshlake.operators import regions
+
+    rng = random.Random(4)
+    shapes = {"star": [[math.cos(k * 0.4) * (1 + k % 2) * 9 for k in range(15)], [math.sin(k * 0.4) * (1 + k % 2) * 9 for k in range(15)]], "box": [-3.0, 4.0, -2.5, 7.25]}
+    parts = regions.boxes_to_regions(spark, shapes)
+    second = regions.boxes_to_regions(spark, {"star": [12.0, 15.0, 3.0, 5.0]}).withColumn("part", F.lit(1))
+    parts = parts.unionByName(second)
+    points = spark.createDataFrame([(k, rng.uniform(-20, 20), rng.uniform(-20, 20)) for k in range(500)] + [(900, 13.0, 4.0), (901, 4.0, 0.0), (902, -3.0, 0.0)], "id int, x double, y double")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(regions.in_large_regions(points, parts, "id")) == rows(regions.in_regions(points, parts, "id"))
