@@ -7,11 +7,11 @@ Method
     come; its last row holds the cost of every length. The cost of a plain script is the incumbent: by Ukkonen's bound a cell can
     only matter if the insertions and deletions that it needs stay within it, which leaves a band, and which bounds the lengths.
     A system turn in front takes the place of the string's ``s``; whichever turns stand before it are left out. For all lengths
-    with the least cost the audits are traced through the table, the smallest letter first, and the least in ASCII order is kept.
+    with the least cost the audits are traced through the table side by side, and the least in ASCII order is kept.
 
 Partitioning
     One shuffle of the turns, by conversation; faults come from windows on that partitioning. The table sees one letter a turn
-    and needs one number for each cell of the band; scripts of equal letters are worked out once a task. A conversation is repaired as a whole, so its turns
+    and holds as many rows of the band as the square root of the number of turns; scripts of equal letters are worked out once a task. A conversation is repaired as a whole, so its turns
     come together in one task, as its digest demands; its rows are never multiplied.
 
 Defined results
@@ -73,7 +73,12 @@ def _incumbent(letters: str) -> int:
 
 
 class Table:
-    """Least costs of aligning the last turns with the last characters of ``..uaua``, within a band."""
+    """Least costs of aligning the last turns with the last characters of ``..uaua``, within a band.
+
+    Row ``i`` holds, for every number of characters to come, the cost of the turns from ``i`` on, and the same for strings whose first
+    character is the ``s`` of a system turn. Rows are worked out from the last turn back; about as many as the square root of their number
+    are held at a time, the others are worked out again when the trace gets there.
+    """
 
     def __init__(self, letters: str):
         self.letters, n = letters, len(letters)
@@ -82,58 +87,94 @@ class Table:
         free = np.arange(n, -1, -1) - fixed
         # what must go in any case is spent; the rest pays for insertions (more characters than turns) or deletions (fewer)
         rest = self.bound - DELETE * int(fixed[0])
-        low = np.maximum(0, free - rest // DELETE)
-        high = free + rest // INSERT
-        self.low, self.rows = low, [None] * (n + 1)
-        width = np.arange(high[n] - low[n] + 1)
-        self.rows[n] = INSERT * (width + low[n]).astype(np.int64)
+        self.low, self.high = np.maximum(0, free - rest // DELETE).tolist(), (free + rest // INSERT).tolist()
+        self.step = max(1, int(n**0.5))
+        to_come = np.arange(self.low[n], self.high[n] + 1)
+        row = (INSERT * to_come.astype(np.int64), np.full(len(to_come), _FAR, dtype=np.int64))
+        self.kept, self.held = {n: row}, {}
         for i in range(n - 1, -1, -1):
-            self.rows[i] = self._row(i, int(low[i]), int(high[i]))
+            row = self._row(i, row)
+            if i % self.step == 0:
+                self.kept[i] = row
 
-    def _reach(self, i: int, low: int, high: int) -> np.ndarray:
+    def _reach(self, i: int, row: np.ndarray, low: int, high: int) -> np.ndarray:
         """Row ``i`` between two places; far beyond its band."""
         out = np.full(high - low + 1, _FAR, dtype=np.int64)
-        a, row = int(self.low[i]), self.rows[i]
+        a = self.low[i]
         left, right = max(low, a), min(high, a + len(row) - 1)
         if left <= right:
             out[left - low : right - low + 1] = row[left - a : right - a + 1]
         return out
 
-    def _row(self, i: int, low: int, high: int) -> np.ndarray:
-        x, to_come = self.letters[i], np.arange(low, high + 1)
-        best = self._reach(i + 1, low, high) + DELETE
+    def _row(self, i: int, after: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        x, low, high = self.letters[i], self.low[i], self.high[i]
+        to_come = np.arange(low, high + 1)
+        best = self._reach(i + 1, after[0], low, high) + DELETE
+        ahead = self._reach(i + 1, after[1], low, high) + DELETE
         if x != "x":
             # with an odd number of characters to come an a is due, with an even number a u
             wrong = x.lower() != np.where(to_come % 2 == 1, "a", "u")
-            stay = self._reach(i + 1, low - 1, high - 1) + REROLE * wrong + TRUNCATED * x.isupper()
+            stay = self._reach(i + 1, after[0], low - 1, high - 1) + REROLE * wrong + TRUNCATED * x.isupper()
             best = np.minimum(best, np.where(to_come > 0, stay, _FAR))
+            if x in "sS":
+                ahead = np.minimum(ahead, self._reach(i + 1, after[0], low - 1, high - 1) + TRUNCATED * x.isupper())
         # insertions run along the row: the least of best[j] + INSERT * (r - j) over j <= r
-        return np.minimum.accumulate(best - INSERT * to_come) + INSERT * to_come
-
-    def at(self, i: int, r: int) -> int:
-        k = r - int(self.low[i])
-        return int(self.rows[i][k]) if 0 <= k < len(self.rows[i]) else _FAR
-
-    def lengths(self, i: int) -> list[int]:
-        """Complete lengths whose alignment from turn ``i`` on has a cost in the band."""
-        a = int(self.low[i])
-        return [r for r in range(a + a % 2, a + len(self.rows[i]), 2) if self.rows[i][r - a] < _FAR]
-
-    def trace(self, i: int, r: int) -> str:
-        """The least audit of the alignments of turns from ``i`` on with ``r`` characters that cost the least."""
-        out, n = [], len(self.letters)
-        while i < n or r:
-            here = self.at(i, r)
-            if i < n and here == self.at(i + 1, r) + DELETE:
-                out.append("D")
-                i += 1
-            elif r and here == self.at(i, r - 1) + INSERT:
-                out.append("I")
-                r -= 1
-            else:
-                out.append("K" if self.letters[i].lower() == "ua"[r % 2] else "R")
-                i, r = i + 1, r - 1
-        return "".join(out)
+        return np.minimum.accumulate(best - INSERT * to_come) + INSERT * to_come, ahead
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row ``i``; those up to the next stored one are worked out together."""
+        if i in self.kept:
+            return self.kept[i]
+        if i not in self.held:
+            last = min(len(self.letters), (i // self.step + 1) * self.step)
+            row, self.held = self.kept[last], {}
+            for k in range(last - 1, i - 1, -1):
+                row = self.held[k] = self._row(k, row)
+        return self.held[i]
+
+    def least(self) -> tuple[int, str]:
+        """The least cost over all lengths, and the least audit among those of that cost.
+
+        The audits of all lengths with that cost are traced side by side: as long as they agree they are at the same turn and
+        differ only in the characters to come, and those that could take a smaller letter go on alone.
+        """
+        plain, ahead = self.row(0)
+        to_come = np.arange(self.low[0], self.low[0] + len(plain))
+        # pairs, or a system turn and one pair at least
+        plain, ahead = np.where(to_come % 2 == 0, plain, _FAR), np.where((to_come % 2 == 1) & (to_come > 1), ahead, _FAR)
+        cost = int(min(plain.min(initial=_FAR), ahead.min(initial=_FAR)))
+        # characters to come, whether the system turn is still to be kept, and the cost of what is left
+        r = np.concatenate([to_come[plain == cost], to_come[ahead == cost]])
+        head = np.concatenate([np.zeros((plain == cost).sum(), bool), np.ones((ahead == cost).sum(), bool)])
+        left = np.full(len(r), cost, dtype=np.int64)
+        out, i, n = [], 0, len(self.letters)
+        while i < n or r.any():
+            options = []
+            if i < n:
+                x = self.letters[i]
+                after = self.row(i + 1)
+                here = lambda k, h: np.where(h, self._at(i + 1, after[1], k), self._at(i + 1, after[0], k))  # noqa: B023, E731
+                options.append(("D", DELETE, here(r, head), r, head, np.ones(len(r), bool)))
+            options.append(("I", INSERT, self._at(i, self.row(i)[0], r - 1), r - 1, head, ~head & (r > 0)))
+            if i < n and x != "x":
+                more = TRUNCATED * x.isupper()
+                fits = np.where(head, x in "sS", (r > 0) & (x.lower() == np.where(r % 2 == 1, "a", "u")))
+                none = np.zeros(len(r), bool)
+                options.append(("K", more, here(r - 1, none), r - 1, none, fits))
+                options.append(("R", more + REROLE, here(r - 1, none), r - 1, none, ~head & ~fits & (r > 0)))
+            for letter, price, then, to, still, allowed in options:
+                good = allowed & (left == then + price)
+                if good.any():
+                    out.append(letter)
+                    r, head, left = to[good], still[good], then[good]
+                    i += letter != "I"
+                    break
+        return cost, "".join(out)
+
+    def _at(self, i: int, row: np.ndarray, r: np.ndarray) -> np.ndarray:
+        k = r - self.low[i]
+        inside = (k >= 0) & (k < len(row))
+        return np.where(inside, row[np.where(inside, k, 0)], _FAR)
 
 
 @lru_cache(maxsize=20_000)
@@ -142,15 +183,7 @@ def repair_script(letters: str) -> tuple[int, str]:
 
     ``s, u, a`` for these roles and ``o`` for others, a capital for truncated turns, ``x`` for those that must go.
     """
-    table = Table(letters)
-    options = [(table.at(0, r), 0, None, r) for r in table.lengths(0)]
-    # a system turn in front: what stands before it goes, and at least one pair follows
-    for i, x in enumerate(letters):
-        if x in "sS" and DELETE * i <= table.bound:
-            options += [(DELETE * i + TRUNCATED * (x == "S") + table.at(i + 1, r), i, x, r) for r in table.lengths(i + 1) if r]
-    cost = min(o[0] for o in options)
-    audits = ("D" * i + "K" + table.trace(i + 1, r) if x else table.trace(0, r) for c, i, x, r in options if c == cost)
-    return cost, min(audits)
+    return Table(letters).least()
 
 
 def edits(letters: str, audit: str) -> tuple[list[int], list[str | None]]:

@@ -549,3 +549,27 @@ def test_stages_take_odd_rows(spark, sf):
 def test_token_matrices_query(spark, sf):
     rows = queries.op7_token_matrices(spark, sf)
     assert rows.count() > 0 and rows.columns == queries.op7_token_matrices(spark, sf).columns
+
+
+def test_long_scripts_are_bounded_in_memory():
+    import tracemalloc
+
+    rng = random.Random(12)
+    turns = []
+    for k in range(4000):
+        v, c = rng.random(), "ua"[k % 2]
+        turns += [] if v < 0.05 else ["x" if v < 0.15 else c.upper() if v < 0.2 else "u" if v < 0.25 else c]
+    tracemalloc.start()
+    cost, audit = conversation_repair.Table("".join(turns)).least()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20 and audit.count("D") >= turns.count("x")
+    # the audit gives the cost and a string of the grammar
+    letters, i, made, total = "".join(turns), 0, "", 0
+    for e in audit:
+        x = "" if e == "I" else letters[i]
+        i += e != "I"
+        total += {"I": 3, "D": 4, "R": 3, "K": 0}[e] + 3 * (e in "KR" and x.isupper())
+        if e != "D":
+            made += x.lower() if e == "K" else "ua"[len(made.lstrip("s")) % 2]
+    assert total == cost and re.fullmatch("(s?(ua)+)?", made) and i == len(letters)
