@@ -126,7 +126,8 @@ def a06(spark, d):
     return out.select("time", "k", (rn("temp", 3) + 0.0).alias("temp"))
 
 
-_WMEAN = "round(sum(temp * {w}) / nullif(sum(if(temp IS NOT NULL, {w}, NULL)), 0) + 1e-9, 6) + 0.0 AS temp"
+_MEAN = "sum(temp * {w}) / nullif(sum(if(temp IS NOT NULL, {w}, NULL)), 0)"
+_WMEAN = f"round({_MEAN} + 1e-9, 6) + 0.0 AS temp"
 
 
 @query("a07_hmean_weighted", sql("node_area thick field_n", f"SELECT time, k, {_WMEAN.format(w='w_A')} FROM wf GROUP BY time, k", _WEIGHTED))

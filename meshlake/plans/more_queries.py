@@ -12,7 +12,7 @@ from meshlake.operators import regions as S
 from meshlake.operators import transect as T
 from meshlake.operators import windows as W
 from meshlake.plans import fixtures as X
-from meshlake.plans.field_queries import _WEIGHTED, _WMEAN, _weighted
+from meshlake.plans.field_queries import _MEAN, _WEIGHTED, _weighted
 from meshlake.plans.fixtures import with_tables as sql
 from meshlake.plans.mesh_queries import _HITS, REGIONS
 from meshlake.plans.registry import query, r6, rn, rounded
@@ -117,8 +117,8 @@ def u03(spark, d):
 
 
 @query("d14_section_anomaly", sql("node_area thick field_n", f"""SELECT k, lat, round(a.temp - b.temp + 1e-9, 6) + 0.0 AS temp FROM
-  (SELECT k, round_even(lat / 4, 0) * 4 + 0.0 AS lat, {_WMEAN.format(w='w_A').replace('round_even(', '(').replace(', 6)', ')')} FROM wf WHERE year(time) >= 1998 GROUP BY 1, 2) a JOIN
-  (SELECT k, round_even(lat / 4, 0) * 4 + 0.0 AS lat, {_WMEAN.format(w='w_A').replace('round_even(', '(').replace(', 6)', ')')} FROM wf WHERE year(time) < 1998 GROUP BY 1, 2) b USING (k, lat)""", _WEIGHTED))
+  (SELECT k, round_even(lat / 4, 0) * 4 + 0.0 AS lat, {_MEAN.format(w='w_A')} AS temp FROM wf WHERE year(time) >= 1998 GROUP BY 1, 2) a JOIN
+  (SELECT k, round_even(lat / 4, 0) * 4 + 0.0 AS lat, {_MEAN.format(w='w_A')} AS temp FROM wf WHERE year(time) < 1998 GROUP BY 1, 2) b USING (k, lat)""", _WEIGHTED))
 def d14(spark, d):
     f, m = _weighted(spark, d)
     f = f.withColumn("w_A", F.col("w_A") * 1e-10).join(m.nodes.select("node", "lat"), "node")
