@@ -8,6 +8,7 @@ from meshlake.operators import mesh as G
 from meshlake.operators import regions as S
 from meshlake.operators import topology as Y
 from meshlake.plans import fixtures as X
+from meshlake.plans.contour_queries import contour_sql, recursive
 from meshlake.plans.fixtures import with_tables as sql
 from meshlake.plans.mesh_queries import REGIONS, _inside_sql, _ring
 from meshlake.plans.registry import query, rounded
@@ -19,7 +20,15 @@ def g14(spark, d):
     return Y.boundary_rings(X.mesh(spark, d)).where("seq > 0").groupBy("ring").agg(F.count("*").alias("n"))
 
 
-@query("g15_split_rings")
+_SPLIT = contour_sql("elems") + """,
+  points AS (SELECT c.ring, c.seq, c.n, lon AS x, lat AS y, coalesce(CAST(abs(lon - lag(lon) OVER (PARTITION BY ring ORDER BY seq)) > 180 AS INTEGER), 0) AS jump FROM contour c JOIN nodes USING (node)),
+  jumps AS (SELECT *, min(if(jump = 1, seq, NULL)) OVER (PARTITION BY ring) AS first, max(if(seq = n, jump, 0)) OVER (PARTITION BY ring) AS back FROM points),
+  turned AS (SELECT ring, first, if(first IS NULL, seq, (seq - first + n) % n) AS seq, if(seq = 0, back, jump) AS jump, x, y FROM jumps WHERE first IS NULL OR seq < n),
+  pieces AS (SELECT ring, seq, x, y, sum(jump) OVER (PARTITION BY ring ORDER BY seq ROWS UNBOUNDED PRECEDING) - if(first IS NULL, 0, 1) AS part FROM turned),
+  sized AS (SELECT *, count(*) OVER (PARTITION BY ring, part) AS size FROM pieces)"""
+
+
+@query("g15_split_rings", recursive(sql("elems", "SELECT ring, CAST(part AS INTEGER) AS part, CAST(seq AS INTEGER) AS seq, round(x + 1e-9, 6) + 0.0 AS x, round(y + 1e-9, 6) + 0.0 AS y FROM sized WHERE size > 3", _SPLIT)))
 def g15(spark, d):
     m = X.mesh(spark, d)
     return rounded(Y.split_rings(Y.boundary_rings(m), m.nodes), "x", "y")
