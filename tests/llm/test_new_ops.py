@@ -434,11 +434,14 @@ def test_empty_texts_come_with_every_block(spark, tmp_path):
     assert {(r.source, r.doc_id) for r in taken.collect()} >= {("a", 1), ("a", 3), ("a", 4), ("empty", 10), ("empty", 11), (None, 20)}
 
 
-# ---------------------------------------------------------------- personal data in forms that the texts do not hold
+# ---------------------------------------------------------------- personal data in styles that the texts do not hold
 
 
 def foreign_forms(rng):
-    """Spans in forms, with names, hosts and numbers, that neither the texts nor the training hold, and numbers that are none."""
+    """Spans with names, hosts and numbers in styles that the texts do not hold, and numbers that are none.
+
+    Signs in capitals are not drawn in training; ``[.]``, ``/`` and ``.`` between groups are.
+    """
     from meshlake.llm import pii
 
     word = lambda low, high: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
