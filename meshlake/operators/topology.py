@@ -22,7 +22,18 @@ def stored(df: DataFrame) -> DataFrame:
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for t in tables:
+        if (path := getattr(t, "_stored_path", None)) is not None:
+            spark = t.sparkSession
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def ring_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -33,7 +44,7 @@ def ring_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = edges.select(F.col("n0").alias("node"), F.col("n1").alias("other")).unionByName(edges.select(F.col("n1").alias("node"), F.col("n0").alias("other")))
     both = stored(both.distinct())
-    labels = stored(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("ring")))
+    labels = table = stored(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("ring")))
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("other"), F.col("ring").alias("r")), "other").groupBy("node").agg(F.min("r").alias("r"))
         hooked = labels.join(near, "node").select("node", "ring", F.least("ring", "r").alias("new"))
@@ -42,9 +53,11 @@ def ring_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = hooked.join(roots, "node", "left").select("node", "ring", F.least("new", F.coalesce("root", "new")).alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("up"))
         new = stored(step.join(jump, "new", "left").select("node", "ring", F.least("new", F.coalesce("up", "new")).alias("new")))
+        discard(table)
+        table, labels = new, new.select("node", F.col("new").alias("ring"))
         if new.where("new <> ring").isEmpty():
-            return new.select("node", F.col("new").alias("ring"))
-        labels = new.select("node", F.col("new").alias("ring"))
+            discard(both)
+            return labels
     raise RuntimeError("ring labels did not settle")
 
 
@@ -85,19 +98,22 @@ def ring_order(edges: DataFrame, elems: DataFrame | None = None, max_rounds: int
     with the same smallest node have ``loop`` 1, 2 .. .
     """
     both = F.array(F.struct(F.col("n0").alias("at"), F.col("n1").alias("to")), F.struct(F.col("n1").alias("at"), F.col("n0").alias("to")))
-    ends = stored(edges.select(F.explode(both).alias("e")).select("e.*"))
-    ends = _with_fans(ends, elems) if elems is not None else ends.withColumn("fan", F.lit(0).cast("long"))
+    listed = stored(edges.select(F.explode(both).alias("e")).select("e.*"))
+    ends = _with_fans(listed, elems) if elems is not None else listed.withColumn("fan", F.lit(0).cast("long"))
     w = Window.partitionBy("at").orderBy("fan", "to")
     partner = F.when(F.row_number().over(w) % 2 == 1, F.lead("to").over(w)).otherwise(F.lag("to").over(w))
     darts = ends.withColumn("partner", partner).select(_code(F.col("to"), F.col("at")).alias("dart"), _code(F.col("at"), F.col("partner")).alias("ptr"))
-    state, reach = stored(darts.select("dart", "ptr", F.col("dart").alias("key"), F.lit(0).cast("long").alias("ahead"))), 1
+    state = table = stored(darts.select("dart", "ptr", F.col("dart").alias("key"), F.lit(0).cast("long").alias("ahead")))
+    discard(listed)
+    reach = 1
     for _ in range(max_rounds):
         there = state.select(F.col("dart").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("key").alias("key2"), F.col("ahead").alias("ahead2"))
         lower = F.col("key2") < F.col("key")
         new = stored(state.join(there, "ptr").select(
             "dart", F.col("ptr2").alias("ptr"), F.least("key", "key2").alias("key"), F.when(lower, F.col("ahead2") + reach).otherwise(F.col("ahead")).alias("ahead"), lower.alias("moved")
         ))
-        state, reach = new.drop("moved"), 2 * reach
+        discard(table)
+        table, state, reach = new, new.drop("moved"), 2 * reach
         if new.where("moved").isEmpty():
             break
     else:
