@@ -15,7 +15,7 @@ Method
 Partitioning
     A vector goes to its leaf of every tree, that is to ``trees`` tasks; a query goes to those blocks of leaves only that hold a
     leaf it visits, once to each. A block holds about ``BLOCK_ROWS`` vectors; where the sample is too small for so many leaves, blocks are
-    dealt further by hash and a query meets all slices. Within a task a matrix product per leaf finds who can be among the best,
+    dealt further by hash and a query meets all slices. A block takes its queries in turns of about ``QUERY_ROWS``. Within a task a matrix product per leaf finds who can be among the best,
     and the exact sum decides. A vector that many rows share is indexed for the ``k + 1`` smallest ids only: the others cannot be
     among the ``k`` best of any query.
 
@@ -42,8 +42,8 @@ from meshlake.llm.topk_search import BestLists
 
 #: Vectors of a leaf aimed at, and vectors that a leaf has in the sample at least.
 LEAF_ROWS, LEAF_SAMPLE = 32, 16
-#: Vectors that a task holds.
-BLOCK_ROWS = 65_536
+#: Vectors, and queries, that a task holds; members and queries of one product.
+BLOCK_ROWS, QUERY_ROWS, SIDE = 65_536, 65_536, 1024
 #: Bounds of the sample that the forest is fitted on, and the queries in it that measure recall.
 SAMPLE_ROWS, SAMPLE_BYTES, PROBES = 65_536, 64 << 20, 256
 #: Found pairs that a task keeps before it merges them into the best.
@@ -256,8 +256,8 @@ def _compare(k: int):
         for name in np.unique(visited):
             a, b = np.searchsorted(leaf, [name, name + 1])
             c, d = np.searchsorted(visited, [name, name + 1])
-            for s in range(a, b, 1024):
-                here, mine = slice(s, min(s + 1024, b)), who[c:d]
+            for s, first in ((s, first) for s in range(a, b, SIDE) for first in range(c, d, 4 * SIDE)):
+                here, mine = slice(s, min(s + SIDE, b)), who[first : min(first + 4 * SIDE, d)]
                 near = (q[mine] @ x[here].T >= (bar - slack)[mine][:, None]) & (ids[here][None, :] != query_ids[mine][:, None])
                 row, column = np.nonzero(near)
                 for p in range(0, len(row), PENDING):
@@ -324,8 +324,13 @@ def nearest(
     key = ["dim", "tree", "block", "slice"]
     asked = _vectors(queries, id_col, vector_col).where(F.col("dim").isin(list(sizes)))
     placed = known.mapInArrow(_place(layouts, kind), _PLACED.format(f"array<{width}>"))
-    routed = asked.mapInArrow(_route(layouts, kind), _ROUTED.format(f"array<{width}>"))
-    found = placed.groupBy(*key).cogroup(routed.groupBy(*key)).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
+    routed = scratch.keep(asked.mapInArrow(_route(layouts, kind), _ROUTED.format(f"array<{width}>")))
+    # a block that many queries visit takes them in turns, its members once each; members of blocks that none visits stay behind
+    turns = routed.groupBy(*key).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("turns"))
+    placed = placed.join(turns, key).withColumn("turn", F.explode(F.expr("sequence(0, turns - 1)"))).drop("turns")
+    routed = routed.join(turns, key).withColumn("turn", F.expr("cast(pmod(xxhash64(vec_id, vector), turns) as int)")).drop("turns")
+    by = [*key, "turn"]
+    found = placed.groupBy(*by).cogroup(routed.groupBy(*by)).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

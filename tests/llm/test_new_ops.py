@@ -154,6 +154,9 @@ def test_query_recall(spark, sf):
 def test_clusters_need_few_leaves(spark, monkeypatch, block):
     monkeypatch.setattr(forest_search, "BLOCK_ROWS", block)
     monkeypatch.setattr(forest_search, "SAMPLE_ROWS", 1024 if block < 1000 else 65_536)
+    if block < 1000:
+        monkeypatch.setattr(forest_search, "QUERY_ROWS", 7)
+        monkeypatch.setattr(forest_search, "SIDE", 8)
     rng = np.random.RandomState(8)
     centres = rng.standard_normal((60, 16)) * 3
     x = (centres[rng.randint(0, 60, 3000)] + rng.standard_normal((3000, 16)) * 0.15).astype(np.float32)
