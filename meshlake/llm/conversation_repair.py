@@ -11,8 +11,8 @@ Method
 
 Partitioning
     One shuffle of the turns, by conversation; faults come from windows on that partitioning. The table sees one letter a turn
-    and holds as many rows of the band as the square root of the number of turns; scripts of equal letters are worked out once a task. A conversation is repaired as a whole, so its turns
-    come together in one task, as its digest demands; its rows are never multiplied.
+    and holds as many rows of the band as the square root of the number of turns; scripts of equal letters are worked out once a task. Texts are
+    not gathered: edits meet their turns by an equi-join on (conversation, place), and a digest reads a conversation's turns one batch after the other.
 
 Defined results
     Null roles and texts count as one space. Turns are taken by ``turn``, nulls first, equal ones by role and text; equal rows are
@@ -23,14 +23,16 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import bound_batches
+from meshlake.llm.common import Scratch
 
 #: Costs of another role, a new turn, a turn left out, and a truncated turn that stays.
 REROLE, INSERT, DELETE, TRUNCATED = 3, 3, 4, 3
@@ -205,14 +207,15 @@ def _scripts(letters: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"cost": [c for c, _ in scripts], "audit": [a for _, a in scripts], "used": [u for u, _ in moves], "roles": [r for _, r in moves]})
 
 
-def repair(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``conv_col, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired``: one row per conversation.
+def repair(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(conversations, repaired)``: what was found and done, and the repaired turns.
 
-    ``gaps`` counts missing turn numbers, ``illegal`` neighbours that the grammar does not allow, ``blank``, ``duplicate`` and
-    ``truncated`` turns with that fault. ``audit`` has one letter per edit (Keep, Rerole, Delete, Insert) in order; ``repaired`` is the
-    array of ``(role, text)``.
+    ``conversations(conv_col, gaps, blank, duplicate, truncated, illegal, cost, audit)`` has one row per conversation: ``gaps`` counts
+    missing turn numbers, ``illegal`` neighbours that the grammar does not allow, ``blank``, ``duplicate`` and ``truncated`` turns with
+    that fault; ``audit`` has one letter per edit (Keep, Rerole, Delete, Insert) in order. ``repaired(conv_col, place, role, text)`` has
+    one row per turn of the repaired conversation, with places from 0; a conversation without turns has none.
     """
-    bound_batches(turns.sparkSession)
+    scratch = Scratch(turns.sparkSession, "repair")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
     # all windows are on (conv, ..) and share one exchange
@@ -226,15 +229,57 @@ def repair(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     )
     again = F.row_number().over(Window.partitionBy("conv", "role", "text").orderBy("place")) > 1
     fault = F.when(~F.col("text").rlike(SOLID), "b").when(again, "d").when(~F.col("text").rlike(STOPPED), "t").otherwise("")
-    rows = rows.withColumn("fault", fault)
     own = F.when(F.col("initial").isin("s", "u", "a"), F.col("initial")).otherwise("o")
     letter = F.when(F.col("fault").isin("b", "d"), "x").when(F.col("fault") == "t", F.upper(own)).otherwise(own)
+    rows = scratch.keep(rows.withColumn("fault", fault).withColumn("letter", letter).drop("initial"))
     count = lambda kind: F.sum((F.col("fault") == kind).cast("long"))
+    # of the turns themselves only letters are gathered
     held = rows.groupBy("conv").agg(
-        F.sort_array(F.collect_list(F.struct("place", letter.alias("letter"), "role", "text"))).alias("turns"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "letter"))), lambda t: t["letter"]), "").alias("letters"),
         F.coalesce(F.max("turn") - F.min("turn") + 1 - F.sum(F.col("fresh").cast("long")), F.lit(0).cast("long")).alias("gaps"),
         count("b").alias("blank"), count("d").alias("duplicate"), count("t").alias("truncated"), F.sum(F.col("illegal").cast("long")).alias("illegal"),
     )
-    done = held.withColumn("script", F.pandas_udf(_scripts, "cost long, audit string, used array<int>, roles array<string>")(F.array_join("turns.letter", "")))
-    made = F.expr("transform(script.used, (u, i) -> named_struct('role', coalesce(script.roles[i], turns[u].role), 'text', if(u < 0, '', turns[u].text)))")
-    return done.select(F.col("conv").alias(conv_col), "gaps", "blank", "duplicate", "truncated", "illegal", "script.cost", "script.audit", made.alias("repaired"))
+    scripts = F.pandas_udf(_scripts, "cost long, audit string, used array<int>, roles array<string>")
+    done = scratch.keep(held.withColumn("script", scripts("letters")).drop("letters"))
+    made = done.select("conv", F.posexplode(F.arrays_zip("script.used", "script.roles")).alias("at", "e")).select("conv", "at", F.col("e.used").alias("used"), F.col("e.roles").alias("due"))
+    made = made.withColumn("own", F.col("used") + 1)
+    known = rows.select(F.col("conv").alias("c"), F.col("place").alias("p"), "role", "text")
+    made = made.join(known, F.col("conv").eqNullSafe(F.col("c")) & (F.col("own") == F.col("p")), "left")
+    repaired = made.select(F.col("conv").alias(conv_col), F.col("at").alias("place"), F.coalesce("due", "role").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return done.select(F.col("conv").alias(conv_col), "gaps", "blank", "duplicate", "truncated", "illegal", "script.cost", "script.audit"), repaired
+
+
+def _digests(batches):
+    """Rows sorted by conversation and place as one SHA-256 per conversation of its lines ``role:text``."""
+    now, digest = None, None
+    keys, out = [], []
+
+    def close() -> None:
+        if digest is not None:
+            keys.append(now)
+            out.append(digest.hexdigest())
+
+    for batch in batches:
+        for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv", "role", "text")), strict=True):
+            if digest is None or conv != now:
+                close()
+                now, digest = conv, hashlib.sha256(f"{role}:{text}".encode())
+            else:
+                digest.update(f"\n{role}:{text}".encode())
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("conv").type), pa.array(out)], ["conv", "digest"])
+            keys, out = [], []
+        kind = batch.schema.field("conv").type
+    close()
+    if keys:
+        yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(out)], ["conv", "digest"])
+
+
+def digests(repaired: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """``conv_col, repaired_sha256`` of the lines ``role:text`` of repaired turns, joined by line feeds.
+
+    A conversation's turns pass through one task in their order, as such a digest demands; the task holds one batch of them.
+    """
+    rows = repaired.select(F.col(conv_col).alias("conv"), "place", "role", "text").repartition("conv").sortWithinPartitions("conv", "place")
+    kind = rows.schema["conv"].dataType.simpleString()
+    return rows.mapInArrow(_digests, f"conv {kind}, digest string").select(F.col("conv").alias(conv_col), F.col("digest").alias("repaired_sha256"))

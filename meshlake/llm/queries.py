@@ -199,21 +199,21 @@ def op12_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from meshlake.llm.conversation_repair import repair
+    from meshlake.llm.conversation_repair import digests, repair
 
     whole = _table(spark, sf_dir, "conversations").select("conv_id", "turn", *(F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")))
     name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
     rows = whole.withColumn("d", F.crc32(name) % 20).where("d <> 0")
     rows = rows.withColumn("text", F.when(F.col("d") == 1, "").when(F.col("d") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")))
     rows = rows.withColumn("role", F.when(F.col("d") == 4, "user").otherwise(F.col("role"))).withColumn("copy", F.explode(F.expr("if(d = 3, array(0, 1), array(0))")))
-    done = repair(rows).withColumnRenamed("conv_id", "found")
-    said = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    found, repaired = repair(rows)
+    found = found.withColumnRenamed("conv_id", "found")
+    said = digests(repaired).withColumnRenamed("conv_id", "said")
     ids = whole.select("conv_id").distinct()
     counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
-    # conversations that lost all their rows are empty
-    return ids.join(done, F.col("conv_id").eqNullSafe(F.col("found")), "left").select(
-        "conv_id", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(said, F.lit("")), 256).alias("repaired_sha256")
-    )
+    # conversations that lost all their rows are empty, as is the digest of those whose turns were all left out
+    out = ids.join(found, F.col("conv_id").eqNullSafe(F.col("found")), "left").join(said, F.col("conv_id").eqNullSafe(F.col("said")), "left")
+    return out.select("conv_id", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
 def queries() -> dict:

@@ -296,7 +296,12 @@ def test_repair_odd_rows(spark, tmp_path):
     frame.write.parquet(f"{tmp_path}/conversations.parquet")
     got = repairs(queries.op13_conversation_repair(spark, str(tmp_path)))
     assert got == expected_repairs(rows)
-    assert conversation_repair.repair(frame.limit(0)).count() == 0
+    found, repaired = conversation_repair.repair(frame.limit(0))
+    assert found.count() == 0 and repaired.count() == 0 and conversation_repair.digests(repaired).count() == 0
+    # the turns themselves, as rows
+    found, repaired = conversation_repair.repair(frame.where("conv_id = 100"))
+    assert [(r.place, r.role, r.text) for r in repaired.orderBy("place").collect()] == [(t, ("user", "assistant")[t % 2], f"Turn {t}.") for t in range(220)]
+    assert found.first().audit == "K" * 220
 
 
 # ---------------------------------------------------------------- tool calls
