@@ -10,7 +10,7 @@ Method
        of the format (lengths, digit groups, gaps, checks) and of ``CONTEXT`` characters on either side.
     3. The trees are fitted on a bounded sample of texts: for each kind ``SAMPLE_OF_KIND`` texts that hold base spans of it,
        found over all data, and ``SAMPLE`` of all texts, each with the smallest hashes; of each text at most ``SPANS_OF_TEXT``
-       places. A base span, or more often a made-up one with a name, host or number of any style, is rewritten with other signs,
+       places, and around each place ``WRONG_OF_PLACE`` wrong proposals. A base span, or more often a made-up one with a name, host or number of any style, is rewritten with other signs,
        gaps and groups or put beside another number; in what the generators then propose there, the span itself is positive
        and all else negative. Texts without base spans take made-up ones. No feature tells names or values, only forms, checks
        and context, so that the house style of the texts is not what is learnt. Negative are further all that the generators
@@ -53,6 +53,8 @@ BASE = {
 SAMPLE = 2000
 SAMPLE_OF_KIND = 1000
 SPANS_OF_TEXT = 8
+#: Negative examples drawn from what is proposed around one place.
+WRONG_OF_PLACE = 3
 PRECISION = 0.99
 CONTEXT = 24
 #: Candidates of one text whose features are held at once.
@@ -528,10 +530,12 @@ def examples(text: str) -> Iterator[list[float]]:
     def judged(whole: str, low: int, high: int, right: tuple[str, int, int] | None, kinds=KINDS):
         """Candidates that touch ``low .. high`` and no base span; positive is the one that is ``right``."""
         taken = Taken((s, e) for _, s, e in base_spans(whole))
-        for part, found in ((0.0, more_candidates(whole)), (1.0, part_candidates(whole))):
-            for c in found:
-                if c[0] in kinds and c[1] < high and c[2] > low and taken.free(c[1], c[2]):
-                    yield [KINDS.index(c[0]), part, float(c == right), half, *features(whole, *c)]
+        found = [(part, c) for part, more in ((0.0, more_candidates(whole)), (1.0, part_candidates(whole))) for c in more if c[0] in kinds and c[1] < high and c[2] > low and taken.free(c[1], c[2])]
+        wrong = [k for k, (_, c) in enumerate(found) if c != right]
+        drawn = set(rng.choice(wrong, min(len(wrong), WRONG_OF_PLACE), replace=False).tolist()) if wrong else set()
+        for k, (part, c) in enumerate(found):
+            if c == right or k in drawn:
+                yield [KINDS.index(c[0]), part, float(c == right), half, *features(whole, *c)]
 
     places = base_spans(text)
     if len(places) > SPANS_OF_TEXT:
@@ -539,13 +543,13 @@ def examples(text: str) -> Iterator[list[float]]:
     for kind, s, e in places:
         left, right = text[max(0, s - 3 * CONTEXT) : s], text[e : e + 3 * CONTEXT]
         at = len(left)
-        made = [(left, _rewritten(rng, kind, text[s:e] if rng.rand() < 0.2 else _made_up(rng, kind)), right) for _ in range(3)]
+        made = [(left, _rewritten(rng, kind, text[s:e] if rng.rand() < 0.2 else _made_up(rng, kind)), right) for _ in range(2)]
         if kind != "email":
             before, after = _beside(rng, kind)
             made.append((left + before, text[s:e] if rng.rand() < 0.5 else _made_up(rng, kind), after + right))
         for a, b, c in made:
             yield from judged(a + b + c, at, len(a + b + c) - len(right), (kind, len(a), len(a + b)))
-        for _ in range(3):
+        for _ in range(2):
             decoy = _decoy(rng, kind)
             yield from judged(left + decoy + right, at, at + len(decoy), None)
     for kind in KINDS if not places else ():
@@ -616,6 +620,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, sample
     made = chosen.mapInArrow(_examples_of, "h long, n int, x array<float>").toArrow()
     order = np.lexsort((made.column("n").to_numpy(), made.column("h").to_numpy()))
     values = made.column("x").combine_chunks().flatten().to_numpy()
+    del made
     return learn(values.reshape(len(order), -1)[order] if len(order) else np.zeros((0, HEAD), np.float32))
 
 
