@@ -269,3 +269,13 @@ def test_split_rings_start_at_the_crossing(spark):
     # a crossing between the last point and the first
     rings = spark.createDataFrame([(0, k, (k + 2) % 9) for k in range(10)], "ring int, seq int, node int")
     assert sorted(r.part for r in topology.split_rings(rings, nodes).collect()) == [0] * 4 + [1] * 5
+
+
+@pytest.mark.parametrize("name", ["d04_density_overturning", "i12_density_to_depth", "j01_nodes_to_elems", "j02_elems_to_nodes", "g18_elem_cluster", "g19_basin_from_boxes"])
+def test_no_mesh_table_is_broadcast(spark, sf, name):
+    """Only levels, classes and single rows go through the driver; sizes of exploded and stored tables are estimated too low for that."""
+    from meshlake.plans import catalog
+
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan()
+    joins = [line for line in plan.toString().splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in joins if any(f"[{key}#" in line for key in ("node", "elem", "n0", "n1", "n2", "e", "n", "ne"))]
