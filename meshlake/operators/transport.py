@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlake.operators.mesh import Mesh, elem_area, elem_node, node_area, thickness
+from meshlake.operators.mesh import Mesh, elem_area, elem_node, large, node_area, thickness
 from meshlake.operators.reduce import edge_sides, lat_bin_sum
 from meshlake.operators.regions import crossing_edges
 from meshlake.operators.windows import cumulate
@@ -25,31 +25,33 @@ def zmoc(field: DataFrame, mesh: Mesh, cells: DataFrame | None = None, *, value:
     if on_elems:
         joined = elem_node(mesh.elems).join(field, "node").groupBy("elem", *by).agg((F.coalesce(F.sum(value), F.lit(0.0)) / 3).alias(value))
         place = elem_node(mesh.elems).join(mesh.nodes.select("node", "lat"), "node").groupBy("elem").agg(F.avg("lat").alias("lat"))
-        rows = joined.join(mesh.elems.select("elem", "e_iz"), "elem").where("k < e_iz").join(elem_area(mesh).withColumnRenamed("area", "w_A"), "elem").join(place, "elem")
+        rows = joined.join(mesh.elems.select("elem", "e_iz"), "elem").where("k < e_iz").join(elem_area(mesh).withColumnRenamed("area", "w_A"), "elem").join(large(place), "elem")
         key = "elem"
     else:
         rows = field.join(mesh.nodes.select("node", "lat"), "node").join(node_area(mesh), ["node", "k"])
         key = "node"
     if cells is not None:
-        rows = rows.join(cells.select(key).distinct(), key, "left_semi")
+        rows = rows.join(large(cells.select(key).distinct()), key, "left_semi")
     sums = lat_bin_sum(rows, F.col(value) * F.col("w_A") * SV, dlat, by, "moc")
     return cumulate(sums, "lat", "moc", by, descending=True, negate=True)
 
 
-def dmoc_inputs(fluxes: DataFrame, classes: DataFrame, area: DataFrame, mesh: Mesh, terms: list[str]) -> DataFrame:
+def dmoc_inputs(fluxes: DataFrame, classes: DataFrame, area: DataFrame, mesh: Mesh, terms: list[str], plain: tuple = ()) -> DataFrame:
     """Transformation terms ``(node, nd, terms..)`` on elements, ``elem, nd, terms..``: per node area, averaged, times element area.
 
     Surface terms are fluxes per class width times 1024; all terms come in one table, so their union of keys is one aggregate.
+    Columns named in ``plain`` go the same way as mere means over the corners; with them comes the element's ``area``.
     """
-    rows = fluxes.join(F.broadcast(classes.select("nd", "w_dens")), "nd").join(area, "node")
-    rows = rows.select("node", "nd", *((F.col(t) / F.col("w_A") * (1024 / F.col("w_dens") if t.startswith("srf") else F.lit(1.0))).alias(t) for t in terms))
-    means = elem_node(mesh.elems).join(rows, "node").groupBy("elem", "nd").agg(*(F.avg(t).alias(t) for t in terms))
-    return means.join(elem_area(mesh), "elem").select("elem", "nd", *((F.col(t) * F.col("area")).alias(t) for t in terms))
+    rows = fluxes.join(F.broadcast(classes.select("nd", "w_dens")), "nd").join(large(area), "node")
+    rows = rows.select("node", "nd", *((F.col(t) / F.col("w_A") * (1024 / F.col("w_dens") if t.startswith("srf") else F.lit(1.0))).alias(t) for t in terms), *plain)
+    means = elem_node(mesh.elems).join(rows, "node").groupBy("elem", "nd").agg(*(F.avg(t).alias(t) for t in [*terms, *plain]))
+    more = [*plain, "area"] if plain else []
+    return large(means.join(elem_area(mesh), "elem").select("elem", "nd", *((F.col(t) * F.col("area")).alias(t) for t in terms), *more))
 
 
 def dmoc(inputs: DataFrame, place: DataFrame, terms: list[str], dlat: float = 1.0) -> DataFrame:
     """Overturning in density space in Sv per ``lat, nd``: sums per bin, from north; ``div`` terms also from dense to light."""
-    rows = inputs.join(place, "elem")
+    rows = large(inputs).join(large(place), "elem")
     bins = rows.withColumn("lat", F.rint(F.col("lat") / dlat) * dlat).groupBy("lat", "nd").agg(*((F.coalesce(F.sum(t), F.lit(0.0)) * SV).alias(t) for t in terms))
     for t in terms:
         bins = cumulate(bins, "lat", t, ["nd"], descending=True, negate=True)
@@ -63,7 +65,7 @@ def density_bins(inputs: DataFrame, place: DataFrame, terms: list[str], means: l
 
     Latitudes are dense from the lowest to the highest bin; sums of empty bins are 0 and their means missing.
     """
-    rows = inputs.join(place, "elem").withColumn("i", F.rint(F.col("lat") / dlat).cast("int"))
+    rows = large(inputs).join(large(place), "elem").withColumn("i", F.rint(F.col("lat") / dlat).cast("int"))
     there = F.when(F.col("h") != 0, F.col("w_A"))
     sums = rows.groupBy("i", "nd").agg(*(F.coalesce(F.sum(t) * SV, F.lit(0.0)).alias(t) for t in terms), *(F.try_divide(F.sum(F.col(m) * there), F.sum(there)).alias(m) for m in means))
     ends = sums.agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
@@ -137,8 +139,8 @@ def crossed_heat(velocity: DataFrame, temp: DataFrame, edges: DataFrame, mesh: M
     fields are gathered at the edges by equi-joins. A missing right side or value adds nothing.
     """
     sides = _crossed(edges, axis, first, step, last, guard, []).where("elem is not null")
-    ends = [temp.select(F.col("node").alias(f"n{k}"), "k", F.col("temp").alias(f"t{k}")) for k in range(2)]
-    rows = sides.join(velocity, "elem").join(ends[0], ["n0", "k"]).join(ends[1], ["n1", "k"]).join(F.broadcast(thickness(mesh.levels)), "k")
+    ends = [large(temp).select(F.col("node").alias(f"n{k}"), "k", F.col("temp").alias(f"t{k}")) for k in range(2)]
+    rows = sides.join(large(velocity), "elem").join(ends[0], ["n0", "k"]).join(ends[1], ["n1", "k"]).join(F.broadcast(thickness(mesh.levels)), "k")
     flux = (F.col("u") * F.col("a") + F.col("v") * F.col("b")) * (F.col("t0") + F.col("t1")) * 0.5 * F.col("w_z")
     return rows.groupBy("bin").agg((F.coalesce(F.sum(flux), F.lit(0.0)) * (-RHO0 * CP * PW)).alias("heat"))
 
@@ -152,7 +154,7 @@ def barotropic_streamfunction(velocity: DataFrame, edges: DataFrame, mesh: Mesh,
     sides = _crossed(edges, "x", lon0 + dlon / 2, dlon, lon0 + dlon * (nlon - 0.5), 50.0, ["y0", "y1"]).where("elem is not null")
     sides = sides.withColumn("iy", (F.ceil(((F.col("y0") + F.col("y1")) / 2 - lat0) / dlat) - 1).cast("int")).where(F.col("iy").between(0, nlat - 1))
     sides = sides.withColumn("ix", F.rint((F.col("bin") - lon0) / dlon - 0.5).cast("int"))
-    rows = sides.join(velocity, "elem").join(F.broadcast(thickness(mesh.levels)), "k")
+    rows = sides.join(large(velocity), "elem").join(F.broadcast(thickness(mesh.levels)), "k")
     flux = (F.col("u") * F.col("a") + F.col("v") * F.col("b")) * F.col("w_z")
     sums = rows.groupBy("ix", "iy").agg((F.coalesce(F.sum(flux), F.lit(0.0)) * -SV).alias("psi"))
     spark = velocity.sparkSession
@@ -167,5 +169,5 @@ def barotropic_streamfunction(velocity: DataFrame, edges: DataFrame, mesh: Mesh,
 
 def bottom_by_latitude(elems: DataFrame, place: DataFrame, levels: DataFrame, dlat: float = 1.0) -> DataFrame:
     """``lat, botmax, botmean, botmaxi``: deepest and mean bottom depth and the deepest bottom level of the elements of a bin."""
-    rows = elems.select("elem", "e_iz").join(place.select("elem", "lat"), "elem").join(levels.select(F.col("k").alias("e_iz"), F.abs("zlev").alias("z")), "e_iz")
+    rows = elems.select("elem", "e_iz").join(large(place.select("elem", "lat")), "elem").join(F.broadcast(levels.select(F.col("k").alias("e_iz"), F.abs("zlev").alias("z"))), "e_iz")
     return rows.groupBy((F.rint(F.col("lat") / dlat) * dlat).alias("lat")).agg(F.max("z").alias("botmax"), F.avg("z").alias("botmean"), F.max("e_iz").alias("botmaxi"))

@@ -108,9 +108,8 @@ def d04_full(spark, d):
     rows = m.nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("nd"))
     value = lambda a, b, mod, shift: (F.col("node") * a + F.col("nd") * b) % mod + float(shift)
     rows = rows.select("node", "nd", *(value(*v).alias(k) for k, v in TERMS.items()))
-    inputs = D.dmoc_inputs(rows, X.dens_levels(spark), G.node_area(m, per_level=False), m, _FLUXES).withColumnsRenamed({c: c.removeprefix("srf_") for c in _FLUXES})
-    shape = G.elem_node(m.elems).join(rows.select("node", "nd", "h", "z"), "node").groupBy("elem", "nd").agg(F.greatest(F.avg("h"), F.lit(0.0)).alias("h"), F.avg("z").alias("z"))
-    inputs = inputs.join(shape, ["elem", "nd"]).join(G.elem_area(m).withColumnRenamed("area", "w_A"), "elem")
+    inputs = D.dmoc_inputs(rows, X.dens_levels(spark), G.node_area(m, per_level=False), m, _FLUXES, ("h", "z"))
+    inputs = inputs.withColumnsRenamed({c: c.removeprefix("srf_") for c in _FLUXES} | {"area": "w_A"}).withColumn("h", F.greatest("h", F.lit(0.0)))
     place = G.elem_node(m.elems).join(m.nodes.select("node", "lat"), "node").groupBy("elem").agg(F.avg("lat").alias("lat"))
     out = D.density_overturning(inputs, place, dlat=4.0)
     names = ["moc", "fh", "fw", "fr", "srf", "inner"]
