@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlake.operators.mesh import Mesh, centroids, elem_node
+from meshlake.operators.mesh import Mesh, centroids, elem_node, large
 
 
 def boxes_to_regions(spark: SparkSession, boxes: dict[str, list]) -> DataFrame:
@@ -66,7 +66,7 @@ def in_regions(points: DataFrame, regions: DataFrame, key: str, x: str = "x", y:
     """
     near = points.select(key, F.col(x).alias("px"), F.col(y).alias("py")).join(F.broadcast(rings(regions)), F.expr("px >= west and px <= east and py >= south and py <= north"))
     odd = F.expr("aggregate(ring, false, (odd, e) -> if((e.y0 > py) <> (e.y1 > py) and px < e.x0 + (py - e.y0) * (e.x1 - e.x0) / (e.y1 - e.y0), not odd, odd))")
-    return near.where(odd).select(key, "region").distinct()
+    return large(near.where(odd).select(key, "region").distinct())
 
 
 def in_large_regions(points: DataFrame, regions: DataFrame, key: str, x: str = "x", y: str = "y", strip: float = 0.25) -> DataFrame:
@@ -114,10 +114,10 @@ def moc_basin(mesh: Mesh, regions: DataFrame, which: str, exclude: str | None =
         nodes = in_regions(mesh.nodes, regions.where(F.col("region").isin(names)), "node", "lon", "lat").select("node")
         if which == "aamoc":
             nodes = nodes.unionByName(mesh.nodes.where(in_box(F.col("lon"), F.col("lat"), ARCTIC)).select("node"))
-        nodes = nodes.distinct()
+        nodes = large(nodes.distinct())
     if out is not None:
         nodes = nodes.join(out, "node", "left_anti")
-    return corners.join(nodes, "node", "left_semi").select("elem").distinct() if on_elems else nodes
+    return corners.join(large(nodes), "node", "left_semi").select("elem").distinct() if on_elems else nodes
 
 
 def elems_in_regions(mesh: Mesh, regions: DataFrame) -> DataFrame:
@@ -132,8 +132,8 @@ def region_edges(edges: DataFrame, mesh: Mesh, elems: DataFrame, buffer: bool =
     if buffer:
         ring = corners.join(nodes, "node", "left_semi").select("elem").distinct()
         nodes = corners.join(ring, "elem", "left_semi").select("node").distinct()
-    left = edges.join(nodes.withColumnRenamed("node", "n0"), "n0", "left_semi").select(*edges.columns)
-    right = edges.join(nodes.withColumnRenamed("node", "n1"), "n1", "left_semi").select(*edges.columns)
+    left = large(edges).join(nodes.withColumnRenamed("node", "n0"), "n0", "left_semi").select(*edges.columns)
+    right = large(edges).join(nodes.withColumnRenamed("node", "n1"), "n1", "left_semi").select(*edges.columns)
     return left.unionByName(right).distinct()
 
 
@@ -156,4 +156,4 @@ def crossing_edges(edges: DataFrame, axis: str, first: float, step: float, last:
 def drop_null_triangles(elems: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """Elements none of whose nodes has a missing value."""
     bad = elem_node(elems).join(values.where(F.col(value).isNull()).select("node"), "node", "left_semi").select("elem").distinct()
-    return elems.join(bad, "elem", "left_anti")
+    return large(elems).join(bad, "elem", "left_anti")

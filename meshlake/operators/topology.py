@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlake.operators.mesh import Mesh, boundary_edges, centroids, elem_neighbours, elem_node, periodic_elems
+from meshlake.operators.mesh import Mesh, boundary_edges, centroids, elem_neighbours, elem_node, large, periodic_elems
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again, which cuts the lineage of an iteration."""
+    """``df`` written to the shared checkpoint folder and read again, which cuts the lineage of an iteration.
+
+    What is stored may hold a row for every cell, and its files are far smaller than its rows, so it is marked as ``large``.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
@@ -22,7 +25,7 @@ def stored(df: DataFrame) -> DataFrame:
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = large(spark.read.schema(df.schema).parquet(path))
     out._stored_path = path
     return out
 
@@ -50,9 +53,9 @@ def ring_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hooked = labels.join(near, "node").select("node", "ring", F.least("ring", "r").alias("new"))
         # a label hands its own smaller label on: hook the label's node, then jump twice
         roots = hooked.groupBy(F.col("ring").alias("node")).agg(F.min("new").alias("root"))
-        step = hooked.join(roots, "node", "left").select("node", "ring", F.least("new", F.coalesce("root", "new")).alias("new"))
+        step = large(hooked).join(roots, "node", "left").select("node", "ring", F.least("new", F.coalesce("root", "new")).alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        new = stored(step.join(jump, "new", "left").select("node", "ring", F.least("new", F.coalesce("up", "new")).alias("new")))
+        new = stored(large(step).join(jump, "new", "left").select("node", "ring", F.least("new", F.coalesce("up", "new")).alias("new")))
         discard(table)
         table, labels = new, new.select("node", F.col("new").alias("ring"))
         if new.where("new <> ring").isEmpty():
@@ -120,7 +123,7 @@ def ring_order(edges: DataFrame, elems: DataFrame | None = None, max_rounds: int
         raise RuntimeError("contours did not settle")
     # of the two directions the one that starts with the smaller neighbour
     turned = state.select(_code(F.col("dart").bitwiseAND(0xFFFFFFFF), F.shiftright("dart", 32)).alias("dart"), F.col("key").alias("key2"))
-    kept = state.join(turned, "dart").where("key < key2").select("dart", "key", "ahead")
+    kept = large(state).join(turned, "dart").where("key < key2").select("dart", "key", "ahead")
     first = F.shiftright("key", 32).cast("int")
     heads = kept.groupBy("key").agg(F.count("*").cast("int").alias("n")).withColumn("ring", first)
     heads = stored(heads.withColumn("loop", F.row_number().over(Window.partitionBy("ring").orderBy("key")) - 1))
@@ -224,7 +227,7 @@ def elem_cluster(elems: DataFrame, seed: int, inside: DataFrame | None = None) -
     if inside is not None:
         for end in ("n0", "n1"):
             links = links.join(inside.select(F.col("elem").alias(end)), end, "left_semi")
-    labels = ring_labels(links.select("n0", "n1"))
+    labels = large(ring_labels(links.select("n0", "n1")))
     own = labels.where(F.col("node") == seed).select("ring")  # one row
     found = labels.join(F.broadcast(own), "ring", "left_semi").select(F.col("node").cast("int").alias("elem"))
     return found.unionByName(elems.where(F.col("elem") == seed).select("elem")).distinct()
