@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.functions import expr
-from meshlake.operators.mesh import Mesh, elem_area, elem_node, mid_levels
+from meshlake.operators.mesh import Mesh, elem_area, elem_node, large, mid_levels
 
 STATISTICS = {
     "mean": F.avg, "median": F.median, "std": F.stddev_pop, "var": F.var_pop, "max": F.max, "min": F.min,
@@ -84,7 +84,7 @@ def select_levels(field: DataFrame, levels: DataFrame, depths: list[float], near
 def mask_bottom(field: DataFrame, cells: DataFrame, cell: str, iz: str, values: list[str], *, keep_interface: bool = True, drop: bool = False) -> DataFrame:
     """Values below the bottom become NULL (or the rows go): ``k <= iz`` is kept, or ``k < iz`` without the interface."""
     wet = F.col("k") <= F.col(iz) if keep_interface else F.col("k") < F.col(iz)
-    joined = field.join(cells.select(cell, iz), cell)
+    joined = field.join(large(cells.select(cell, iz)), cell)
     if drop:
         return joined.where(wet).drop(iz)
     return joined.withColumns({v: F.when(wet, F.col(v)) for v in values}).drop(iz)
@@ -93,7 +93,7 @@ def mask_bottom(field: DataFrame, cells: DataFrame, cell: str, iz: str, values:
 def mask_cavity(field: DataFrame, cells: DataFrame, cell: str, ic: str, values: list[str], *, drop: bool = False) -> DataFrame:
     """Values above the first level under the ice, ``k < ic``, become NULL (or the rows go); cells without that level have no cavity."""
     wet = F.col("k") >= F.coalesce(F.col(ic), F.lit(0))
-    joined = field.join(cells.select(cell, ic), cell)
+    joined = field.join(large(cells.select(cell, ic)), cell)
     if drop:
         return joined.where(wet).drop(ic)
     return joined.withColumns({v: F.when(wet, F.col(v)) for v in values}).drop(ic)
@@ -110,7 +110,7 @@ def log_valid(value: Column, least: float = 1e-15) -> Column:
 
 def correct_in_regions(cells: DataFrame, hits: DataFrame, key: str, column: str, value: float, relative: bool = False) -> DataFrame:
     """Within ``hits(key)`` a column becomes ``value``, or grows by ``value`` percent."""
-    marked = cells.join(hits.select(key).distinct().withColumn("hit", F.lit(True)), key, "left")
+    marked = large(cells).join(hits.select(key).distinct().withColumn("hit", F.lit(True)), key, "left")
     new = F.col(column) + F.col(column) * value / 100 if relative else F.lit(float(value))
     return marked.withColumn(column, F.when(F.col("hit"), new).otherwise(F.col(column))).drop("hit")
 
@@ -150,7 +150,7 @@ def reduce_cells(field: DataFrame, how: str, value: str, by: list[str], weight:
 
 def region_index(field: DataFrame, hits: DataFrame, cell: str, value: str, by: list[str], weight: Column, how: str = "wmean") -> DataFrame:
     """Weighted mean or integral per region and ``by``; cells may lie in several regions. ``hits(cell, region)``."""
-    return reduce_cells(field.join(hits, cell), how, value, ["region", *by], weight)
+    return reduce_cells(large(field).join(hits, cell), how, value, ["region", *by], weight)
 
 
 def lat_bin(lat: Column, dlat: float) -> Column:
@@ -203,7 +203,7 @@ def region_views(field: DataFrame, hits: DataFrame, key: str, value: str, weight
     Weighted means by grouping sets: ``profile`` has no time, ``series`` no level. Rows without a value carry no weight; a group
     without any has a missing value.
     """
-    rows = field.join(hits, key).select("region", "time", "k", F.col(value).alias("_v"), F.when(F.col(value).isNotNull(), weight).alias("_w"))
+    rows = large(field).join(hits, key).select("region", "time", "k", F.col(value).alias("_v"), F.when(F.col(value).isNotNull(), weight).alias("_w"))
     sets = [[F.col("region"), F.col("k")], [F.col("region"), F.col("time"), F.col("k")], [F.col("region"), F.col("time")]]
     whole = rows.groupingSets(sets, "region", "time", "k").agg(F.grouping("time").alias("_t"), F.grouping("k").alias("_k"), F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias(value))
     view = F.when(F.col("_t") == 1, "profile").when(F.col("_k") == 1, "series").otherwise("hovmoeller")
@@ -237,7 +237,8 @@ def nodes_to_elems(field: DataFrame, elems: DataFrame, values: list[str], by: li
     """Mean over the three corners: missing counts as 0 (``sum``) or is left out (``mean``)."""
     if how not in ("sum", "mean"):
         raise ValueError("how must be 'sum' or 'mean'")
-    joined = elem_node(elems).join(field, "node")
+    # the groups of a join's task are many times its input, so they are made where each element is in one task
+    joined = elem_node(elems).join(large(field), "node").repartition("elem")
     return joined.groupBy("elem", *by).agg(*((F.coalesce(F.sum(v), F.lit(0.0)) / 3 if how == "sum" else F.avg(v)).alias(v) for v in values))
 
 
@@ -259,7 +260,7 @@ def edge_sides(edges: DataFrame, extra: list[str]) -> DataFrame:
 def anomaly(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """``a - b`` on equal keys."""
     other = b.select(*keys, *(F.col(v).alias(f"_{v}") for v in values))
-    return a.join(other, keys).select(*keys, *((F.col(v) - F.col(f"_{v}")).alias(v) for v in values))
+    return large(a).join(other, keys).select(*keys, *((F.col(v) - F.col(f"_{v}")).alias(v) for v in values))
 
 
 def bottom_envelope(nodes: DataFrame, levels: DataFrame, dlat: float, share: float = 0.8) -> DataFrame:

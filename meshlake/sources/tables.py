@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlake.operators.mesh import Mesh
+from meshlake.operators.mesh import Mesh, large
 
 #: Other names under which models write the canonical columns. Fixed values.
 ALIASES = {
@@ -121,12 +121,12 @@ def read_field(spark: SparkSession, root: str, variable: str, years: int | tuple
 
 def unknown_cells(field: DataFrame, cells: DataFrame, key: str) -> DataFrame:
     """Cells of a field that the mesh does not have; empty for a valid field."""
-    return field.select(key).distinct().join(cells.select(key), key, "left_anti")
+    return large(field.select(key)).distinct().join(cells.select(key), key, "left_anti")
 
 
 def merge_variables(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Two variables side by side on their keys; what one lacks is missing."""
-    return a.join(b, keys, "full")
+    return large(a).join(b, keys, "full")
 
 
 def read_climatology(spark: SparkSession, path: str, aliases: dict | None = None) -> DataFrame:

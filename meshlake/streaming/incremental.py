@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from meshlake.operators.mesh import large
+
 
 def stream_fields(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 16) -> DataFrame:
     """New Parquet files of a folder as a stream; the schema is given, never inferred."""
@@ -21,7 +23,7 @@ def region_sums(field: DataFrame, cells: DataFrame, value: str = "temp") -> Data
     The ratio is taken after the aggregation, so the state is two sums per region and year.
     """
     valid = F.col(value).isNotNull()
-    joined = field.join(cells, "node")
+    joined = large(field).join(cells, "node")
     return joined.groupBy("region", F.year("time").alias("year")).agg(F.sum(F.col(value) * F.col("w_A")).alias("total"), F.sum(F.when(valid, F.col("w_A"))).alias("weight"))
 
 
