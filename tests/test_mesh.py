@@ -279,3 +279,17 @@ def test_no_mesh_table_is_broadcast(spark, sf, name):
     plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan()
     joins = [line for line in plan.toString().splitlines() if "BroadcastHashJoin" in line]
     assert not [line for line in joins if any(f"[{key}#" in line for key in ("node", "elem", "n0", "n1", "n2", "e", "n", "ne"))]
+
+
+def test_means_do_not_depend_on_the_order_of_summing(spark):
+    from functools import reduce as fold
+    from itertools import permutations
+    from operator import add
+
+    from meshlake.plans.fixtures import steady_avg
+
+    sets = [(33.0, 34.2, 34.8), (33.2, 34.2, 34.6), (33.4, 33.8, 34.8), (33.6, 33.8, 34.6), (33.2, 33.4, 33.6, 35.8), (33.2, 33.8, 34.2, 34.8)]
+    orders = [(k, n, order) for k, values in enumerate(sets) for n, order in enumerate(permutations(values))]
+    rows = spark.createDataFrame([(k, n, v) for k, n, order in orders for v in order], "k int, n int, v double").coalesce(1)
+    assert {r.m for r in rows.groupBy("k", "n").agg(steady_avg(F.col("v")).alias("m")).collect()} == {34.0}
+    assert {fold(add, order) / len(order) for _, _, order in orders} != {34.0}
